@@ -82,14 +82,46 @@ def knapsack(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, n
     return float(best[room]), count
 
 
-def solve_patterns(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-3, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def greedy_basis(weight: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible start: first-fit patterns over what is left, each used until a class of it runs out.
+
+    Each pattern belongs to the class that ran out with it, and no later one has that class: so the patterns are a
+    triangular, invertible basis.
+    """
+    m, left = len(weight), demand.astype(float).copy()
+    rows, counts = np.zeros((m, m)), np.zeros(m)
+    down = np.argsort(-weight, kind="stable")
+    for i in range(m):
+        if left[i] <= 0:
+            rows[i, i] = room // weight[i]
+    while (open_ := down[left[down] > 0]).size:
+        p, free = np.zeros(m), room
+        for i in open_:
+            if free >= weight[i]:
+                p[i] = free // weight[i] if i != open_[0] else 1
+                free -= int(p[i] * weight[i])
+        has = np.nonzero(p)[0]
+        use = left[has] / p[has]
+        n = float(use.min())
+        out = has[int(np.argmin(use))]
+        left[has] -= n * p[has]
+        left[out] = 0
+        rows[out], counts[out] = p, n
+        for i in has[left[has] <= 1e-9]:
+            if i != out:
+                left[i] = 0
+                rows[i, i] = room // weight[i]
+    return rows, counts
+
+
+def solve_patterns(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """The covering linear program min sum(x), A x = demand: (patterns by row, x)."""
-    m = len(weight)
-    patterns = np.zeros((m, m))
-    np.fill_diagonal(patterns, room // weight)
-    inverse = np.diag(1.0 / np.diag(patterns))
-    x = inverse @ demand
+    patterns, x = greedy_basis(weight, demand, room)
+    inverse = np.linalg.inv(patterns.T)
+    filled = weight @ demand / room  # no cover needs fewer sequences
     for _ in range(rounds):
+        if x.sum() <= (1 + gap) * filled:
+            break
         duals = inverse.sum(axis=0)
         value, new = knapsack(np.maximum(duals, 0), weight, room)
         if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= gap * x.sum():
