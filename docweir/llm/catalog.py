@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweir.llm import decontam, media, packing, pii, quality, simhash, tokens
+from docweir.llm import decontam, lines, media, packing, pii, quality, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hit_digests(decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -43,6 +47,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexed(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_pii, op5_token_orc, op6_media, op8_decontamination, op9_quality, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_pii, op5_token_orc, op6_media, op7_line_dedup, op8_decontamination, op9_quality, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
