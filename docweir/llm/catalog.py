@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweir.llm import decontam, lines, media, packing, pii, quality, simhash, suffix, tokens
+from docweir.llm import decontam, lines, media, packing, paragraphs, pii, quality, simhash, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.digests(paragraphs.remove_paragraphs(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexed(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_pii, op5_token_orc, op6_media, op7_line_dedup, op8_decontamination, op9_quality, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_pii, op4_paragraphs, op5_token_orc, op6_media, op7_line_dedup, op8_decontamination, op9_quality, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
