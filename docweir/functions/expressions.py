@@ -30,6 +30,7 @@ class Scope:
     variables: dict[str, tuple[Column, T.DataType | None]] = field(default_factory=dict)
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     inner: bool = False  # inside a function of an array
+    known: dict[int, tuple[Column, T.DataType | None]] = field(default_factory=dict)  # types of columns read so far
 
     @staticmethod
     def of(df: DataFrame, functions: dict | None = None, variables: dict | None = None) -> Scope:
@@ -42,7 +43,11 @@ class Scope:
         if lookup_type(self.schema, path) is None:
             return F.lit(None)
         head, *rest = path.split(".")
-        return _walk(self.root.getField(head) if self.root is not None else F.col(quoted(head)), self.schema[head].dataType, rest)
+        return self.note(_walk(self.root.getField(head) if self.root is not None else F.col(quoted(head)), self.schema[head].dataType, rest), lookup_type(self.schema, path))
+
+    def note(self, col: Column, kind: T.DataType | None) -> Column:
+        self.known[id(col)] = (col, kind)
+        return col
 
     def bind(self, inner: bool = True, /, **names: tuple[Column, T.DataType | None]) -> Scope:
         return replace(self, variables={**self.variables, **names}, inner=self.inner or inner)
@@ -52,6 +57,8 @@ class Scope:
         for c, kind in self.variables.values():
             if c is col:
                 return kind
+        if id(col) in self.known:
+            return self.known[id(col)][1]
         return None if self.inner else self.frame.select(col).schema[0].dataType
 
 
@@ -130,7 +137,10 @@ def compile_expression(expr: Json, scope: Scope) -> Column:
         if any(k.startswith("$") for k in expr):
             raise ValueError(f"an expression has one operator: {sorted(expr)}")
         return F.struct(*[compile_expression(v, scope).alias(k) for k, v in expr.items()])
-    return F.lit(expr)
+    return scope.note(F.lit(expr), _LITERALS.get(type(expr)))
+
+
+_LITERALS = {bool: T.BooleanType(), int: T.IntegerType(), float: T.DoubleType(), str: T.StringType(), type(None): T.NullType()}
 
 
 def _variable(name: str, scope: Scope) -> Column:

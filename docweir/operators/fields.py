@@ -155,7 +155,7 @@ def redact(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
 
     def below(kind: T.DataType, col: Column) -> Column:
         if isinstance(kind, T.StructType):
-            own = Scope(df, kind, col, scope.variables, scope.functions)
+            own = Scope(df, kind, col, scope.variables, scope.functions, inner=True)
             said = compile_expression(spec, own)
             inner = F.struct(*[below(f.dataType, col.getField(f.name)).alias(f.name) for f in kind.fields])
             return F.when(col.isNull(), F.lit(None)).when(said == "KEEP", col).when(said == "DESCEND", inner)
