@@ -114,10 +114,26 @@ def greedy_basis(weight: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.
     return rows, counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps. The driver has forked to start its JVM, after which threaded LAPACK calls
+    may never return; these are plain array operations."""
+    n = len(a)
+    both = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for i in range(n):
+        k = i + int(np.argmax(np.abs(both[i:, i])))
+        if k != i:
+            both[[i, k]] = both[[k, i]]
+        both[i] /= both[i, i]
+        rest = np.nonzero(both[:, i])[0]
+        rest = rest[rest != i]
+        both[rest] -= both[rest, i, None] * both[i]
+    return both[:, n:]
+
+
 def solve_patterns(weight: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """The covering linear program min sum(x), A x = demand: (patterns by row, x)."""
     patterns, x = greedy_basis(weight, demand, room)
-    inverse = np.linalg.inv(patterns.T)
+    inverse = inverted(patterns.T)
     filled = weight @ demand / room  # no cover needs fewer sequences
     for _ in range(rounds):
         if x.sum() <= (1 + gap) * filled:
@@ -126,7 +142,7 @@ def solve_patterns(weight: np.ndarray, demand: np.ndarray, room: int, gap: float
         value, new = knapsack(np.maximum(duals, 0), weight, room)
         if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= gap * x.sum():
             break
-        u = inverse @ new
+        u = (inverse * new).sum(axis=1)
         ok = u > 1e-9
         if not ok.any():
             break
