@@ -158,20 +158,27 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
 
 
 def _ranked(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names, by doubling: names are too many for buckets."""
-    n, rank, h = len(names), names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """The order of the suffixes of a string of names, by doubling: names are too many for buckets.
+
+    A suffix's rank is where its group of equal prefixes begins in the order; only groups of several are sorted on.
+    """
+    n, h = len(names), 1
+    order = np.argsort(names, kind="stable")
+    own = names[order].astype(np.int64)
+    rank, slots = np.empty(n, np.int64), np.arange(n)
     while True:
-        r = rank[order]
-        if n < 2 or (r[1:] != r[:-1]).all():
+        new = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+        several = ~(new & np.append(new[1:], True))
+        slots = slots[several]
+        if not len(slots):
             return order
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - h)] = rank[h:]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank, h = new, 2 * h
+        at = order[slots]
+        after = at + h
+        own = rank[at] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        by = np.argsort(own)
+        order[slots], own = at[by], own[by]
+        h *= 2
 
 
 def suffix_array(text: np.ndarray, symbols: int = 257) -> np.ndarray:
