@@ -29,8 +29,11 @@ from docweir.llm.common import batch, forget, id_text, ready, slices, staged, wi
 LENGTH = 100
 GRAM = 24
 #: Bytes of contexts in a shard, about.
-SHARD = 3 << 19
-GIANT = 100_000
+SHARD = 1 << 20
+#: Contexts of one anchor beyond which its windows are dealt out: some 1.4 MB of them.
+GIANT = 8_000
+#: So many giant anchors are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ANCHORS = 100_000
 
 # ---------------------------------------------------------------------------------------------- anchors
 
@@ -102,7 +105,7 @@ def _types(text: np.ndarray) -> np.ndarray:
     step = np.zeros(n, np.int8)
     step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1])
     step[-1] = -1
-    known = np.where(step != 0, np.arange(n), n)
+    known = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     after = np.minimum.accumulate(known[::-1])[::-1]
     return step[after] > 0
 
@@ -111,11 +114,12 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     """The suffix array that the order of the leftmost-smaller suffixes (or substrings) induces."""
     n = len(text)
     edge = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+    lms = lms.astype(np.int32)
     by = np.argsort(text[lms], kind="stable")
     own = np.split(lms[by], np.searchsorted(text[lms][by], np.arange(1, symbols)))
     pending: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    pending[text[n - 1]].append(np.array([n - 1]))
-    larger: list[np.ndarray] = [np.empty(0, np.int64)] * symbols
+    pending[text[n - 1]].append(np.array([n - 1], np.int32))
+    larger: list[np.ndarray] = [np.empty(0, np.int32)] * symbols
 
     def deal(scan: np.ndarray, wanted) -> None:
         before = scan[scan > 0] - 1
@@ -133,24 +137,24 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int)
     for c in range(symbols):
         if edge[c] == edge[c + 1]:
             continue
-        parts, wave = [], np.concatenate([np.empty(0, np.int64), *pending[c]])
+        parts, wave = [], np.concatenate([np.empty(0, np.int32), *pending[c]])
         while len(wave):  # a run of one symbol induces inside its own bucket
             parts.append(wave)
             before = wave[wave > 0] - 1
             wave = before[(text[before] == c) & ~small[before]]
-        larger[c] = np.concatenate([np.empty(0, np.int64), *parts])
+        larger[c] = np.concatenate([np.empty(0, np.int32), *parts])
         deal(np.concatenate([larger[c], own[c]]), lambda ch, c=c: ch > c)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     pending = [[] for _ in range(symbols)]
     for c in range(symbols - 1, -1, -1):
         if edge[c] == edge[c + 1]:
             continue
-        parts, wave = [], np.concatenate([np.empty(0, np.int64), *pending[c]])
+        parts, wave = [], np.concatenate([np.empty(0, np.int32), *pending[c]])
         while len(wave):
             parts.append(wave)
             before = wave[wave > 0] - 1
             wave = before[(text[before] == c) & small[before]]
-        smaller = np.concatenate([np.empty(0, np.int64), *parts])
+        smaller = np.concatenate([np.empty(0, np.int32), *parts])
         k = edge[c] + len(larger[c])
         out[edge[c] : k], out[k : edge[c + 1]] = larger[c], smaller[::-1]
         deal(np.concatenate([smaller, larger[c][::-1]]), lambda ch, c=c: ch < c)
@@ -195,7 +199,7 @@ def suffix_array(text: np.ndarray, symbols: int = 257) -> np.ndarray:
     rough = _induce(text, small, lms, symbols)
     rough = rough[is_lms[rough]]  # leftmost-smaller substrings, sorted
     upto = np.append(lms[1:] + 1, n)
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, np.int32)
     size[lms] = upto - lms
     same = size[rough[1:]] == size[rough[:-1]]
     last = np.zeros(n, bool)
@@ -207,7 +211,7 @@ def suffix_array(text: np.ndarray, symbols: int = 257) -> np.ndarray:
         differ = text[rough[at] + k] != text[rough[at + 1] + k]
         same[at[differ]] = False
         at, k = at[~differ], k + 1
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[rough] = np.concatenate([[0], np.cumsum(~same)])
     order = _ranked(name[lms])
     return _induce(text, small, lms[order], symbols)
@@ -220,9 +224,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np
     value is one less than that of the position before.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     has = before >= 0
     prior = np.maximum(before, 0)
     inside = has & (at > 0) & (before > 0)
@@ -232,7 +236,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np
     plain[i] = (text[i - 1] == text[before[i] - 1]) & (text[i - 1] != 0) & (before[i - 1] == before[i] - 1)
     todo = np.nonzero(has & ~plain)[0]
     room = np.minimum(ends[todo] - todo, ends[prior[todo]] - prior[todo])
-    found = np.zeros(n, np.int64)
+    found = np.zeros(n, np.int32)
     k = 0
     while len(todo):
         ok = room > k
@@ -241,7 +245,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np
         found[todo[equal]] = k + 1
         todo, room = todo[equal], room[equal]
         k += 1
-    lead = np.maximum.accumulate(np.where(~plain, at, 0))
+    lead = np.maximum.accumulate(np.where(~plain, at, np.int32(0)))
     return np.maximum(found[lead] - (at - lead), 0)
 
 
@@ -253,8 +257,8 @@ def repeats(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     text[:] = raw.astype(np.int16) + 1
     text[first + size] = 0
-    piece = np.repeat(np.arange(len(pieces)), size + 1)
-    ends = (first + size)[piece]
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
+    ends = (first + size).astype(np.int32)[piece]
     order = suffix_array(text)
     long = common_prefixes(text, order, ends)[order] >= length
     run = np.cumsum(~long)
@@ -382,21 +386,21 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], giant: frozenset[int]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("ctx", pa.binary())])
     for b in slices(batches):
         rows = []
         for d, text, which in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("open").to_pylist(), strict=True):
             raw = text.encode()
             for w in which:
-                if w["h"] not in giant:
+                if not w["giant"]:
                     pos, at = w["at"] >> 20, w["at"]
                     lo = pos - (at >> 10 & 1023)
                     rows.append((w["h"], d, lo, raw[lo : pos + (at & 1023)]))
         yield batch(schema, *([r[i] for r in rows] for i in range(4)))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int, giant: frozenset[int]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows as of _scan, one for each window of a giant anchor's contexts, by the window's own hashes."""
     names, f = ["h", "ctx", "doc", "at"], xxhash.xxh3_128_intdigest
     for b in slices(batches):
@@ -404,7 +408,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, giant: frozenset[in
         for d, text, which in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("open").to_pylist(), strict=True):
             raw = text.encode()
             for w in which:
-                if w["h"] in giant:
+                if w["giant"]:
                     pos, at = w["at"] >> 20, w["at"]
                     own = range(pos - (at >> 10 & 1023), pos + (at & 1023) - length + 1)
                     hashes += [f(raw[i : i + length]) for i in own]
@@ -461,15 +465,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     found = staged(rows.mapInArrow(_settle, _FOUND), "anchors")
     forget(spark)
     opened = found.where("open").select("doc", F.col("lo").alias("at"), "h")
-    # There are at most rows / giant giant anchors.
-    big = frozenset(r["h"] for r in opened.groupBy("h").count().where(F.col("count") > giant).select("h").collect())
-    by = opened.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("open"))
+    large = staged(opened.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > giant).select(F.col("h").alias("large")), "giants")
+    big = large.count()
+    if big:
+        flag = F.broadcast(large) if big <= BROADCAST_ANCHORS else large
+        opened = opened.join(flag, F.col("h") == F.col("large"), "left").select("doc", "at", "h", F.col("large").isNotNull().alias("giant"))
+    else:
+        opened = opened.withColumn("giant", F.lit(False))
+    by = opened.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "giant")).alias("open"))
     with_open = docs.select("doc_id", "text").join(by, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "open")
-    contexts = with_open.mapInArrow(lambda it: _contexts(it, big), "h bigint, doc bigint, start bigint, ctx binary")
+    contexts = with_open.mapInArrow(_contexts, "h bigint, doc bigint, start bigint, ctx binary")
     contexts = contexts.repartition("h").sortWithinPartitions("h")
     closer = contexts.mapInArrow(lambda it: _shards(it, length, shard), "doc bigint, lo bigint, hi bigint")
     if big:
-        windows = with_open.mapInArrow(lambda it: _windows(it, length, big), _ROW).repartition("h", "ctx").sortWithinPartitions("h", "ctx", "doc", "at")
+        windows = with_open.mapInArrow(lambda it: _windows(it, length), _ROW).repartition("h", "ctx").sortWithinPartitions("h", "ctx", "doc", "at")
         closer = closer.unionByName(windows.mapInArrow(lambda it: _settle(it, True), _FOUND).select("doc", "lo", "hi"))
     closer = staged(closer, "repeats")
     forget(spark)
