@@ -32,7 +32,7 @@ WIDTH = 5
 LEAST = 8
 RECALL = 0.998
 
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+")
+_MARKS = re.compile(r"[.!?]+")
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -157,8 +157,10 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
 
 def sentences_of(line: str) -> list[tuple[int, int]]:
     """(start, end) of a line's sentences; what follows the last mark is one."""
-    out = [m.span() for m in _SENTENCE.finditer(line)]
-    end = out[-1][1] if out else 0
+    out, end = [], 0
+    for m in _MARKS.finditer(line):
+        out.append((end, m.end()))
+        end = m.end()
     return out + [(end, len(line))] if end < len(line) else out
 
 
