@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -89,12 +90,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 first, total = i, 0
             total += n
         yield b.slice(first)
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def with_end(batches: Iterator) -> Iterator:
+    """What batches yields, then None, so that a loop can tell what it has kept back."""
+    yield from batches
+    yield None
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """left with right's columns; right has each key once. `rows`: left's row count.
 

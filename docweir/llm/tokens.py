@@ -23,8 +23,8 @@ from docweir.llm.common import batch, id_text, ready, shared_dir, slices
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-#: Entries of a worker's caches; they are emptied beyond, which costs time only.
-CACHE = 500_000
+#: Entries of a worker's caches; they are emptied beyond. More of them save no time, as most misses are new words.
+CACHE = 50_000
 
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
