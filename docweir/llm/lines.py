@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged
+from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
 
 TAU = 2
@@ -221,7 +221,7 @@ def meetings(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "id", "role"]
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
-        for b in [*_gathered(batches), None]:
+        for b in with_end(_gathered(batches)):
             if b is not None:
                 held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
             if not len(held[0]):
@@ -247,6 +247,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
             own, n = [], 0
     if own:
         yield [np.concatenate(x) for x in zip(*own, strict=True)]
+    tidy()
 
 
 def _nibbles(letters: np.ndarray) -> np.ndarray:

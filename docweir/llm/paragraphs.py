@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged
+from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged, with_end
 from docweir.llm.components import components
 from docweir.llm.lines import _gathered, _keyed, digest, lines_of, short, wanted_texts, within
 from docweir.llm.simhash import shingle_hashes
@@ -80,7 +80,7 @@ def _collisions(docs: DataFrame, least: int, width: int, bands: int, rows: int)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
-        for b in [*_gathered(batches), None]:
+        for b in with_end(_gathered(batches)):
             if b is not None:
                 held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
             key, ident = held
@@ -142,7 +142,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY, width: int = WID
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         key, own = None, []
-        for b in [*batches, None]:
+        for b in with_end(batches):
             out: list[tuple[str, str]] = []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if b is not None else [(None, "")]:
                 if k != key or b is None:

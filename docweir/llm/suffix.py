@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, forget, id_text, ready, slices, staged, with_docs
+from docweir.llm.common import batch, forget, id_text, ready, slices, staged, with_docs, with_end
 
 LENGTH = 100
 GRAM = 24
@@ -335,7 +335,7 @@ def _settle(batches: Iterator[pa.RecordBatch], closed: bool = False) -> Iterator
     names = ["doc", "lo", "hi", "h", "open"]
     held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
     lead: tuple | None = None  # the last group's anchor, whether it has been told, its first row, its context's first row
-    for b in _with_end(_gathered(batches)):
+    for b in with_end(_gathered(batches)):
         if b is not None:
             held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
         h, ctx, doc, at = held
@@ -381,11 +381,6 @@ def _settle(batches: Iterator[pa.RecordBatch], closed: bool = False) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("ctx", pa.binary())])
     for b in slices(batches):
