@@ -23,8 +23,8 @@ from docweir.llm.common import batch, id_text, ready, shared_dir, slices
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-#: Entries of a worker's caches; they are emptied beyond. More of them save no time, as most misses are new words.
-CACHE = 50_000
+#: Entries of a worker's caches; they are emptied beyond. More of them save little, as most misses are new words.
+CACHE = 150_000
 
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
@@ -72,6 +72,11 @@ class Encoder:
         self.flat, self.ends = array("i"), array("q", [0])
 
     def _chunk(self, c: str) -> list[int]:
+        if c.isascii() and c.isalpha():
+            # Lower already: ASCII letters are lowered before the cut.
+            if (ids := self.pieces.get(c)) is None:
+                ids = self.pieces[c] = [t.id for t in self.model.tokenize(c)]
+            return ids
         if not _PLAIN(c):
             return self.tokenizer.encode(c, add_special_tokens=False).ids if c else []
         c = c.lower()
@@ -97,10 +102,11 @@ class Encoder:
         if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
             self._empty()
         get, codes = self.chunks.get, np.empty(len(coded.dictionary), np.int64)
+        own, extend, append = self._chunk, self.flat.extend, self.ends.append
         for i, c in enumerate(coded.dictionary.to_pylist()):
             if (k := get(c)) is None:
-                self.flat.extend(self._chunk(c))
-                self.ends.append(len(self.flat))
+                extend(own(c))
+                append(len(self.flat))
                 k = self.chunks[c] = len(self.ends) - 2
             codes[i] = k
         flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
