@@ -52,6 +52,7 @@ def cut_pieces(docs: DataFrame, size: int = SIZE, vocab: str = WORD_BPE, end_id:
             length = np.minimum(size, n[row] - start)
             at = (off[:-1][row] + start) * 4
             yield batch(schema, b.column(0).take(pa.array(row)), start, length, n[row], [bytes(raw[i:j]) for i, j in zip(at.tolist(), (at + length * 4).tolist(), strict=True)])
+        enc.rest()
 
     return id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, PIECES)
 

@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, id_text, ready, shared_dir, slices
+from docweir.llm.common import batch, id_text, ready, shared_dir, slices, tidy
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-#: Entries of a worker's caches; they are emptied beyond. More of them save little, as most misses are new words.
-CACHE = 150_000
+#: Entries of a worker's caches; they are emptied beyond. A task that ends empties them, too.
+CACHE = 250_000
 
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
@@ -71,6 +71,11 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
+    def rest(self) -> None:
+        """Gives the caches' memory back when a task ends; the vocabulary stays."""
+        self._empty()
+        tidy()
+
     def _chunk(self, c: str) -> list[int]:
         if c.isascii() and c.isalpha():
             # Lower already: ASCII letters are lowered before the cut.
@@ -171,6 +176,7 @@ def write_token_orc(docs: DataFrame, path: str, vocab: str = WORD_BPE, end_id: i
             n = len(off) - 1
             yield batch(schema, b.column(0), np.full(n, part), off[:-1] + start, np.diff(off), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())))
             start += int(off[-1])
+        enc.rest()
 
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     # The texts, not the ids, are dealt by range: Spark samples the keys first, and that must not encode anything.
