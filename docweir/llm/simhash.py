@@ -13,7 +13,7 @@ linked by a spanning forest, found by leaders and the triangle inequality, not b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, id_text, lookup, ready, slices, staged, with_docs
+from docweir.llm.common import _join, batch, lookup, ready, slices, staged
 from docweir.llm.components import components
 
 DISTANCE = 4
@@ -61,16 +61,21 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long. Null text has no words: 0."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, extra...) for each row; fp is the fingerprint as a signed long, extra has columns of longs to carry.
+
+    Null text has no words: 0."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *extra)])
         for b in slices(batches):
-            yield batch(schema, b.column(0), np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64))
+            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield batch(schema, b.column(0), fp, *b.columns[2:])
 
-    return id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, *extra)
+    return own.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *extra)))
 
 
 # ---------------------------------------------------------------------------------------------- the index
@@ -243,21 +248,35 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     aren't linked for having one id. An empty table gives no rows.
     """
     own = staged(fingerprints(docs, width, **columns), "fingerprints")
-    distinct = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = links(distinct.select("fp"), distinct.count(), distance)
-    nodes = components(found).select(F.col("node").alias("fp"), "root")
-    named = staged(distinct.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = _rooted(own, distance)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return lookup(own, named, ["fp"], own.count())
 
 
+def _rooted(own: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, its smallest doc_id and its component's smallest fingerprint."""
+    distinct = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = links(distinct.select("fp"), distinct.count(), distance)
+    nodes = components(found).select(F.col("node").alias("fp"), "root")
+    return staged(distinct.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
 def hexed(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Of repeated ids one row, if any, stays."""
-    found = near_duplicates(docs, distance, width)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumn("__kept", F.lit(True))
-    return with_docs(docs, kept).where("__kept").select(*docs.columns).dropDuplicates(["doc_id"])
+    """docs with one row of each component: that of the smallest doc_id, null after all others.
+
+    A row is judged by its own text: rows that share an id, or have none, stay apart by (doc_id, hash of the text).
+    """
+    of = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = staged(fingerprints(docs.withColumn("__of", of), width, extra=["__of"]), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__of").alias("of"))
+    first = own.groupBy("fp").agg(F.min(place).alias("first"))
+    kept = first.join(_rooted(own, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.of").alias("__of"))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__of", of)
+    found = _join(keyed, kept.withColumn("__kept", F.lit(True)), ["__id", "__of"], ["__kept"], "inner")
+    return found.dropDuplicates(["__id", "__of"]).select(*docs.columns)

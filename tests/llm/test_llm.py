@@ -333,6 +333,14 @@ def test_simhash(spark, docs, texts, empty, repeated):
     assert rows(simhash.keep_one(docs), "doc_id") == sorted(((i,) for i in set(want.values())), key=repr)
 
 
+def test_keep_one_judges_each_row_by_its_text(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(4))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, d), (7, c), (8, None)], "doc_id long, text string").repartition(3)
+    assert rows(simhash.keep_one(df), "doc_id", "text") == sorted([(1, a), (5, b), (7, c), (None, d), (8, None)], key=repr)
+    assert rows(simhash.keep_one(df.where("doc_id is null")), "text") == sorted([(a,), (c,), (d,)], key=repr)
+
+
 def test_every_layout_finds_all_links():
     rng = np.random.default_rng(2)
     fp = set(map(int, rng.integers(0, 2**63, 100, dtype=np.uint64)))
