@@ -40,7 +40,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    return lines.line_report(_table(spark, sf_dir, "documents"), share=lines.SHARE)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,13 @@ segment with every line within tau edits, at a position that lengths and the seg
 is indexed under its segments, and probes with its substrings at those positions, for lengths l - tau to l. What
 meets under a key is filtered by letter counts, then verified by banded bit-parallel edit distance.
 
+With a `share`, a pair is linked within max(tau, share of the longer line's code points) edits. Pairs whose longer line
+has fewer than LONG characters are found by segments as above, all of them. For longer ones tau + 1 segments would be as
+short but many more, so these are found by segments to `tau` edits, all of them, and beyond by GRAMS minima of hashes
+of their 12-grams: two lines with a Jaccard similarity of J between their 12-grams share one with a probability of
+1 - (1 - J) ** GRAMS, which is above 0.999 from J = 0.36 on (some replaced words), 0.94 for 0.17 (edits at random
+places, a tenth of the characters), and less if edits are spread evenly. What meets is verified at the pair's own tau.
+
 Shorter lines than `least` characters are compared for equality only: any two of them are within a few edits.
 """
 
@@ -13,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged, tidy, with_end
+from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
 
 TAU = 2
+#: The edits allowed in a line by the queries, as a share of its code points, where that is more than TAU.
+SHARE = 0.1
 LEAST = 20
+#: From this many characters on, lines meet beyond tau edits by minima; any linked line of such a one has LONG * 0.9.
+LONG = 60
+GRAM, GRAMS = 12, 16
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 
@@ -55,6 +68,16 @@ def probes(length: int, tau: int = TAU, least: int = LEAST) -> list[tuple[int, i
     return out
 
 
+def reach(n: int, tau: int, share: float) -> int:
+    """The edits allowed in a pair whose longer line has n characters."""
+    return max(tau, int(n * share))
+
+
+def _exact(n: int, tau: int, share: float) -> int:
+    """The edits to which segments find all of such pairs."""
+    return reach(n, tau, share) if n < LONG else tau
+
+
 def within(a: str, b: str, tau: int = TAU) -> bool:
     """Whether two texts are within tau edits: common ends go, then bit-parallel columns of a band, ended early."""
     if a == b:
@@ -101,27 +124,32 @@ _WORD = (1 << 64) - 1
 
 
 def _banded(a: str, b: str, tau: int) -> bool:
-    """a is not longer than b. A 64-bit window of b's differences moves down the diagonal, one column for each of a."""
-    if len(b) <= tau + 1:
+    """a is not longer than b. A window of b's differences, of 64 bits or what tau takes, moves down the diagonal, one
+    column for each of a."""
+    if len(b) <= tau:
+        return True
+    if len(b) == tau + 1:
         return _plain(a, b) <= tau
     where: dict[str, int] = {}
     for i, ch in enumerate(b):
         where[ch] = where.get(ch, 0) | 1 << i
-    vp, vn, cost = _WORD << (63 - tau) & _WORD, 0, tau
-    start, most, down = tau - 63, 2 * tau + len(a) - len(b), 1 << 62
+    top = max(63, 2 * tau + 1)
+    word = _WORD if top == 63 else (2 << top) - 1
+    vp, vn, cost = word << (top - tau) & word, 0, tau
+    start, most, down = tau - top, 2 * tau + len(a) - len(b), 1 << top - 1
     for i, ch in enumerate(a):
         found = where.get(ch, 0)
-        x = (found << -start if start < 0 else found >> start) & _WORD
-        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & _WORD
-        hp, hn = (vn | ~(d0 | vp)) & _WORD, d0 & vp
+        x = (found << -start if start < 0 else found >> start) & word
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & word
+        hp, hn = (vn | ~(d0 | vp)) & word, d0 & vp
         if i < len(b) - tau:
-            cost += not d0 >> 63
+            cost += not d0 >> top
         else:
             cost += bool(hp & down) - bool(hn & down)
             down >>= 1
         if cost > most:
             return False
-        vp, vn = (hn | ~(d0 >> 1 | hp)) & _WORD, d0 >> 1 & hp
+        vp, vn = (hn | ~(d0 >> 1 | hp)) & word, d0 >> 1 & hp
         start += 1
     return cost <= tau
 
@@ -179,14 +207,49 @@ def _letters(line: str) -> int:
 _SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
 
-def _keys(line: str, tau: int, least: int) -> list[tuple[int, int]]:
+def _keys(line: str, tau: int, least: int, share: float) -> list[tuple[int, int]]:
     """(key, role) of a line: role 0 under its own segments, 1 where it probes."""
     raw, n, f = (line.encode(), len(line), xxhash.xxh3_64_intdigest)
     plain = len(raw) == n
     part = (lambda s, k: raw[s : s + k]) if plain else (lambda s, k: line[s : s + k].encode())
-    parts = tau + 1
-    out = [(f(part(p, k), n * parts + i), 0) for i, (p, k) in enumerate(segments(n, tau))]
-    return out + [(f(part(s, k), l * parts + i), 1) for l, i, s, k in _plan(n, tau, least)]
+    out = []
+    for t in _own(n, tau, share):
+        out += [(f(part(p, k), n * (t + 1) + i), 0) for i, (p, k) in enumerate(segments(n, t))]
+    t = _exact(n, tau, share)
+    return out + [(f(part(s, k), l * (t + 1) + i), 1) for l, i, s, k in _plan(n, t, least)]
+
+
+@lru_cache(4096)
+def _own(n: int, tau: int, share: float) -> list[int]:
+    """The edits by which lines that are not shorter probe for one of n characters."""
+    if not share:
+        return [tau]
+    longest = next(m for m in range(n, 2 * n + tau + LONG) if m + 1 - n > reach(m + 1, tau, share)) if n < LONG else n
+    return sorted({_exact(m, tau, share) for m in range(n, longest + 1)} | ({tau} if longest >= LONG - tau else set()))
+
+
+_MIX = np.random.default_rng(7).integers(1, 2**63, (GRAMS, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def minima(lines: list[str]) -> np.ndarray:
+    """(line, GRAMS) keys: the smallest hash of its 12-grams under each of GRAMS functions, told apart by function."""
+    n = np.array([len(s) for s in lines])
+    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    first, last = np.concatenate([[0], np.cumsum(n)[:-1]]), np.cumsum(n)
+    h = np.zeros(len(code) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(h)]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    ok = np.ones(len(code), bool)
+    for k in range(1, GRAM):
+        ok[last - k] = False
+    h, first = h[ok[: len(h)]], first - np.arange(len(lines)) * (GRAM - 1)
+    out = np.empty((len(lines), GRAMS), np.uint64)
+    for k, (a, c) in enumerate(_MIX):
+        x = h * a
+        out[:, k] = (np.minimum.reduceat((x ^ (x >> np.uint64(31))) * c, first) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64)
 
 
 _plans: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
@@ -201,26 +264,30 @@ def _plan(n: int, tau: int, least: int) -> list[tuple[int, int, int, int]]:
     return _plans[key]
 
 
-def meetings(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(key, id, role): lines that meet a different line with like letters under a key, in the other role."""
+def meetings(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0, far: bool = False) -> DataFrame:
+    """(key, id, role): lines that meet a different line with like letters under a key, in the other role. With
+    `far`, lines that meet by minima, all in role 2."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("letters", pa.int64()), ("role", pa.int8())])
+        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("letters", pa.int64()), ("role", pa.int8()), ("size", pa.int32())])
         for b in slices(batches, most=2 << 20):
-            seen: dict[str, None] = {s: None for t in b.column(0).to_pylist() for _, s in lines_of(t) if len(s) >= least}
-            key, ident, letters, role = [], [], [], []
-            for s in seen:
-                own = _keys(s, tau, least)
+            seen = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t) if len(s) >= (max(least, GRAM, _least_far(share)) if far else least)})
+            key, role, n = [], [], []
+            for s in seen if not far else []:
+                own = _keys(s, tau, least, share)
                 key += [k for k, _ in own]
                 role += [r for _, r in own]
-                ident.append(short(digest(s)))
-                letters.append(_letters(s))
-            n = [tau + 1 + len(_plan(len(s), tau, least)) for s in seen]
-            yield batch(schema, np.array(key, np.uint64).view(np.int64), np.repeat(np.array(ident, np.int64), n), np.repeat(np.array(letters, np.int64), n), np.array(role, np.int8))
+                n.append(len(own))
+            ident, letters = (np.array([f(s) for s in seen], np.int64) for f in (lambda s: short(digest(s)), _letters))
+            size = np.array([len(s) for s in seen], np.int32)
+            if not far:
+                yield batch(schema, np.array(key, np.uint64).view(np.int64), np.repeat(ident, n), np.repeat(letters, n), np.array(role, np.int8), np.repeat(size, n))
+            elif seen:
+                yield batch(schema, minima(seen).ravel(), *(np.repeat(x, GRAMS) for x in (ident, letters)), np.full(len(seen) * GRAMS, 2, np.int8), np.repeat(size, GRAMS))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "id", "role"]
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
         for b in with_end(_gathered(batches)):
             if b is not None:
                 held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
@@ -230,13 +297,18 @@ def meetings(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
             cut = len(held[0]) if b is None else int(new[-1]) + 1 if len(new) else 0
             if cut:
                 own, held = [x[:cut] for x in held], [x[cut:] for x in held]
-                ok = _like(*own, tau)
+                ok = _like(*own, tau, share)
                 yield pa.RecordBatch.from_arrays([pa.array(own[0][ok]), pa.array(own[1][ok]), pa.array(own[3][ok].astype(np.int8))], names=names)
 
-    own = docs.select("text").mapInArrow(signatures, "key bigint, id bigint, letters bigint, role tinyint")
+    own = docs.select("text").mapInArrow(signatures, "key bigint, id bigint, letters bigint, role tinyint, size int")
     return own.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key bigint, id bigint, role tinyint")
 
 
+def _least_far(share: float) -> int:
+    """The length of the shortest line that can be linked to one of LONG characters or more."""
+    return LONG - int(LONG * share)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
     own, n = [], 0
     for b in batches:
@@ -255,13 +327,20 @@ def _nibbles(letters: np.ndarray) -> np.ndarray:
     return np.concatenate([raw & 15, raw >> 4], axis=1).astype(np.int8)
 
 
-def _near(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
+def _near(a: np.ndarray, b: np.ndarray, tau: int | np.ndarray) -> np.ndarray:
     d = np.abs(a - b)
     return np.minimum(d, 16 - d).sum(-1) <= 2 * tau
 
 
-def _like(key: np.ndarray, ident: np.ndarray, letters: np.ndarray, role: np.ndarray, tau: int) -> np.ndarray:
-    """Rows that have a partner under their key: another line, in the other role, with like letters."""
+def _allowed(x: np.ndarray, y: np.ndarray, far: np.ndarray | bool, tau: int, share: float) -> np.ndarray:
+    """The edits that pairs of these lengths may have under their key, -1 if their lengths alone differ by more."""
+    n = np.maximum(x, y)
+    t = np.where((n < LONG) | far, np.maximum(tau, (n * share).astype(np.int64)), tau)
+    return np.where((np.abs(x - y) <= t) & ((n >= LONG) | ~np.asarray(far)), t, -1)
+
+
+def _like(key: np.ndarray, ident: np.ndarray, letters: np.ndarray, role: np.ndarray, size_: np.ndarray, tau: int, share: float) -> np.ndarray:
+    """Rows that have a partner under their key: another line, in the other role or both in role 2, with like letters."""
     n = len(key)
     ok = np.zeros(n, bool)
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [n]])
@@ -274,23 +353,30 @@ def _like(key: np.ndarray, ident: np.ndarray, letters: np.ndarray, role: np.ndar
         at = at[group[at + d] == group[at]]
         if not len(at):
             break
-        k = at[(ident[at] != ident[at + d]) & (role[at] != role[at + d])]
+        k = at[(ident[at] != ident[at + d]) & ((role[at] != role[at + d]) | (role[at] == 2))]
         if len(k):
             nib = _nibbles(letters) if nib is None else nib
-            k = k[_near(nib[k], nib[k + d], tau)]
+            k = k[_near(nib[k], nib[k + d], _allowed(size_[k], size_[k + d], role[k] == 2, tau, share))]
             ok[k] = ok[k + d] = True
     for g in np.nonzero(size > 64)[0].tolist():
         s = slice(first[g], first[g + 1])
         # Copies of a line, one from each batch of documents, count once.
         _, one = np.unique(np.stack([ident[s], role[s]], 1), axis=0, return_index=True)
         one += first[g]
-        own, other = one[role[one] == 0], one[role[one] == 1]
-        a, b = _nibbles(letters[own]), _nibbles(letters[other])
-        for i in range(0, len(own), 256):
-            for j in range(0, len(other), 1024):
-                m = _near(a[i : i + 256, None], b[None, j : j + 1024], tau) & (ident[own[i : i + 256], None] != ident[None, other[j : j + 1024]])
-                ok[own[i : i + 256]] |= m.any(1)
-                ok[other[j : j + 1024]] |= m.any(0)
+        for x, y in ((0, 1), (2, 2)):
+            own, other = (one[role[one] == k] for k in (x, y))
+            own, other = (k[np.argsort(size_[k], kind="stable")] for k in (own, other))
+            a, b = _nibbles(letters[own]), _nibbles(letters[other])
+            for i in range(0, len(own), 256):
+                p = own[i : i + 256]
+                for j in range(0, len(other), 1024):
+                    q = other[j : j + 1024]
+                    # By length: blocks too far apart have no pair.
+                    if (t := _allowed(size_[p, None], size_[None, q], x == 2, tau, share)).max() < 0:
+                        continue
+                    m = _near(a[i : i + 256, None], b[None, j : j + 1024], t) & (ident[p, None] != ident[None, q])
+                    ok[p] |= m.any(1)
+                    ok[q] |= m.any(0)
     return ok
 
 
@@ -319,23 +405,30 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").distinct()
 
 
-def links(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """(a, b, n) by digests of distinct lines within tau edits. Rows with b join what all links join, by key; rows
+def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0) -> DataFrame:
+    """(a, b, n) by digests of distinct lines within their edits. Rows with b join what all links join, by key; rows
     without b tell that a has n links that are counted under one key. Every link is counted once for each end."""
-    met = staged(meetings(docs, tau, least), "meetings")
+    met = staged(meetings(docs, tau, least, share), "meetings")
+    if share:
+        # One after the other: the first one's shuffle files can go before the second one's come.
+        forget(docs.sparkSession)
+        met = met.union(staged(meetings(docs, tau, least, share, far=True), "far-meetings"))
+        forget(docs.sparkSession)
     texts = wanted_texts(docs, met.select("id").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows, mins = None, [], {}
         for b in batches:
             out: list[tuple[bytes, bytes | None, int]] = []
+            far = list({s: None for s, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if x == 2})
+            mins = {s: mins[s] for s, x in rows if x == 2} | (dict(zip(far, minima(far), strict=True)) if far else {})
             for k, s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if k != key:
-                    out += _verified(key, rows, tau)
+                    out += _verified(key, rows, mins, tau, share)
                     key, rows = k, []
                 rows.append((s, r))
             yield _links(out)
-        yield _links(_verified(key, rows, tau))
+        yield _links(_verified(key, rows, mins, tau, share))
 
     rows = met.distinct().join(texts, "id").select("key", "line", "role")
     return rows.repartition("key").sortWithinPartitions("key", "role", "line").mapInArrow(verify, "a binary, b binary, n bigint")
@@ -358,36 +451,67 @@ def _first_key(own: str, other: str, tau: int) -> int:
     return 0
 
 
-def _verified(key: int | None, rows: list[tuple[str, int]], tau: int) -> list[tuple[bytes, bytes | None, int]]:
+def _candidates(key: int, rows: list[tuple[str, int]], minima_of: dict[str, np.ndarray], tau: int, share: float) -> Iterator[tuple[str, str, int, int]]:
+    """(line, line, edits allowed, edits that are another key's) for the pairs that are to be judged under this key."""
+    for x_role, y_role in ((0, 1), (2, 2)):
+        own, other = ([s for s, r in rows if r == k] for k in (x_role, y_role))
+        if not own or not other or own == other and len(own) < 2:
+            continue
+        own, other = sorted(own, key=len), sorted(other, key=len)
+        a, b = (_nibbles(np.array([_letters(s) for s in x], np.int64)) for x in (own, other))
+        size = np.array([len(s) for s in other])
+        mins = np.array([minima_of[s] for s in own]) if x_role == 2 else None
+        for k, (x, nib) in enumerate(zip(own, a, strict=True)):
+            # Equal lengths probe both ways: the smaller line is the indexed one.
+            t = _allowed(size, np.array(len(x)), x_role == 2, tau, share)
+            ok = (t >= 0) & (size >= len(x))
+            if x_role == 2:
+                ok[: k + 1] = False
+            at = np.nonzero(ok)[0]
+            at = at[_near(nib[None], b[at], t[at])]
+            if x_role == 2 and len(at):
+                # A pair is judged under the first minimum that it shares.
+                same = mins[at] == mins[k]
+                at = at[mins[k][same.argmax(1)] == key]
+            for y, e in ((other[i], int(t[i])) for i in at.tolist()):
+                if x_role == 2:
+                    yield x, y, e, tau
+                elif x != y and not (len(x) == len(y) and x > y) and _first_key(x, y, e) == key:
+                    yield x, y, e, -1
+
+
+def _grams(line: str) -> frozenset[str]:
+    return frozenset(line[i : i + 5] for i in range(len(line) - 4))
+
+
+def _verified(key: int | None, rows: list[tuple[str, int]], mins: dict[str, np.ndarray], tau: int, share: float) -> list[tuple[bytes, bytes | None, int]]:
     if len(rows) < 2:
         return []
-    own, other = [s for s, r in rows if r == 0], [s for s, r in rows if r == 1]
-    a, b = _nibbles(np.array([_letters(s) for s in own], np.int64)), _nibbles(np.array([_letters(s) for s in other], np.int64))
-    if not own or not other:
-        return []
-    size = np.array([len(s) for s in other])
     parent: dict[str, str] = {}
+    grams: dict[str, frozenset[str]] = {}
 
     def find(s: str) -> str:
         while parent.setdefault(s, s) != s:
             parent[s] = s = parent[parent[s]]
         return s
 
+    def unlike(x: str, y: str, most: int) -> bool:
+        """An edit touches five 5-grams at most."""
+        p, q = (grams[s] if s in grams else grams.setdefault(s, _grams(s)) for s in (x, y))
+        return max(len(p), len(q)) - len(p & q) > 5 * most
+
     out, degree = [], {}
-    for x, nib in zip(own, a, strict=True):
-        # Equal lengths probe both ways: the smaller line is the indexed one.
-        near = np.nonzero(_near(nib[None], b, tau) & (size >= len(x)) & (size <= len(x) + tau))[0]
-        for y in (other[i] for i in near.tolist()):
-            if x == y or len(x) == len(y) and x > y or _first_key(x, y, tau) != key or not within(x, y, tau):
-                continue
-            degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
-            if (i := find(x)) != (j := find(y)):
-                parent[max(i, j)] = min(i, j)
-                out.append((digest(x), digest(y), 0))
+    for x, y, most, others in _candidates(key, rows, mins, tau, share):
+        if others >= 0 and (unlike(x, y, most) or within(x, y, others)) or not within(x, y, most):
+            continue
+        degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
+        if (i := find(x)) != (j := find(y)):
+            parent[max(i, j)] = min(i, j)
+            out.append((digest(x), digest(y), 0))
     return out + [(digest(s), None, n) for s, n in degree.items()]
 
 
-def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
     """(doc_id, of, line, digest, keep_doc, keep_line, n_links): each line; its class's first line; its text's links.
 
     A line is to be removed if it isn't the first of its class. Null text and blank lines give no rows; rows repeated
@@ -396,7 +520,7 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str
     ready(docs.sparkSession)
     own = id_text(docs, id_col, text_col)
     found = staged(occurrences(own), "occurrences")
-    linked = staged(links(own, tau, least), "links")
+    linked = staged(links(own, tau, least, share), "links")
     classes = components(linked.where("b is not null").select("a", "b"))
     degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n_links"))
     distinct = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"))
@@ -422,14 +546,14 @@ def _without(text: str, drop: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def line_report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
     """One row for each document: doc_id, class_id, n_lines, n_removed, n_links, kept_sha256.
 
     class_id is the smallest doc_id that holds the first line of a class of one of its lines, its own for a document
     without lines. n_links sums, over its lines, the different texts linked to each. kept_sha256 is that of the text
     without the removed lines. Repeated rows give a row each.
     """
-    found = near_lines(docs, tau, least, id_col, text_col)
+    found = near_lines(docs, tau, least, id_col, text_col, share)
     info = _per_document(found)
     own = _keyed(id_text(docs, id_col, text_col))
 
@@ -445,12 +569,12 @@ def line_report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str
     return joined.mapInArrow(run, "doc_id bigint, class_id bigint, n_lines bigint, n_removed bigint, n_links bigint, kept_sha256 string")
 
 
-def remove_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def remove_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0) -> DataFrame:
     """docs without lines that aren't the first of their class; a document of which no line is left goes.
 
     Documents without any line, null ones among them, stay as they are. A column n_chars gets the new length.
     """
-    found = near_lines(docs, tau, least)
+    found = near_lines(docs, tau, least, share=share)
     info = _per_document(found).where(F.size("drop") > 0).select("doc_id", "of", F.col("drop").alias("__drop"), F.col("n_lines").alias("__lines"))
     free = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__of", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     r = info.withColumnRenamed("doc_id", "__r_id").withColumnRenamed("of", "__r_of")

@@ -427,6 +427,44 @@ def test_line_join(lined, empty, repeated):
     assert lines.remove_lines(empty).columns == empty.columns
 
 
+def test_edits_grow_with_the_line(spark):
+    from docweir.llm.catalog import QUERIES
+
+    rng = random.Random(15)
+    for _ in range(300):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(60, 200)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 60)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "x"])
+        b, d = "".join(b), lines._plain(a, "".join(b))
+        for tau in {d - 1, d, 20, 40} - {-1}:
+            assert lines.within(a, b, tau) == (d <= tau)
+    some = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    own = []
+    for n in (4, 5, 6, 8, 9, 10, 12, 20, 30, 60, 100, 200):
+        for _ in range(10):
+            w = [rng.choice(some) for _ in range(n)]
+            own.append(" ".join(w))
+            for _ in range(2):
+                v = list(w)
+                for i in rng.sample(range(n), max(1, n // rng.choice([11, 14, 25]))):
+                    v[i] = rng.choice(some)
+                own.append(" ".join(v))
+    own = sorted({s for s in own if len(s) >= lines.LEAST})
+    pairs = [(a, b) for a, b in combinations(own, 2) if lines.within(a, b, max(2, max(len(a), len(b)) // 10))]
+    assert len(pairs) > 100 and sum(lines.within(a, b, 2) for a, b in pairs) < len(pairs) / 3
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    linked = lines.line_report(df, share=lines.SHARE)
+    want = {i: sum(s in p for p in pairs) for i, s in enumerate(own)}
+    assert dict(rows(linked, "doc_id", "n_links")) == want
+    root = groups(own, pairs)
+    assert lines.remove_lines(df, share=lines.SHARE).count() == len(set(root.values()))
+    # The query's recall on the given lines: pairs within a tenth of the longer line.
+    got = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.01").agg({"n_links": "sum"}).first()[0]
+    assert got >= 2 * 282
+
+
 # ------------------------------------------------------------------------------------------ paragraphs
 
 
