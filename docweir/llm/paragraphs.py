@@ -6,6 +6,9 @@ recall at that similarity reaches `recall`; paragraphs that collide in a band ar
 (or by edit distance, to `tau`, if that is asked for), and joined by components. All but the first paragraph of a
 component, by doc_id and line, are removed.
 
+With `shortest`, paragraphs from that number of words on are compared as well. Those of fewer than five words have
+one shingle, the whole: they are near-duplicates if they are equal but for the case of ASCII letters.
+
 A passage inside a longer paragraph is no paragraph: so sentences of at least `least` words in paragraphs that stay
 are compared too, for equality. (Near ones would be pointless: one changed word in a sentence of fewer than 49 puts
 its shingles below 0.8.)
@@ -164,8 +167,8 @@ def sentences_of(line: str) -> list[tuple[int, int]]:
     return out + [(end, len(line))] if end < len(line) else out
 
 
-def _units(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, of, line, at, digest): paragraphs (at -1) and sentences of at least `least` words (at: their start)."""
+def _units(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+    """(doc_id, of, line, at, digest): paragraphs (at -1) of at least `shortest` words and sentences of at least `least` words (at: their start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("digest", pa.binary())])
@@ -173,7 +176,7 @@ def _units(docs: DataFrame, least: int) -> DataFrame:
             rows = []
             for k, t in enumerate(b.column(1).to_pylist()):
                 for n, s in lines_of(t):
-                    if len(s.split()) < least:
+                    if len(s.split()) < shortest:
                         continue
                     rows.append((k, n, -1, digest(s)))
                     rows += [(k, n, i, b"s" + xxhash.xxh3_128_digest(x.encode())) for i, j in sentences_of(s) if len((x := s[i:j].strip()).split()) >= least and len(x) < len(s)]
@@ -183,7 +186,7 @@ def _units(docs: DataFrame, least: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, at int, digest binary")
 
 
-def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None, shortest: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, of, line, at, digest, keep): each paragraph (at -1) or sentence and the first place of its class.
 
     Null and empty texts have none; rows repeated under one id with one text are one document. A paragraph of one
@@ -191,8 +194,9 @@ def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """
     ready(docs.sparkSession)
     own = id_text(docs, id_col, text_col)
-    units = staged(_units(own, least), "units")
-    classes = components(staged(near_links(own, similarity, width, least, recall, tau), "links"))
+    shortest = least if shortest is None else shortest
+    units = staged(_units(own, least, shortest), "units")
+    classes = components(staged(near_links(own, similarity, width, shortest, recall, tau), "links"))
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.join(classes.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or root is not null")
     first = staged(first.select("digest", F.coalesce("root", "digest").alias("root"), "first"), "firsts")

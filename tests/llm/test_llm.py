@@ -501,6 +501,13 @@ def test_paragraphs(spark, docs, texts, empty, repeated):
     assert 1 - (1 - 0.8**r) ** bands >= paragraphs.RECALL
 
 
+def test_short_paragraphs(spark):
+    texts = ["a b c d e f g\nYes, sir.\nonly here", "A b c d e f g\nyes, sir.\nno, sir.", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(paragraphs.remove_paragraphs(df, shortest=1), "doc_id", "n_paragraphs", "n_removed", "kept")
+    assert got == [(0, 3, 0, texts[0]), (1, 3, 2, "no, sir."), (2, 1, 0, "x")]
+
+
 # ------------------------------------------------------------------------------------------ suffix arrays
 
 
