@@ -11,13 +11,18 @@ one shingle, the whole: they are near-duplicates if they are equal but for the c
 
 A passage inside a longer paragraph is no paragraph: so sentences of at least `least` words in paragraphs that stay
 are compared too, for equality. (Near ones would be pointless: one changed word in a sentence of fewer than 49 puts
-its shingles below 0.8.)
+its shingles below 0.8.) With `merged`, a paragraph of one sentence and the equal sentence elsewhere are one class.
+
+With `passage`, runs of that many words or more, whatever their case, end marks and lines, are then looked for in the
+text that is left: every window of `passage` words that stands at an earlier place too goes, so that maximal runs go.
+Windows half as long, chosen by minima that each run of `passage` words has in common, first tell the documents that
+can hold such a run, exactly; only of those all windows are compared. Windows meet by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, id_text, lookup, ready, slices, staged, with_end
+from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, with_end
 from docweir.llm.components import components
 from docweir.llm.lines import _gathered, _keyed, digest, lines_of, short, wanted_texts, within
 from docweir.llm.simhash import shingle_hashes
@@ -34,6 +39,8 @@ SIMILARITY = 0.8
 WIDTH = 5
 LEAST = 8
 RECALL = 0.998
+#: Words of a passage that the query looks for.
+PASSAGE = 30
 
 _MARKS = re.compile(r"[.!?]+")
 
@@ -167,11 +174,12 @@ def sentences_of(line: str) -> list[tuple[int, int]]:
     return out + [(end, len(line))] if end < len(line) else out
 
 
-def _units(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+def _units(docs: DataFrame, least: int, shortest: int, merged: bool) -> DataFrame:
     """(doc_id, of, line, at, digest): paragraphs (at -1) of at least `shortest` words and sentences of at least `least` words (at: their start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("digest", pa.binary())])
+        prefix = b"" if merged else b"s"
         for b in slices(batches):
             rows = []
             for k, t in enumerate(b.column(1).to_pylist()):
@@ -179,14 +187,14 @@ def _units(docs: DataFrame, least: int, shortest: int) -> DataFrame:
                     if len(s.split()) < shortest:
                         continue
                     rows.append((k, n, -1, digest(s)))
-                    rows += [(k, n, i, b"s" + xxhash.xxh3_128_digest(x.encode())) for i, j in sentences_of(s) if len((x := s[i:j].strip()).split()) >= least and len(x) < len(s)]
+                    rows += [(k, n, i, prefix + xxhash.xxh3_128_digest(x.encode())) for i, j in sentences_of(s) if len((x := s[i:j].strip()).split()) >= least and len(x) < len(s)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield batch(schema, b.column(0).take(at), b.column(2).take(at), *([r[i] for r in rows] for i in (1, 2, 3)))
 
     return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, at int, digest binary")
 
 
-def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None, shortest: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None, shortest: int | None = None, merged: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, of, line, at, digest, keep): each paragraph (at -1) or sentence and the first place of its class.
 
     Null and empty texts have none; rows repeated under one id with one text are one document. A paragraph of one
@@ -195,7 +203,7 @@ def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int
     ready(docs.sparkSession)
     own = id_text(docs, id_col, text_col)
     shortest = least if shortest is None else shortest
-    units = staged(_units(own, least, shortest), "units")
+    units = staged(_units(own, least, shortest, merged), "units")
     classes = components(staged(near_links(own, similarity, width, shortest, recall, tau), "links"))
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.join(classes.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or root is not null")
@@ -239,24 +247,138 @@ def without(text: str, drop: list[tuple[int, int]]) -> tuple[str, int, int]:
     return "\n".join(out), len(whole), cut
 
 
-def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+_WORD = re.compile(r"\S+")
+_MARK = ".,;:!?\"'()[]"
+
+
+def _windows(text: str, width: int, known: dict[str, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The hash of each window of `width` words, lowered and without marks at their ends; the words' spans."""
+    spans, h = [], []
+    for m in _WORD.finditer(text):
+        w = m[0]
+        if (x := known.get(w)) is None:
+            if len(known) > 200_000:
+                known.clear()
+            x = known[w] = xxhash.xxh3_64_intdigest((w.lower().strip(_MARK) or w).encode())
+        spans.append(m.span())
+        h.append(x)
+    n = len(h) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64), spans
+    h, out = np.array(h, np.uint64), np.zeros(n, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32)), spans
+
+
+def _minima(h: np.ndarray, reach: int) -> np.ndarray:
+    """The distinct values that are the smallest of some `reach` neighbours."""
+    n = len(h) - reach + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    low = h[:n].copy()
+    for i in range(1, reach):
+        np.minimum(low, h[i : i + n], out=low)
+    return np.unique(low)
+
+
+def _keys_of(docs: DataFrame, keys: Callable[[str, dict[str, int]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(doc_id, of, at, key) for the places and keys of each kept text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
+        known: dict[str, int] = {}
+        for b in slices(batches, "kept", 2 << 20):
+            found = [keys(t, known) for t in b.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for _, k in found]))
+            at, key = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            yield batch(schema, b.column(0).take(row), b.column(1).take(row), at.astype(np.int32), key.astype(np.uint64).view(np.int64))
+
+    return docs.select("doc_id", "of", "kept").mapInArrow(run, "doc_id bigint, of bigint, at int, key bigint")
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """(doc_id, of, at, key, first): rows whose key stands at more than one place; its first place."""
+    place = F.struct("doc_id", "of", "at")
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = staged(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"), "firsts")
+    return lookup(found, firsts, ["key"], found.count()).where("first is not null")
+
+
+def passages(docs: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, of, cut, first_id): the first words of windows that repeat an earlier one, in docs (doc_id, of, kept);
+    the smallest doc_id that holds the earlier place."""
+    half = passage // 2
+
+    def few(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        # Windows of passage - half words: a run of `passage` words has half + 1 of them. In one document a run may be
+        # repeated as well, so that a key's count of places matters, not of documents.
+        h, _ = _windows(text, passage - half, known)
+        at = np.nonzero(np.isin(h, _minima(h, half + 1)))[0]
+        return at, h[at]
+
+    def all_(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        h, _ = _windows(text, passage, known)
+        return np.arange(len(h)), h
+
+    some = _repeated(staged(_keys_of(docs, few), "anchors")).select("doc_id", "of").distinct()
+    own = _join(docs, some.withColumn("__some", F.lit(True)), ["doc_id", "of"], ["__some"], "inner")
+    found = _repeated(staged(_keys_of(own, all_), "windows"))
+    gone = found.where(~F.col("first").eqNullSafe(F.struct("doc_id", "of", "at")))
+    return gone.groupBy("doc_id", "of").agg(F.collect_set("at").alias("cut"), F.min("first.doc_id").alias("first_id"))
+
+
+def without_words(text: str, cut: list[int], passage: int) -> tuple[str, int]:
+    """(text without the words of the windows that begin at `cut`, runs gone). Lines of which nothing is left go."""
+    spans, runs = [m.span() for m in _WORD.finditer(text)], []
+    for at in sorted(cut):
+        if runs and at <= runs[-1][1]:
+            runs[-1][1] = at + passage
+        else:
+            runs.append([at, at + passage])
+    out, at = [], 0
+    for i, j in runs:
+        lo, hi = spans[i][0], spans[j - 1][1]
+        # Where lines are cut inside, one line end stays between what is left on both sides.
+        out += [text[at:lo], "\n" if "\n" in text[lo:hi] else ""]
+        at = hi
+    left = "".join([*out, text[at:]])
+    return "\n".join(x for x in (y.strip() for y in left.split("\n")) if x), len(runs)
+
+
+def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 0, **options) -> DataFrame:
     """One row for each document: doc_id, class_id, n_paragraphs, n_removed, n_sentences_removed, kept (the text).
 
-    class_id is the smallest doc_id that holds the first place of a class of one of its paragraphs or sentences, its
-    own if it has none. Documents without repeats keep their text as it is.
+    class_id is the smallest doc_id that holds the first place of a class of one of its paragraphs or sentences, or of
+    its passages, its own if it has none. n_sentences_removed counts passages as well. Documents without repeats keep
+    their text as it is.
     """
-    info = _per_document(near_paragraphs(docs, id_col=id_col, text_col=text_col, **options))
+    info = _per_document(near_paragraphs(docs, id_col=id_col, text_col=text_col, merged=bool(passage), **options))
     own = _keyed(id_text(docs, id_col, text_col))
+    kind = "doc_id bigint, of bigint, class_id bigint, n_paragraphs bigint, n_removed bigint, n_sentences_removed bigint, kept string"
+    fields = [("doc_id", pa.int64()), ("of", pa.int64()), ("class_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_removed", pa.int64()), ("n_sentences_removed", pa.int64()), ("kept", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("class_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_removed", pa.int64()), ("n_sentences_removed", pa.int64()), ("kept", pa.string())])
         for b in slices(batches):
             rows = [without(t, [(x["line"], x["at"]) for x in d or []]) for t, d in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True)]
-            yield batch(schema, b.column("doc_id"), b.column("class_id"), b.column("n_paragraphs"), [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+            yield batch(pa.schema(fields), b.column("doc_id"), b.column("of"), b.column("class_id"), b.column("n_paragraphs"), [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "kept"):
+            rows = [without_words(t, d, passage) if d else (t, 0) for t, d in zip(b.column("kept").to_pylist(), b.column("cut").to_pylist(), strict=True)]
+            n = [x + y for x, (_, y) in zip(b.column("n_sentences_removed").to_pylist(), rows, strict=True)]
+            yield batch(pa.schema(fields), *(b.column(c) for c in ("doc_id", "of", "class_id", "n_paragraphs", "n_removed")), n, [r[0] for r in rows])
 
     joined = _join(own, info, ["doc_id", "of"], ["n_paragraphs", "drop", "class_id"], "left")
-    joined = joined.select("doc_id", "text", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "drop", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return joined.mapInArrow(run, "doc_id bigint, class_id bigint, n_paragraphs bigint, n_removed bigint, n_sentences_removed bigint, kept string")
+    joined = joined.select("doc_id", "of", "text", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "drop", F.coalesce("class_id", "doc_id").alias("class_id"))
+    left = joined.mapInArrow(run, kind)
+    if passage:
+        forget(docs.sparkSession)
+        left = staged(left, "left")
+        left = _join(left, passages(left, passage), ["doc_id", "of"], ["cut", "first_id"], "left")
+        left = left.withColumn("class_id", F.least("class_id", "first_id")).mapInArrow(cut, kind)
+    return left.drop("of")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -508,6 +508,22 @@ def test_short_paragraphs(spark):
     assert got == [(0, 3, 0, texts[0]), (1, 3, 2, "no, sir."), (2, 1, 0, "x")]
 
 
+def test_passages_in_paragraphs(spark):
+    rng = random.Random(21)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    run, other, one = new(35), new(29), new(12) + "."
+    a = [new(40) + " " + run + " " + new(40), new(25), other + " " + new(50), new(30) + ". " + one + " " + new(30)]
+    head, tail, line, end = new(60), new(50), new(40), new(45)
+    texts = ["\n".join(a), head + " " + run.upper() + "; " + tail, new(30) + "\n" + line + " " + run[:118] + "\n" + run[119:] + " " + end, new(50) + " " + other, one + "\n" + new(20)]
+    df = spark.createDataFrame([*enumerate(texts), (None, None), (9, "")], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(df, passage=30, shortest=1).collect()}
+    kept = {i: r["kept"] for i, r in got.items()}
+    assert kept[0] == texts[0] and kept[3] == texts[3] and kept[None] == kept[9] == "" and len(got) == 7
+    assert kept[1].split() == [*head.split(), *([";"] if ";" in kept[1] else []), *tail.split()] and got[1]["class_id"] == 0
+    assert run.split()[3] not in kept[2] and line in kept[2] and end in kept[2]
+    assert kept[4] == texts[4].split("\n")[1] and got[4]["n_removed"] == 1
+
+
 # ------------------------------------------------------------------------------------------ suffix arrays
 
 
