@@ -23,11 +23,13 @@ from docweir.llm.common import batch, id_text, ready, shared_dir, slices, tidy
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-#: Entries of a worker's caches; they are emptied beyond. A task that ends empties them, too.
-CACHE = 250_000
+#: Entries of a worker's cache; it is emptied beyond. A task that ends empties it, too.
+CACHE = 400_000
 
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
+#: ASCII marks: a run of them after a word is one pre-token.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def vocabulary(name: str = WORD_BPE) -> str:
@@ -43,6 +45,13 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _lowered() -> dict[int, str]:
+    """For str.translate: a plain character, lowered, as its bytes' characters."""
+    table = _byte_chars()
+    plain = [*range(33, 127), *range(0xA1, 0x130), *range(0x131, 0x250)]
+    return {c: "".join(table[b] for b in chr(c).lower().encode()) for c in plain}
+
+
 class Encoder:
     """ids of many texts at once. Any tokenizer file works; files of the known word-level form work fast."""
 
@@ -63,38 +72,53 @@ class Encoder:
         if self.words:
             self.model._resize_cache(0)
         self.find = regex.compile(PRETOKENS).findall
-        self.table = _byte_chars()
+        self.table = _lowered()
         self._empty()
 
     def _empty(self) -> None:
+        """Forgets all chunks. Chunk k's ids are flat[ends[k]:ends[k + 1]]."""
         self.chunks: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.flat, self.ends = array("i"), array("q", [0])
 
     def rest(self) -> None:
-        """Gives the caches' memory back when a task ends; the vocabulary stays."""
+        """Gives the cache's memory back when a task ends; the vocabulary stays."""
         self._empty()
         tidy()
 
-    def _chunk(self, c: str) -> list[int]:
-        if c.isascii() and c.isalpha():
-            # Lower already: ASCII letters are lowered before the cut.
-            if (ids := self.pieces.get(c)) is None:
-                ids = self.pieces[c] = [t.id for t in self.model.tokenize(c)]
-            return ids
+    def _add(self, chunk: str, ids) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        k = self.chunks[chunk] = len(self.ends) - 2
+        return k
+
+    def _ids(self, k: int) -> array:
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
+    def _piece(self, p: str) -> int:
+        """The code of a pre-token of plain characters."""
+        if (k := self.chunks.get(p)) is None:
+            k = self._add(p, [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.table))])
+        return k
+
+    def _chunk(self, c: str) -> int:
+        """The code of a new chunk, of which ASCII letters are lowered already."""
+        word = c.rstrip(_MARKS)
+        if not (word.isascii() or _PLAIN(word)):
+            return self._add(c, self.tokenizer.encode(c, add_special_tokens=False).ids)
+        if word.isalpha():
+            k = self._piece(word)
+            return k if len(word) == len(c) else self._add(c, self._ids(k) + self._ids(self._piece(c[len(word) :])))
         if not _PLAIN(c):
-            return self.tokenizer.encode(c, add_special_tokens=False).ids if c else []
-        c = c.lower()
-        out: list[int] = []
-        for p in [c] if c.isalpha() else self.find(c):
-            if (ids := self.pieces.get(p)) is None:
-                ids = self.pieces[p] = [t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.table))]
-            out += ids
-        return out
+            return self._add(c, self.tokenizer.encode(c, add_special_tokens=False).ids if c else [])
+        out = array("i")
+        for p in self.find(c.lower()):
+            out += self._ids(self._piece(p))
+        return self._add(c, out)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]. Null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Not as large_string: Arrow's kernels misread a slice that was cast to it.
+        texts = pc.fill_null(texts, "")
         special = None
         if self.words:
             for s in self.specials:
@@ -104,18 +128,12 @@ class Encoder:
             return self._slowly(texts, special)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.values.dictionary_encode()
-        if len(self.chunks) > CACHE or len(self.pieces) > CACHE:
+        if len(self.chunks) > CACHE:
             self._empty()
-        get, codes = self.chunks.get, np.empty(len(coded.dictionary), np.int64)
-        own, extend, append = self._chunk, self.flat.extend, self.ends.append
-        for i, c in enumerate(coded.dictionary.to_pylist()):
-            if (k := get(c)) is None:
-                extend(own(c))
-                append(len(self.flat))
-                k = self.chunks[c] = len(self.ends) - 2
-            codes[i] = k
+        own, known = self._chunk, coded.dictionary.to_pylist()
+        codes = [own(c) if k is None else k for c, k in zip(known, map(self.chunks.get, known), strict=True)]
         flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
-        word = codes[coded.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.empty(0, np.int64)
+        word = np.array(codes, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if codes else np.empty(0, np.int64)
         first, size = ends[:-1][word], np.diff(ends)[word]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]

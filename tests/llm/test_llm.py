@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweir.llm import components, decontam, lines, media, packing, paragraphs, pii, quality, simhash, suffix, tokens
@@ -127,6 +128,20 @@ def test_token_orc(docs, ids, empty, repeated, spark, tmp_path):
     assert len(starts) == 5 and 0 in starts
 
 
+def test_encoder_slices_and_odd_characters():
+    """Slices of an Arrow array, characters whose lower case grows, marks around words, spaces of every kind."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    signs = "ab'stréÉÀİıﬁ\u0301   \t\n.,!?(-1٣½ªµſǅŒßØ日\u2019\u201c\x85\x1cΣςΑ\U0001f600"
+    own = ["".join(rng.choice(signs) for _ in range(rng.randrange(50))) for _ in range(1500)]
+    own += ["don't 's can'ts we'll're ''s x'' ÉTÉ! été's (l'été)", "<|endoftext|> x", "İ", "İ!!", "", None]
+    enc, plain = tokens.Encoder(tokens.vocabulary()), Tokenizer.from_file(tokens.vocabulary())
+    for part in (pa.array(own), pa.array(own).slice(700), pa.array(own).slice(3, 40)):
+        got, off = enc.encode(part)
+        assert [got[i:j].tolist() for i, j in zip(off[:-1], off[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
 def test_packing(docs, ids, empty, repeated):
     got = packing.pack(docs, with_ids=True).collect()
     have = {i: [] for i in range(len(ids))}
