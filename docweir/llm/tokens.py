@@ -46,10 +46,10 @@ def _byte_chars() -> dict[int, str]:
 
 
 def _lowered() -> dict[int, str]:
-    """For str.translate: a plain character, lowered, as its bytes' characters."""
+    """For str.translate: a plain character, or what it becomes in lower case, lowered, as its bytes' characters."""
     table = _byte_chars()
-    plain = [*range(33, 127), *range(0xA1, 0x130), *range(0x131, 0x250)]
-    return {c: "".join(table[b] for b in chr(c).lower().encode()) for c in plain}
+    plain = [chr(c) for c in range(33, 0x250) if _PLAIN(chr(c))]
+    return {ord(c): "".join(table[b] for b in c.lower().encode()) for c in {*plain, *(c.lower() for c in plain)}}
 
 
 class Encoder:
