@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweir.plans.context import Context
 from docweir.plans.pipeline import run
+from docweir.shared import shared_base
 from docweir.sources.collections import CollectionStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,16 +19,8 @@ SQL: dict[str, str] = {}
 
 
 def store(spark: SparkSession) -> CollectionStore:
-    """Collections of one query, below the shared folder of the cluster, or a temporary one in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import atexit
-        import shutil
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="docweir-store-")
-        atexit.register(shutil.rmtree, base[7:], True)
-    return CollectionStore(spark, f"{base.rstrip('/')}/collections-{uuid.uuid4().hex}")
+    """Collections of one query, below the shared folder."""
+    return CollectionStore(spark, f"{shared_base(spark)}/collections-{uuid.uuid4().hex}")
 
 
 def stages(name: str, table: str, pipeline: list, sql: str, finish: Callable[[DataFrame], DataFrame] | None = None, **context) -> None:

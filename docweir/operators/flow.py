@@ -10,32 +10,41 @@ from docweir.functions.expressions import Json, compile_expression, family
 from docweir.functions.paths import quoted
 from docweir.operators.fields import must, scope_of
 from docweir.plans.context import KEY, Context
+from docweir.shared import staged
+
 
 def per(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     """Batches of `amount` documents in order, the last one possibly smaller, as arrays in the field `as`.
 
     Positions come from sorted partitions and the counts of those before them, so that no task sorts the whole input.
-    A timeout can't end batches of a finite input early; streams have it (docweir.streaming).
+    Without ctx.order_by the order is that in which the rows are read. A timeout can't end batches of a finite input
+    early; streams have it (docweir.streaming).
     """
     must(isinstance(spec, dict) and "amount" in spec and "as" in spec, "$per takes an object with amount and as")
     n = int(spec["amount"])
     must(n > 0, "$per needs a positive amount")
     names = [c for c in df.columns if c != KEY]
     doc = F.struct(*[F.col(quoted(c)) for c in names])
-    rows = numbered(df.select(doc.alias("__doc"), (F.col(quoted(ctx.order_by)) if ctx.order_by else F.monotonically_increasing_id()).alias("__s")), "__s")
+    order = [F.col(quoted(ctx.order_by)).alias("__s")] if ctx.order_by else []
+    rows = numbered(df.select(doc.alias("__doc"), *order), "__s" if order else None)
     groups = rows.groupBy(F.floor(F.col("__at") / n).alias("__g")).agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("a"), F.col("__doc").alias("d")))).alias("__docs"))
     out = groups.select(F.transform("__docs", lambda e: e["d"]).alias(spec["as"]), "__g")
     return (out.withColumn(KEY, F.expr("uuid()")) if KEY in df.columns else out).drop("__g")
 
 
-def numbered(rows: DataFrame, by: str) -> DataFrame:
-    """rows with __at: each row's place, from 0, in the order of a column."""
-    spread = rows.repartitionByRange(F.col(by)).withColumn("__p", F.spark_partition_id())
-    local = spread.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(by)))
-    counts = spread.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+def numbered(rows: DataFrame, by: str | None) -> DataFrame:
+    """rows with __at: each row's place, from 0, in the order of a column, or as they are read.
+
+    A row id names its partition and its place there. It is written with its row: planned anew for each reader, rows
+    may lie in other partitions.
+    """
+    spread = rows.repartitionByRange(F.col(by)).sortWithinPartitions(by) if by else rows
+    fixed = staged(spread.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
+    counts = fixed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     # One row for each partition.
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))
-    return local.join(F.broadcast(before), "__p").withColumn("__at", F.col("__i") - 1 + F.col("__base")).drop("__p", "__i", "__base")
+    return fixed.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("__at", place + F.col("__base")).drop("__p", "__row", "__base")
 
 
 def probe(df: DataFrame, spec: Json, ctx: Context, time_col: str = "ts") -> DataFrame:

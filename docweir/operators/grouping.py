@@ -85,29 +85,35 @@ def _is_literal(v: Json) -> bool:
     return v is None or isinstance(v, bool | int | float) or isinstance(v, str) and not v.startswith("$")
 
 
-def group(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
-    """_id is a literal (one group, _id null), an expression, or an object of expressions; the rest are accumulators.
-
-    Without accumulators the result is the distinct ids. A changelog needs ctx.order_by: each row's aggregates are
-    those of the rows so far, and a row is told only if they are other than before.
-    """
-    must(isinstance(spec, dict) and "_id" in spec, "$group takes an object with _id")
-    scope = scope_of(df, ctx)
+def parts(spec: dict, scope: Scope, ctx: Context) -> tuple[Column, dict[str, tuple[str, Column, Callable]]]:
+    """The id of a $group and, by field, its accumulators: (operator, argument, aggregate)."""
     ident = spec["_id"]
     key = F.lit(None).cast("string") if _is_literal(ident) else compile_expression(ident, scope)
-    if not _is_literal(ident):
-        # An id that is an array updates its group, which is never told.
-        if isinstance(scope.type_of(key), T.ArrayType):
-            return df.select(key.alias("_id")).limit(0)
     own: dict[str, tuple[str, Column, Callable]] = {}
     for name, v in spec.items():
         if name in ("_id", "_collection"):
             continue
-        known = isinstance(v, dict) and len(v) == 1 and accumulator(*next(iter(v.items())), scope)
+        known = isinstance(v, dict) and len(v) == 1 and accumulator(*next(iter(v.items())), scope, ctx.strict_nulls)
         if not known:
             must(not ctx.strict, f"unknown accumulator {name}: {v}")
             continue
         own[name] = (next(iter(v)), *known)
+    return key, own
+
+
+def group(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
+    """_id is a literal (one group, _id null), an expression, or an object of expressions; the rest are accumulators.
+
+    Without accumulators the result is the distinct ids. A changelog needs ctx.order_by: each row's aggregates are
+    those of the rows so far, and a row is told only if they are other than before.
+    """
+    must(isinstance(spec, dict) and "_id" in spec, "$group takes an object with _id")
+    scope = scope_of(df, ctx)
+    ident = spec["_id"]
+    key, own = parts(spec, scope, ctx)
+    # An id that is an array updates its group, which is never told.
+    if not _is_literal(ident) and isinstance(scope.type_of(key), T.ArrayType):
+        return df.select(key.alias("_id")).limit(0)
     if ctx.mode == "changelog" and ctx.order_by:
         return _changelog(df, key, _is_literal(ident), own, ctx)
     needs = any(op in _ORDERED for op, _, _ in own.values())
@@ -166,6 +172,11 @@ def x_of(own: dict, i: int) -> Column:
 
 def bucket(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     """A group for each interval [lower, upper) of the boundaries, named by its lower end, and one for the rest."""
+    return group(df, bucket_spec(spec), ctx)
+
+
+def bucket_spec(spec: Json) -> dict:
+    """The $group that a $bucket stands for."""
     must(isinstance(spec, dict), "$bucket takes an object")
     bounds = spec.get("boundaries") or []
     rank = [(RANK[{bool: "boolean", int: "number", float: "number", str: "string"}.get(type(b), "object")], b) for b in bounds]
@@ -178,7 +189,7 @@ def bucket(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
         if mixed:
             branches = [{**b, "then": str(b["then"])} for b in branches]
         ident = {"branches": branches, "default": str(spec["default"]) if mixed else spec["default"]}
-    return group(df, {"_id": {"$switch": ident}, **spec["output"]}, ctx)
+    return {"_id": {"$switch": ident}, **spec["output"]}
 
 
 def count(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:

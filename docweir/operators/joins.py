@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docweir.functions.expressions import Json, Scope, compile_expression
 from docweir.functions.paths import lookup_type, quoted
 from docweir.functions.predicates import compile_match
+from docweir.operators import fields, grouping
 from docweir.operators.fields import must, scope_of
 from docweir.plans.context import KEY, Context
 
-ROW = "__row"
-
 
 def _foreign(df: DataFrame, spec: dict, ctx: Context) -> DataFrame:
     store = ctx.collections() if not (spec.get("connectionString") and spec.get("database")) else ctx.stores[(spec["connectionString"], spec["database"])]
@@ -58,27 +60,33 @@ def _equal(df: DataFrame, foreign: DataFrame, spec: dict, ctx: Context) -> DataF
         grouped = right.groupBy("__fk").agg(F.collect_list("__doc").alias("__docs"))
         out = left.join(grouped, same(F.col("__lk"), F.col("__fk")), how)
         return out.select(*[F.col(quoted(c)) for c in kept], F.coalesce("__docs", empty).alias(name))
-    left = left.withColumn(ROW, F.monotonically_increasing_id())
-    keys = left.select(ROW, F.explode(F.array_distinct("__lk")).alias("__k"))
-    found = keys.join(right, same(F.col("__k"), F.col("__fk"))).groupBy(ROW).agg(F.collect_list("__doc").alias("__docs"))
-    out = left.join(found, ROW, how)
+    # The array itself is the key: its matches are the same whatever row it stands in, and wherever that row lies.
+    arrays = left.select(F.col("__lk").alias("__ka")).where("__ka is not null").distinct()
+    keys = arrays.select("__ka", F.explode(F.array_distinct("__ka")).alias("__k"))
+    found = keys.join(right, same(F.col("__k"), F.col("__fk"))).groupBy("__ka").agg(F.collect_list("__doc").alias("__docs"))
+    out = left.join(found, F.col("__lk") == F.col("__ka"), how)
     return out.select(*[F.col(quoted(c)) for c in kept], F.coalesce("__docs", empty).alias(name))
 
 
 def _correlated(df: DataFrame, foreign: DataFrame, spec: dict, ctx: Context) -> DataFrame:
-    """Leading matches become the join's condition, equalities its keys; what follows runs on the joined rows, or,
-    if it needs all of a row's matches, inside that row's group."""
+    """What the pipeline finds depends on the values of `let` alone, so it is run once for each distinct combination
+    of them, and rows get the result of theirs.
+
+    Leading matches become the join's condition, equalities its keys; what follows runs on the joined rows, or, if it
+    needs all matches of a combination, inside its group. Without an equality among the leading matches each
+    combination meets each foreign row; without `let` the pipeline runs once.
+    """
     name, scope = spec["as"], scope_of(df, ctx)
     let = {k: compile_expression(v, scope) for k, v in spec.get("let", {}).items()}
-    left = df.select("*", *[c.alias(f"__let_{k}") for k, c in let.items()]).withColumn(ROW, F.monotonically_increasing_id())
+    held = {k: f"__let_{k}" for k in let}
+    left = df.select("*", *[c.alias(held[k]) for k, c in let.items()])
+    kept = [c for c in df.columns if c != name]
+    combinations = left.select(*held.values()).distinct() if let else df.sparkSession.range(1).select()
     names = {c: f"__f_{c}" for c in foreign.columns}
     right = foreign.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
-    kinds = {k: left.schema[f"__let_{k}"].dataType for k in let}
-    stages = list(spec["pipeline"])
-    condition = F.lit(True)
+    variables = {k: (F.col(held[k]), left.schema[held[k]].dataType) for k in let}
     inside = T.StructType([T.StructField(c, foreign.schema[c].dataType) for c in foreign.columns])
-    seen = left.join(right, F.lit(True))  # for types only; it is never run
-    variables = {k: (F.col(f"__let_{k}"), kinds[k]) for k in let}
+    seen = combinations.join(right, F.lit(True))  # for types only; it is never run
 
     class Renamed(Scope):
         def read(self, path: str) -> Column:
@@ -94,52 +102,89 @@ def _correlated(df: DataFrame, foreign: DataFrame, spec: dict, ctx: Context) ->
             return F.struct(*[F.col(quoted(n)).alias(c) for c, n in names.items()])
 
     own = Renamed(seen, inside, None, variables, ctx.functions)
-    first = True
+    stages, condition = list(spec["pipeline"]), None
     while stages and "$match" in stages[0]:
         part = compile_match(stages.pop(0)["$match"], own)
-        condition = part if first else condition & part
-        first = False
-    joined = left.join(right, condition)
-    doc = F.struct(*[F.col(quoted(n)).alias(c) for c, n in names.items()])
-    kept = [c for c in df.columns if c != name]
-    rows = joined.select(*[F.col(quoted(c)) for c in kept], ROW, *[F.col(f"__let_{k}") for k in let], doc.alias("__doc"))
-    if stages:
-        rows = _inner_stages(rows, stages, kept, let, ctx)
+        condition = part if condition is None else condition & part
+    joined = combinations.join(right, F.lit(True) if condition is None else condition)
+    rows = joined.select(*held.values(), F.struct(*[F.col(quoted(n)).alias(c) for c, n in names.items()]).alias("__doc"))
+    rows = _inner_stages(rows, stages, held, variables, ctx)
+    mine = F.lit(True)
+    for i, c in enumerate(held.values()):
+        rows = rows.withColumnRenamed(c, f"__r{i}")
+        mine = mine & F.col(c).eqNullSafe(F.col(f"__r{i}"))
     if spec.get("unwind"):
-        return rows.select(*[F.col(quoted(c)) for c in kept], F.col("__doc").alias(name))
-    found = rows.groupBy(ROW).agg(F.collect_list("__doc").alias("__docs"))
+        return left.join(rows, mine).select(*[F.col(quoted(c)) for c in kept], F.col("__doc").alias(name))
+    keys = [f"__r{i}" for i in range(len(held))]
+    found = rows.groupBy(*keys).agg(F.collect_list("__doc").alias("__docs"))
+    if not keys:
+        # One row, with an empty array, for all rows of the input: an inner join must drop them.
+        found = found.where(F.size("__docs") > 0)
     empty = F.array().cast(T.ArrayType(rows.schema["__doc"].dataType))
-    out = left.join(found, ROW, "inner" if spec.get("inner") else "left")
+    out = left.join(found, mine, "inner" if spec.get("inner") else "left")
     return out.select(*[F.col(quoted(c)) for c in kept], F.coalesce("__docs", empty).alias(name))
 
 
-def _inner_stages(rows: DataFrame, stages: list[dict], kept: list[str], let: dict, ctx: Context) -> DataFrame:
-    """Stages on the matches of each local row; sort, skip and limit are per row, by a ranked window."""
-    from dataclasses import replace
+#: Stages that look at one document at a time.
+_SINGLE = {
+    "$project": fields.project,
+    "$addFields": fields.add_fields,
+    "$set": fields.add_fields,
+    "$unset": fields.unset,
+    "$replaceWith": fields.replace_with,
+    "$replaceRoot": fields.replace_root,
+    "$unwind": fields.unwind,
+    "$redact": fields.redact,
+}
 
-    from docweir.operators import fields
-    from pyspark.sql.window import Window
 
+def _inner_stages(rows: DataFrame, stages: list[dict], held: dict[str, str], variables: dict, ctx: Context) -> DataFrame:
+    """Stages on the matches (__doc) of each combination of variables; sort, skip, limit, group and count are within
+    a combination."""
     order: list[Column] = []
+    carried = list(held.values())
     for stage in stages:
         (op, arg), = stage.items()
+        kind = rows.schema["__doc"].dataType
+        scope = Scope(rows, kind, F.col("__doc"), variables, ctx.functions)
         if op == "$sort":
             order = [F.col(f"__doc.{quoted(k)}").asc() if v > 0 else F.col(f"__doc.{quoted(k)}").desc() for k, v in arg.items()]
         elif op in ("$limit", "$skip"):
-            w = Window.partitionBy(ROW).orderBy(*(order or [F.lit(1)]))
+            w = Window.partitionBy(*carried).orderBy(*(order or [F.lit(1)]))
             ranked = rows.withColumn("__rank", F.row_number().over(w))
             rows = ranked.where(F.col("__rank") <= arg if op == "$limit" else F.col("__rank") > arg).drop("__rank")
         elif op == "$match":
-            kind = rows.schema["__doc"].dataType
-            scope = Scope(rows, kind, F.col("__doc"), {k: (F.col(f"__let_{k}"), rows.schema[f"__let_{k}"].dataType) for k in let}, ctx.functions)
             rows = rows.where(compile_match(arg, scope))
-        elif op in ("$project", "$addFields", "$set", "$unset", "$replaceWith", "$replaceRoot", "$unwind", "$redact"):
-            table = {"$project": fields.project, "$addFields": fields.add_fields, "$set": fields.add_fields, "$unset": fields.unset, "$replaceWith": fields.replace_with, "$replaceRoot": fields.replace_root, "$unwind": fields.unwind, "$redact": fields.redact}
-            # The rest of the row travels as one field that the stage doesn't touch, under the key's name.
-            carried = F.struct(*[F.col(quoted(c)) for c in [*kept, ROW, *[f"__let_{k}" for k in let]]]).alias(KEY)
-            inner = table[op](rows.select(carried, "__doc.*"), arg, replace(ctx))
-            names = [c for c in inner.columns if c != KEY]
-            rows = inner.select(F.col(f"{KEY}.*"), F.struct(*[F.col(quoted(c)) for c in names]).alias("__doc"))
+        elif op in _SINGLE:
+            # The variables travel as one field that the stage doesn't touch, under the key's name.
+            inner = _SINGLE[op](rows.select(F.struct(*carried, F.lit(0).alias("__z")).alias(KEY), "__doc.*"), arg, replace(ctx))
+            kept = [c for c in inner.columns if c != KEY]
+            rows = inner.select(*[F.col(f"{KEY}.{quoted(c)}").alias(c) for c in carried], F.struct(*[F.col(quoted(c)) for c in kept]).alias("__doc"))
+        elif op in ("$group", "$bucket", "$count"):
+            rows = _grouped(rows, op, arg, carried, scope, order, ctx)
+            order = []
         else:
             raise ValueError(f"{op} can't be used inside $lookup")
     return rows
+
+
+def _grouped(rows: DataFrame, op: str, arg: Json, carried: list[str], scope: Scope, order: list[Column], ctx: Context) -> DataFrame:
+    """Groups within each combination of variables. $first, $last and $push follow a $sort by one field before them."""
+    if op == "$count":
+        must(isinstance(arg, str) and bool(arg), "$count takes a field")
+        arg = {"_id": None, arg: {"$sum": 1}}
+    if op == "$bucket":
+        arg = grouping.bucket_spec(arg)
+    ident, own = grouping.parts(arg, scope, ctx)
+    if isinstance(rows.select(ident.alias("i")).schema["i"].dataType, T.ArrayType):
+        return rows.select(*carried, F.struct(ident.alias("_id"), *[F.lit(None).alias(n) for n in own]).alias("__doc")).limit(0)
+    if order:
+        rows = rows.withColumn("__o", F.row_number().over(Window.partitionBy(*carried).orderBy(*order)))
+    else:
+        rows = rows.withColumn("__o", F.lit(0))
+    flat = rows.select(*carried, ident.alias("_id"), F.col("__o").alias(grouping.SEQ), *[c.alias(f"__x{i}") for i, (_, c, _) in enumerate(own.values())])
+    aggs = [f(F.col(f"__x{i}"), F.col(grouping.SEQ)).alias(n) for i, (n, (_, _, f)) in enumerate(own.items())]
+    keys = flat.groupBy(*carried, "_id")
+    out = keys.agg(*aggs) if aggs else flat.select(*carried, "_id").distinct()
+    shown = [*own] if op == "$count" else ["_id", *own]
+    return out.select(*carried, F.struct(*[F.col(quoted(n)) for n in shown]).alias("__doc"))

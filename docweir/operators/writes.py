@@ -1,7 +1,7 @@
 """Stages that write collections: merge, out, delete, deduplicate.
 
 A batch is applied as a set: per id, the rows of a batch are taken in ctx.order_by, the last one wins, and merging
-folds their fields. The new state of the collection is one join and a rewrite. As an error must leave the collection
+folds their fields. Without ctx.order_by, "last" is the last as the rows are read. The new state of the collection is one join and a rewrite. As an error must leave the collection
 as it was, "fail" is tested before anything is written.
 """
 
@@ -16,6 +16,7 @@ from docweir.functions.expressions import Json, compile_expression
 from docweir.functions.paths import quoted
 from docweir.operators.fields import must, scope_of
 from docweir.plans.context import KEY, Context
+from docweir.shared import staged
 
 
 class MergeFailed(RuntimeError):
@@ -50,27 +51,8 @@ def _folded(df: DataFrame, on: list[str], ctx: Context) -> DataFrame:
     return rows.groupBy(*[F.col(quoted(c)) for c in on]).agg(*[F.max_by(F.col(quoted(c)), F.when(F.col(quoted(c)).isNotNull(), F.col("__s"))).alias(c) for c in names]).select(*df.columns)
 
 
-def merge(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
-    """whenMatched: merge, replace, keepExisting, fail; whenNotMatched: insert, discard, fail.
-
-    Tells, for each incoming row, the document as stored, but with the incoming _id, which is also the key. Incoming
-    rows must have the fields of on.
-    """
-    must(isinstance(spec, dict) and "into" in spec, "$merge takes an object with into")
-    on, matched, other = _on(spec), spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")
-    must(matched in ("merge", "replace", "keepExisting", "fail"), f"whenMatched can't be {matched}")
-    must(other in ("insert", "discard", "fail"), f"whenNotMatched can't be {other}")
-    must(all(c in df.columns for c in on), "$merge needs the fields of on")
-    store, name = ctx.collections(), spec["into"]
-    body = df.drop(KEY)
-    # Written first: the join below is read several times, and by then the collection may have moved on.
-    stored = store.read(name, T.StructType([f for f in body.schema.fields]))
-    exact = [c for c in on if c in stored.columns]
-    must(len(exact) == len(on), f"{name} lacks fields of on")
-    ident = compile_expression(spec.get("key", "$_id"), scope_of(df, ctx)) if "_id" in df.columns or "key" in spec else None
-    incoming = body.withColumn("__key", ident if ident is not None else F.expr("uuid()"))
-    one = _folded(incoming, on, ctx) if matched == "merge" else _newest(incoming, on, ctx)
-    fields = list(dict.fromkeys([*stored.columns, *body.columns]))
+def _merged_state(one: DataFrame, body: DataFrame, stored: DataFrame, name: str, on: list[str], fields: list[str], matched: str, other: str) -> DataFrame:
+    """The collection after a merge of one row for each value of on."""
     flag = F.lit(True)
     both = one.withColumn("__new", flag).alias("n").join(stored.withColumn("__old", flag).alias("o"), _match(on, "n", "o"), "full")
     old, new = F.col("o.__old").isNotNull(), F.col("n.__new").isNotNull()
@@ -94,10 +76,34 @@ def merge(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
             continue
         then = {"merge": F.coalesce(n, o), "replace": n, "keepExisting": o, "fail": o}[matched]
         cols.append(F.when(old & new, then).when(old, o).otherwise(n).alias(c))
-    state = both.select(*cols, new.alias("__new"), old.alias("__old"), *[F.col(f"n.{quoted(c)}").alias(f"__on_{i}") for i, c in enumerate(on)])
-    if other == "discard":
-        state = state.where("__old")
-    store.write(name, state.select(*fields))
+    return (both.where(old) if other == "discard" else both).select(*cols)
+
+
+def merge(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
+    """whenMatched: merge, replace, keepExisting, fail; whenNotMatched: insert, discard, fail.
+
+    Tells, for each incoming row, the document as stored, but with the incoming _id, which is also the key. Incoming
+    rows must have the fields of on.
+    """
+    must(isinstance(spec, dict) and "into" in spec, "$merge takes an object with into")
+    on, matched, other = _on(spec), spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")
+    must(matched in ("merge", "replace", "keepExisting", "fail"), f"whenMatched can't be {matched}")
+    must(other in ("insert", "discard", "fail"), f"whenNotMatched can't be {other}")
+    must(all(c in df.columns for c in on), "$merge needs the fields of on")
+    store, name = ctx.collections(), spec["into"]
+    body = df.drop(KEY)
+    ident = compile_expression(spec.get("key", "$_id"), scope_of(df, ctx)) if "_id" in df.columns or "key" in spec else None
+    incoming = body.withColumn("__key", ident if ident is not None else F.expr("uuid()"))
+    one = _folded(incoming, on, ctx) if matched == "merge" else _newest(incoming, on, ctx)
+    fields: list[str] = []
+
+    def change() -> DataFrame:
+        stored = store.read(name, T.StructType([f for f in body.schema.fields]))
+        must(all(c in stored.columns for c in on), f"{name} lacks fields of on")
+        fields[:] = dict.fromkeys([*stored.columns, *body.columns])
+        return _merged_state(one, body, stored, name, on, fields, matched, other)
+
+    store.update(name, change)
     written = store.read(name)
     # The echo: incoming rows meet what is stored now; keys of inserted rows may be other than their _id.
     echo = df.alias("n").join(written.alias("o"), _match(on, "n", "o") if "_id" not in on or "key" not in spec else F.col("o._id").eqNullSafe(F.col("n._id")))
@@ -122,10 +128,14 @@ def delete(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     for c in on:
         has = F.col(quoted(c)).isNotNull() if has is None else has & F.col(quoted(c)).isNotNull()
     own, store = df.where(has), ctx.collections()
-    if store.exists(spec["from"]):
-        stored = store.read(spec["from"])
-        keys = own.select(*[F.col(quoted(c)) for c in on]).distinct()
-        store.write(spec["from"], stored.alias("o").join(keys.alias("n"), _match(on, "n", "o"), "left_anti"))
+    keys = own.select(*[F.col(quoted(c)) for c in on]).distinct()
+
+    def change() -> DataFrame | None:
+        if not store.exists(spec["from"]):
+            return None
+        return store.read(spec["from"]).alias("o").join(keys.alias("n"), _match(on, "n", "o"), "left_anti")
+
+    store.update(spec["from"], change)
     return own
 
 
@@ -138,14 +148,18 @@ def deduplicate(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     store, name = ctx.collections(), spec["collection"]
     rows = df.withColumn("__value", compile_expression(spec["expression"], scope_of(df, ctx)))
     first = _newest(rows, ["__value"], ctx, last=False)
-    if store.exists(name):
-        known = store.read(name)
-        first = first.join(known.select(F.col("value").alias("__known")), F.col("__value").eqNullSafe(F.col("__known")), "left_anti")
-        values = known.select("value", "_timestamp").unionByName(first.select(F.col("__value").alias("value"), F.current_timestamp().alias("_timestamp")))
-    else:
-        values = first.select(F.col("__value").alias("value"), F.current_timestamp().alias("_timestamp"))
-    # What passes is settled before the collection changes.
-    version = f"{name}.passed"
-    store.write(version, first.drop("__value"))
-    store.write(name, values)
-    return store.read(version)
+    settled: list[DataFrame] = []
+
+    def change() -> DataFrame:
+        passed, values = first, None
+        if store.exists(name):
+            known = store.read(name)
+            passed = first.join(known.select(F.col("value").alias("__known")), F.col("__value").eqNullSafe(F.col("__known")), "left_anti")
+            values = known.select("value", "_timestamp")
+        # What passes is settled before the collection changes.
+        settled[:] = [staged(passed, "passed")]
+        new = settled[0].select(F.col("__value").alias("value"), F.current_timestamp().alias("_timestamp"))
+        return new if values is None else values.unionByName(new)
+
+    store.update(name, change)
+    return settled[0].drop("__value")

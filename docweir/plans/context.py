@@ -19,6 +19,7 @@ class Context:
     """store: named collections; stores: others by (connection, database).
 
     mode "final" gives one row a group, "changelog" one row a change of a group's state, in the order of order_by.
+    With strict_nulls a null is the least value for $min; otherwise $min passes over it.
     strict rejects unknown stages and accumulators; otherwise they are passed over. stages and functions are the
     caller's own; a built-in stage wins over one of the same name. What stages send aside (topics, deletions, probes)
     is handed to sink(kind, name, frame), or kept in `sides`.
@@ -30,6 +31,7 @@ class Context:
     mode: str = "final"
     order_by: str | None = None
     strict: bool = True
+    strict_nulls: bool = False
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     stages: dict[str, Callable] = field(default_factory=dict)
     scripts: dict[str, Callable] = field(default_factory=dict)

@@ -93,3 +93,40 @@ def test_out_delete_deduplicate(spark, ctx):
     spec = [{"$deduplicate": {"expression": "$_id", "collection": "seen"}}]
     assert [r["seq"] for r in run(two, spec, ordered).orderBy("seq").collect()] == [0, 1]
     assert run(two, spec, ordered).collect() == [] and ctx.store.read("seen").count() == 2
+
+
+def test_two_writers_from_one_state(spark, store):
+    from docweir.sources.collections import Conflict
+
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "_id long")
+    store.write("c", frame(1))
+    seen = store.number("c")
+    store.write("c", frame(1, 2), after=seen)
+    with pytest.raises(Conflict):
+        store.write("c", frame(1, 3), after=seen)
+    assert sorted(r[0] for r in store.read("c").collect()) == [1, 2]
+
+
+def test_update_repeats_after_another_writer(spark, store):
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "_id long")
+    store.write("c", frame(1))
+    turns = []
+
+    def change():
+        now = store.read("c")
+        if not turns:
+            turns.append(1)
+            store.write("c", now.union(frame(2)))
+        return now.union(frame(3))
+
+    store.update("c", change)
+    assert sorted(r[0] for r in store.read("c").collect()) == [1, 2, 3]
+
+
+def test_old_versions_stay_readable_for_a_while(spark, store):
+    frame = lambda v: spark.createDataFrame([(v,)], "_id long")
+    store.write("c", frame(0))
+    first = store.read("c")
+    for v in range(1, 4):
+        store.write("c", frame(v))
+    assert first.collect()[0][0] == 0 and store.read("c").collect()[0][0] == 3

@@ -132,3 +132,50 @@ def test_by_batch_merges(spark, stream, store):
     q.awaitTermination(120)
     assert told == [0, 1] and store.read("latest").count() == 3
     assert {r["seq"] for r in store.read("latest").collect()} == {57, 58, 59}
+
+
+def _wide(spark, n):
+    """Wide rows, in partitions that a join's sides would see differently if they were planned anew."""
+    df = spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 97).alias("k"), F.array((F.col("id") % 5), (F.col("id") % 7)).alias("ks"), F.repeat(F.lit("x"), 200).alias("pad"))
+    return df.repartition(13, "i").filter("i >= 0")
+
+
+def test_per_keeps_all_rows_of_wide_inputs(spark):
+    n = 60_000
+    for order in ("i", None):
+        got = run(_wide(spark, n), [{"$per": {"amount": 7, "as": "b"}}], Context(order_by=order)).select(F.col("b.i").alias("i")).collect()
+        assert sorted(x for r in got for x in r["i"]) == list(range(n))
+        assert sorted(len(r["i"]) for r in got) == sorted([7] * (n // 7) + [n % 7] * (n % 7 > 0))
+    ordered = run(_wide(spark, n), [{"$per": {"amount": 7, "as": "b"}}], Context(order_by="i")).select(F.col("b.i").alias("i")).collect()
+    assert all(list(r["i"]) == list(range(r["i"][0], r["i"][-1] + 1)) and r["i"][0] % 7 == 0 for r in ordered)
+
+
+def test_lookups_after_a_shuffle_find_their_own_matches(spark, store):
+    n = 30_000
+    store.write("f", spark.range(100).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id")).alias("v")))
+    ctx = Context(store=store)
+    by_array = run(_wide(spark, n), [{"$lookup": {"from": "f", "localField": "ks", "foreignField": "k", "as": "m"}}], ctx)
+    for r in by_array.select("i", F.col("m.k").alias("k")).collect():
+        assert sorted(r["k"]) == sorted({r["i"] % 5, r["i"] % 7})
+    pipeline = [{"$match": {"$expr": {"$eq": ["$k", "$$k"]}}}, {"$project": {"v": 1}}]
+    by_let = run(_wide(spark, n), [{"$lookup": {"from": "f", "let": {"k": "$k"}, "pipeline": pipeline, "as": "m"}}], ctx)
+    got = by_let.select("i", "m.v").collect()
+    assert len(got) == n and all(r["v"] == [f"v{r['i'] % 97}"] for r in got)
+
+
+def test_groups_inside_a_lookup(spark, store):
+    store.write("f", spark.createDataFrame([(1, 10), (1, 20), (2, 5), (2, None)], "k long, v long"))
+    df, ctx = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, None), (4, 1)], "i long, k long"), Context(store=store)
+    mine = [{"$match": {"$expr": {"$eq": ["$k", "$$k"]}}}]
+
+    def found(stages, **more):
+        rows = run(df, [{"$lookup": {"from": "f", "let": {"k": "$k"}, "pipeline": mine + stages, "as": "m", **more}}], ctx).collect()
+        return {r["i"]: [x.asDict() for x in r["m"]] for r in rows}
+
+    assert found([{"$group": {"_id": None, "s": {"$sum": "$v"}}}]) == {0: [{"_id": None, "s": 30}], 1: [{"_id": None, "s": 5}], 2: [], 3: [], 4: [{"_id": None, "s": 30}]}
+    assert found([{"$count": "n"}], inner=True) == {0: [{"n": 2}], 1: [{"n": 2}], 4: [{"n": 2}]}
+    assert found([{"$sort": {"v": -1}}, {"$limit": 1}, {"$project": {"v": 1}}])[0] == [{"v": 20}]
+    every = run(df, [{"$lookup": {"from": "f", "pipeline": [{"$group": {"_id": "$k"}}], "as": "m"}}], ctx).collect()
+    assert len(every) == 5 and all(sorted(x["_id"] for x in r["m"]) == [1, 2] for r in every)
+    none = run(df, [{"$lookup": {"from": "f", "pipeline": [{"$match": {"k": 9}}], "as": "m", "inner": True}}], ctx)
+    assert none.count() == 0
