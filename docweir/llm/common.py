@@ -7,7 +7,6 @@ import ctypes
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.shared import shared_dir, staged  # noqa: F401
+
 #: Rows of an Arrow batch that Spark hands to Python. Texts are long: 10,000 of them need not fit a worker.
 ARROW_ROWS = 1000
 #: A key is hot from this share of all rows on, so that at most 1 / HOT_SHARE keys can be hot.
@@ -42,28 +43,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; only where that is unset (tests), below a temporary folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if (found := sc._jsc.sc().getCheckpointDir()).isDefined():
-            base = found.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="docweir-")
-            atexit.register(shutil.rmtree, base[7:], True)
-            sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docweir-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished queries now, not when the driver happens to collect garbage."""
     import gc
