@@ -1,26 +1,20 @@
 """Line de-duplication by a segment-partition edit join.
 
-Lines (stripped, not blank) within `tau` edits of each other, in code points, are linked; a class is what links join,
-and all but its first line (by doc_id, then line) go. A line of length l, cut into tau + 1 segments, shares a whole
-segment with every line within tau edits, at a position that lengths and the segment's number bound. So each line
-is indexed under its segments, and probes with its substrings at those positions, for lengths l - tau to l. What
-meets under a key is filtered by letter counts, then verified by banded bit-parallel edit distance.
-
-With a `share`, a pair is linked within max(tau, share of the longer line's code points) edits. Pairs whose longer line
-has fewer than LONG characters are found by segments as above, all of them. For longer ones tau + 1 segments would be as
-short but many more, so these are found by segments to `tau` edits, all of them, and beyond by GRAMS minima of hashes
-of their 12-grams: two lines with a Jaccard similarity of J between their 12-grams share one with a probability of
-1 - (1 - J) ** GRAMS, which is above 0.999 from J = 0.36 on (some replaced words), 0.94 for 0.17 (edits at random
-places, a tenth of the characters), and less if edits are spread evenly. What meets is verified at the pair's own tau.
-
-Shorter lines than `least` characters are compared for equality only: any two of them are within a few edits.
+Lines (stripped, not blank) are linked if they are within the edits of docweir.llm.segments: a tenth of the shorter
+line's words from 20 words on; below, a tenth of its characters, two at most. A class is what links join, and all but
+its first line (by doc_id, then line) go. No pair within the threshold is missed, and each is counted once.
+
+1. Each line gives keys: of its segments, under which it is indexed, and of its substrings, by which it probes.
+2. Keys travel in packed blocks, dealt to buckets of bounded size; in a bucket, rows stay that share a key with
+   another line, in the other role, whose length and counts of symbols allow the threshold.
+3. The texts of these lines are fetched; a pair is verified by banded bit-parallel edit distance under the smallest key
+   at which it meets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,138 +24,15 @@ from pyspark.sql import functions as F
 
 from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
+from docweir.llm.edits import within, within_pairs
+from docweir.llm.segments import LONG, Lines, allowed, keys, mixed, near, nibbles, threshold
 
-TAU = 2
-#: The edits allowed in a line by the queries, as a share of its code points, where that is more than TAU.
-SHARE = 0.1
-LEAST = 20
-#: From this many characters on, lines meet beyond tau edits by minima; any linked line of such a one has LONG * 0.9.
-LONG = 60
-GRAM, GRAMS = 12, 16
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
-
-
-# ---------------------------------------------------------------------------------------------- strings
-
-
-def segments(length: int, tau: int = TAU) -> list[tuple[int, int]]:
-    """(start, length) of tau + 1 segments, as equal as can be."""
-    parts, size = tau + 1, length // (tau + 1)
-    out, at = [], 0
-    for i in range(parts):
-        n = size + (i >= parts - length % parts)
-        out.append((at, n))
-        at += n
-    return out
-
-
-def probes(length: int, tau: int = TAU, least: int = LEAST) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, size) of the substrings by which a line of `length` probes."""
-    out = []
-    for l in range(max(least, length - tau), length + 1):
-        delta = length - l
-        for i, (p, n) in enumerate(segments(l, tau)):
-            first = max(0, p - i, p + delta - (tau - i))
-            last = min(length - n, p + i, p + delta + (tau - i))
-            out += [(l, i, s, n) for s in range(first, last + 1)]
-    return out
-
-
-def reach(n: int, tau: int, share: float) -> int:
-    """The edits allowed in a pair whose longer line has n characters."""
-    return max(tau, int(n * share))
-
-
-def _exact(n: int, tau: int, share: float) -> int:
-    """The edits to which segments find all of such pairs."""
-    return reach(n, tau, share) if n < LONG else tau
-
-
-def within(a: str, b: str, tau: int = TAU) -> bool:
-    """Whether two texts are within tau edits: common ends go, then bit-parallel columns of a band, ended early."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > tau:
-        return False
-    n = min(len(a), len(b))
-    i = _common(a, b, n)
-    a, b = a[i:], b[i:]
-    j = _common(a[::-1], b[::-1], n - i)
-    if j:
-        a, b = a[:-j], b[:-j]
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return len(b) <= tau
-    return _banded(a, b, tau)
-
-
-def _common(a: str, b: str, n: int) -> int:
-    lo, step = 0, 16
-    while lo < n:
-        k = min(step, n - lo)
-        if a[lo : lo + k] == b[lo : lo + k]:
-            lo += k
-            step *= 2
-        elif k == 1:
-            break
-        else:
-            step = n = max(1, k // 2)
-            n += lo
-            while step >= 1 and lo < n:
-                if a[lo : lo + step] == b[lo : lo + step]:
-                    lo += step
-                elif step == 1:
-                    return lo
-                step = max(1, step // 2)
-            n = min(len(a), len(b))
-            step = 1
-    return lo
-
-
-_WORD = (1 << 64) - 1
-
-
-def _banded(a: str, b: str, tau: int) -> bool:
-    """a is not longer than b. A window of b's differences, of 64 bits or what tau takes, moves down the diagonal, one
-    column for each of a."""
-    if len(b) <= tau:
-        return True
-    if len(b) == tau + 1:
-        return _plain(a, b) <= tau
-    where: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        where[ch] = where.get(ch, 0) | 1 << i
-    top = max(63, 2 * tau + 1)
-    word = _WORD if top == 63 else (2 << top) - 1
-    vp, vn, cost = word << (top - tau) & word, 0, tau
-    start, most, down = tau - top, 2 * tau + len(a) - len(b), 1 << top - 1
-    for i, ch in enumerate(a):
-        found = where.get(ch, 0)
-        x = (found << -start if start < 0 else found >> start) & word
-        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & word
-        hp, hn = (vn | ~(d0 | vp)) & word, d0 & vp
-        if i < len(b) - tau:
-            cost += not d0 >> top
-        else:
-            cost += bool(hp & down) - bool(hn & down)
-            down >>= 1
-        if cost > most:
-            return False
-        vp, vn = (hn | ~(d0 >> 1 | hp)) & word, d0 >> 1 & hp
-        start += 1
-    return cost <= tau
-
-
-def _plain(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+#: Bytes of text whose keys one bucket gets, about: some two million keys.
+BUCKET = 24 << 20
+#: Keys' lines that are verified together, and pairs that are judged together.
+CHUNK, PAIRS = 20_000, 1 << 18
 
 
 # ---------------------------------------------------------------------------------------------- lines of documents
@@ -182,133 +53,22 @@ def short(d: bytes) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, of, line, digest): each line; of tells texts of one doc_id apart."""
+    """(doc_id, of, line, size, digest): each line, its bytes; of tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("digest", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
         for b in slices(batches):
-            rows = [(k, n, s) for k, t in enumerate(b.column(1).to_pylist()) for n, s in lines_of(t)]
+            rows = [(k, n, s.encode()) for k, t in enumerate(b.column(1).to_pylist()) for n, s in lines_of(t)]
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield batch(schema, b.column(0).take(at), b.column(2).take(at), [r[1] for r in rows], [digest(r[2]) for r in rows])
+            yield batch(schema, b.column(0).take(at), b.column(2).take(at), [r[1] for r in rows], [len(r[2]) for r in rows], [xxhash.xxh3_128_digest(r[2]) for r in rows])
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, digest binary")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, size int, digest binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
 
 
-def _letters(line: str) -> int:
-    """Sixteen counts, mod 16, of code points by their last four bits. Each edit moves two of them by one at most."""
-    c = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 15, minlength=16).astype(np.uint64) & np.uint64(15)
-    return int((c << _SHIFTS).sum().astype(np.int64)) if len(c) else 0
-
-
-_SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
-
-
-def _keys(line: str, tau: int, least: int, share: float) -> list[tuple[int, int]]:
-    """(key, role) of a line: role 0 under its own segments, 1 where it probes."""
-    raw, n, f = (line.encode(), len(line), xxhash.xxh3_64_intdigest)
-    plain = len(raw) == n
-    part = (lambda s, k: raw[s : s + k]) if plain else (lambda s, k: line[s : s + k].encode())
-    out = []
-    for t in _own(n, tau, share):
-        out += [(f(part(p, k), n * (t + 1) + i), 0) for i, (p, k) in enumerate(segments(n, t))]
-    t = _exact(n, tau, share)
-    return out + [(f(part(s, k), l * (t + 1) + i), 1) for l, i, s, k in _plan(n, t, least)]
-
-
-@lru_cache(4096)
-def _own(n: int, tau: int, share: float) -> list[int]:
-    """The edits by which lines that are not shorter probe for one of n characters."""
-    if not share:
-        return [tau]
-    longest = next(m for m in range(n, 2 * n + tau + LONG) if m + 1 - n > reach(m + 1, tau, share)) if n < LONG else n
-    return sorted({_exact(m, tau, share) for m in range(n, longest + 1)} | ({tau} if longest >= LONG - tau else set()))
-
-
-_MIX = np.random.default_rng(7).integers(1, 2**63, (GRAMS, 2), dtype=np.uint64) | np.uint64(1)
-
-
-def minima(lines: list[str]) -> np.ndarray:
-    """(line, GRAMS) keys: the smallest hash of its 12-grams under each of GRAMS functions, told apart by function."""
-    n = np.array([len(s) for s in lines])
-    code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    first, last = np.concatenate([[0], np.cumsum(n)[:-1]]), np.cumsum(n)
-    h = np.zeros(len(code) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(h)]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    ok = np.ones(len(code), bool)
-    for k in range(1, GRAM):
-        ok[last - k] = False
-    h, first = h[ok[: len(h)]], first - np.arange(len(lines)) * (GRAM - 1)
-    out = np.empty((len(lines), GRAMS), np.uint64)
-    for k, (a, c) in enumerate(_MIX):
-        x = h * a
-        out[:, k] = (np.minimum.reduceat((x ^ (x >> np.uint64(31))) * c, first) + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-    return out.view(np.int64)
-
-
-_plans: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
-
-
-def _plan(n: int, tau: int, least: int) -> list[tuple[int, int, int, int]]:
-    key = (n, tau, least)
-    if key not in _plans:
-        if len(_plans) > 20_000:
-            _plans.clear()
-        _plans[key] = probes(n, tau, least)
-    return _plans[key]
-
-
-def meetings(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0, far: bool = False) -> DataFrame:
-    """(key, id, role): lines that meet a different line with like letters under a key, in the other role. With
-    `far`, lines that meet by minima, all in role 2."""
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("letters", pa.int64()), ("role", pa.int8()), ("size", pa.int32())])
-        for b in slices(batches, most=2 << 20):
-            seen = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t) if len(s) >= (max(least, GRAM, _least_far(share)) if far else least)})
-            key, role, n = [], [], []
-            for s in seen if not far else []:
-                own = _keys(s, tau, least, share)
-                key += [k for k, _ in own]
-                role += [r for _, r in own]
-                n.append(len(own))
-            ident, letters = (np.array([f(s) for s in seen], np.int64) for f in (lambda s: short(digest(s)), _letters))
-            size = np.array([len(s) for s in seen], np.int32)
-            if not far:
-                yield batch(schema, np.array(key, np.uint64).view(np.int64), np.repeat(ident, n), np.repeat(letters, n), np.array(role, np.int8), np.repeat(size, n))
-            elif seen:
-                yield batch(schema, minima(seen).ravel(), *(np.repeat(x, GRAMS) for x in (ident, letters)), np.full(len(seen) * GRAMS, 2, np.int8), np.repeat(size, GRAMS))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "role"]
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
-        for b in with_end(_gathered(batches)):
-            if b is not None:
-                held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
-            if not len(held[0]):
-                continue
-            new = np.nonzero(held[0][1:] != held[0][:-1])[0]
-            cut = len(held[0]) if b is None else int(new[-1]) + 1 if len(new) else 0
-            if cut:
-                own, held = [x[:cut] for x in held], [x[cut:] for x in held]
-                ok = _like(*own, tau, share)
-                yield pa.RecordBatch.from_arrays([pa.array(own[0][ok]), pa.array(own[1][ok]), pa.array(own[3][ok].astype(np.int8))], names=names)
-
-    own = docs.select("text").mapInArrow(signatures, "key bigint, id bigint, letters bigint, role tinyint, size int")
-    return own.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key bigint, id bigint, role tinyint")
-
-
-def _least_far(share: float) -> int:
-    """The length of the shortest line that can be linked to one of LONG characters or more."""
-    return LONG - int(LONG * share)
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
     own, n = [], 0
     for b in batches:
@@ -322,62 +82,145 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
     tidy()
 
 
-def _nibbles(letters: np.ndarray) -> np.ndarray:
-    raw = letters.astype("<i8").view(np.uint8).reshape(-1, 8)
-    return np.concatenate([raw & 15, raw >> 4], axis=1).astype(np.int8)
+#: A key's row in a block: 6 bytes of key, 8 of id, 2 of length, role and kind, 2 of counts.
+ROW_BYTES = 18
+_MOST = (1 << 14) - 1
+
 
+def _pack(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray) -> bytes:
+    """Columns one after the other."""
+    return b"".join((key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ident.astype("<i8").tobytes(), meta.astype("<u2").tobytes(), counts.astype("<u2").tobytes()))
 
-def _near(a: np.ndarray, b: np.ndarray, tau: int | np.ndarray) -> np.ndarray:
-    d = np.abs(a - b)
-    return np.minimum(d, 16 - d).sum(-1) <= 2 * tau
 
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(body) // ROW_BYTES
+    raw = np.frombuffer(body, np.uint8)
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :6] = raw[: 6 * n].reshape(n, 6)
+    return key.view("<u8").ravel(), raw[6 * n : 14 * n].view("<i8"), raw[14 * n : 16 * n].view("<u2"), raw[16 * n :].view("<u2")
 
-def _allowed(x: np.ndarray, y: np.ndarray, far: np.ndarray | bool, tau: int, share: float) -> np.ndarray:
-    """The edits that pairs of these lengths may have under their key, -1 if their lengths alone differ by more."""
-    n = np.maximum(x, y)
-    t = np.where((n < LONG) | far, np.maximum(tau, (n * share).astype(np.int64)), tau)
-    return np.where((np.abs(x - y) <= t) & ((n >= LONG) | ~np.asarray(far)), t, -1)
 
+def _half(counts: np.ndarray) -> np.ndarray:
+    """Eight counts of four bits, added up in pairs: four counts mod 16, of which an edit still moves two by one."""
+    low, high = counts & np.uint32(0x0F0F0F0F), counts >> np.uint32(4) & np.uint32(0x0F0F0F0F)
+    c = low + high & np.uint32(0x0F0F0F0F)
+    c = c | c >> np.uint32(4)
+    return (c & np.uint32(0xFF) | c >> np.uint32(8) & np.uint32(0xFF00)).astype(np.uint16)
+
+
+def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed rows) of distinct lines. A row's length is in the symbols of its key, 16,383 at most: two
+    lengths are then nearer to each other than they are, never farther."""
+    own = Lines(lines)
+    key, line, probe, words = keys(own)
+    if not len(key):
+        return
+    by_chars, by_words = own.counts()
+    ident = np.array([short(digest(s)) for s in lines], np.int64)
+    n = np.minimum(np.where(words, own.words[line], own.chars[line]), _MOST)
+    meta = n << 2 | words.astype(np.int64) << 1 | probe
+    counts = _half(np.where(words, by_words[line], by_chars[line]))
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in (key, ident[line], meta, counts)]
+    cut = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(bucket)]
+    for i, j in zip(cut, cut[1:], strict=False):
+        yield int(bucket[i]), _pack(*(c[i:j] for c in cols))
+
+
+def meetings(docs: DataFrame, buckets: int) -> DataFrame:
+    """(key, id): lines that may be within the threshold of another one under that key."""
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
+        for b in slices(batches, most=2 << 20):
+            own = list(_blocks(list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t)}), buckets))
+            yield batch(schema, [k for k, _ in own], [x for _, x in own])
 
-def _like(key: np.ndarray, ident: np.ndarray, letters: np.ndarray, role: np.ndarray, size_: np.ndarray, tau: int, share: float) -> np.ndarray:
-    """Rows that have a partner under their key: another line, in the other role or both in role 2, with like letters."""
-    n = len(key)
-    ok = np.zeros(n, bool)
-    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [n]])
-    size = np.diff(first)
-    group = np.repeat(np.arange(len(size)), size)
-    nib = None
-    at = np.nonzero(np.repeat((size > 1) & (size <= 64), size))[0]
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, bucket, held = ["key", "id"], None, []
+        for b in with_end(batches):
+            for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if b is not None else [(None, b"")]:
+                if k != bucket and held:
+                    key, ident = _met(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ident)], names=names)
+                bucket = k
+                held.append(_unpack(body))
+        tidy()
+
+    own = docs.select("text").mapInArrow(signatures, "bucket bigint, body binary")
+    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint")
+
+
+def _fits(meta: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The edits that a row and another one may have by their kinds and lengths, the row being indexed and the other
+    probing; -1 if they can't be a pair."""
+    n, m = (x.astype(np.int64) >> 2 for x in (meta, other))
+    words = meta & 2
+    # Of the shorter line's words only the kind is known here; characters decide if it isn't by words.
+    tau = threshold(n, np.where(words > 0, np.maximum(n, LONG), 0))
+    return np.where((words == other & 2) & (meta & 1 == 0) & (other & 1 == 1) & allowed(n, m, tau), tau, -1)
+
+
+def _quarters(counts: np.ndarray) -> np.ndarray:
+    return (counts[..., None] >> np.arange(0, 16, 4, dtype=np.uint16) & 15).astype(np.int8)
+
+
+def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id) of rows that have a partner under their key."""
+    order = np.argsort(key)
+    key, ident, meta, counts = (c[order] for c in (key, ident, meta, counts))
+    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    size = np.diff(np.append(first, len(key)))
+    # Of most keys there is one line only, in both roles.
+    role = np.bitwise_or.reduceat(1 << (meta & 1), first)
+    some = np.repeat((np.minimum.reduceat(ident, first) != np.maximum.reduceat(ident, first)) & (role == 3), size)
+    key, ident, meta, counts = (c[some] for c in (key, ident, meta, counts))
+    if not len(key):
+        return key, ident
+    ok = np.zeros(len(key), bool)
+    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    size = np.diff(np.append(first, len(key)))
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
+        for a, b in ((i, j), (j, i)):
+            tau = _fits(meta[a], meta[b])
+            k = np.nonzero((tau >= 0) & (ident[a] != ident[b]))[0]
+            k = k[near(_quarters(counts[a[k]]), _quarters(counts[b[k]]), tau[k])]
+            ok[a[k]] = ok[b[k]] = True
+
+    at = np.nonzero(np.repeat(size <= 64, size))[0]
     for d in range(1, 64):
-        at = at[at + d < n]
-        at = at[group[at + d] == group[at]]
+        at = at[at + d < len(key)]
+        at = at[key[at + d] == key[at]]
         if not len(at):
             break
-        k = at[(ident[at] != ident[at + d]) & ((role[at] != role[at + d]) | (role[at] == 2))]
-        if len(k):
-            nib = _nibbles(letters) if nib is None else nib
-            k = k[_near(nib[k], nib[k + d], _allowed(size_[k], size_[k + d], role[k] == 2, tau, share))]
-            ok[k] = ok[k + d] = True
+        pairs(at, at + d)
     for g in np.nonzero(size > 64)[0].tolist():
-        s = slice(first[g], first[g + 1])
+        own = np.arange(first[g], first[g] + size[g])
         # Copies of a line, one from each batch of documents, count once.
-        _, one = np.unique(np.stack([ident[s], role[s]], 1), axis=0, return_index=True)
-        one += first[g]
-        for x, y in ((0, 1), (2, 2)):
-            own, other = (one[role[one] == k] for k in (x, y))
-            own, other = (k[np.argsort(size_[k], kind="stable")] for k in (own, other))
-            a, b = _nibbles(letters[own]), _nibbles(letters[other])
-            for i in range(0, len(own), 256):
-                p = own[i : i + 256]
-                for j in range(0, len(other), 1024):
-                    q = other[j : j + 1024]
-                    # By length: blocks too far apart have no pair.
-                    if (t := _allowed(size_[p, None], size_[None, q], x == 2, tau, share)).max() < 0:
-                        continue
-                    m = _near(a[i : i + 256, None], b[None, j : j + 1024], t) & (ident[p, None] != ident[None, q])
-                    ok[p] |= m.any(1)
-                    ok[q] |= m.any(0)
-    return ok
+        own = own[np.unique(np.stack([ident[own], meta[own]]), axis=1, return_index=True)[1]]
+        for words in (0, 2):
+            mine = own[meta[own] & 2 == words]
+            mine = mine[np.argsort(meta[mine] >> 2, kind="stable")]
+            for i, j in _length_blocks(mine[meta[mine] & 1 == 0], mine[meta[mine] & 1 == 1], meta >> 2, words > 0):
+                tau = _fits(meta[i][:, None], meta[j][None])
+                m = (tau >= 0) & (ident[i][:, None] != ident[j][None])
+                m &= near(_quarters(counts[i])[:, None], _quarters(counts[j])[None], tau)
+                ok[i[m.any(1)]] = True
+                ok[j[m.any(0)]] = True
+    return key[ok], ident[ok]
+
+
+def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of indexed and of probing rows, both sorted by length, that hold all pairs whose lengths allow one."""
+    n, m = length[own].astype(np.int64), length[other].astype(np.int64)
+    far = n + threshold(n, np.maximum(n, LONG) if by_words else np.zeros_like(n))
+    for i in range(0, len(own), 256):
+        lo, hi = np.searchsorted(m, n[i]), np.searchsorted(m, far[i : i + 256].max(), side="right")
+        for j in range(int(lo), int(hi), 1024):
+            yield own[i : i + 256], other[j : min(j + 1024, int(hi))]
 
 
 def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -405,113 +248,159 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id", "left_semi").distinct()
 
 
-def links(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0) -> DataFrame:
-    """(a, b, n) by digests of distinct lines within their edits. Rows with b join what all links join, by key; rows
-    without b tell that a has n links that are counted under one key. Every link is counted once for each end."""
-    met = staged(meetings(docs, tau, least, share), "meetings")
-    if share:
-        # One after the other: the first one's shuffle files can go before the second one's come.
-        forget(docs.sparkSession)
-        met = met.union(staged(meetings(docs, tau, least, share, far=True), "far-meetings"))
-        forget(docs.sparkSession)
+def links(docs: DataFrame, buckets: int) -> DataFrame:
+    """(a, b, n) by digests of distinct lines within their edits. Rows with b join what all links join; rows without b
+    tell that a has n links that are counted under one key. Every link is counted once for each end."""
+    met = staged(meetings(docs, buckets), "meetings")
+    forget(docs.sparkSession)
     texts = wanted_texts(docs, met.select("id").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, mins = None, [], {}
-        for b in batches:
-            out: list[tuple[bytes, bytes | None, int]] = []
-            far = list({s: None for s, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if x == 2})
-            mins = {s: mins[s] for s, x in rows if x == 2} | (dict(zip(far, minima(far), strict=True)) if far else {})
-            for k, s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if k != key:
-                    out += _verified(key, rows, mins, tau, share)
-                    key, rows = k, []
-                rows.append((s, r))
-            yield _links(out)
-        yield _links(_verified(key, rows, mins, tau, share))
-
-    rows = met.distinct().join(texts, "id").select("key", "line", "role")
-    return rows.repartition("key").sortWithinPartitions("key", "role", "line").mapInArrow(verify, "a binary, b binary, n bigint")
-
-
-def _links(rows: list[tuple[bytes, bytes | None, int]]) -> pa.RecordBatch:
+        key, line = [], []
+        for b in with_end(batches):
+            if b is not None:
+                key += b.column(0).to_pylist()
+                line += b.column(1).to_pylist()
+            if b is None or len(key) >= CHUNK and key[-1] != key[0]:
+                # The last key's lines may go on in the next batch.
+                n = len(key) if b is None else next(i for i in range(len(key) - 1, -1, -1) if key[i] != key[-1]) + 1
+                if n:
+                    yield _links(*_verified(np.array(key[:n], np.uint64), line[:n]))
+                key, line = key[n:], line[n:]
+        tidy()
+
+    rows = met.distinct().join(texts, "id").select("key", "line")
+    return rows.repartition("key").sortWithinPartitions("key", "line").mapInArrow(verify, "a binary, b binary, n bigint")
+
+
+def _links(lines: list[str], a: np.ndarray, b: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
+    own = np.nonzero(degree)[0].tolist()
+    d = {i: digest(lines[i]) for i in {*a.tolist(), *b.tolist(), *own}}
+    rows = [(d[i], d[j], 0) for i, j in zip(a.tolist(), b.tolist(), strict=True)] + [(d[i], None, int(degree[i])) for i in own]
     return batch(schema, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 
 
-def _first_key(own: str, other: str, tau: int) -> int:
-    """The first key under which a line that is indexed meets one that probes."""
-    n, parts = len(own), tau + 1
-    delta = len(other) - n
-    for i, (p, k) in enumerate(segments(n, tau)):
-        part = own[p : p + k]
-        for s in range(max(0, p - i, p + delta - (tau - i)), min(len(other) - k, p + i, p + delta + (tau - i)) + 1):
-            if other[s : s + k] == part:
-                return int(np.uint64(xxhash.xxh3_64_intdigest(part.encode(), n * parts + i)).astype(np.int64))
-    return 0
-
-
-def _candidates(key: int, rows: list[tuple[str, int]], minima_of: dict[str, np.ndarray], tau: int, share: float) -> Iterator[tuple[str, str, int, int]]:
-    """(line, line, edits allowed, edits that are another key's) for the pairs that are to be judged under this key."""
-    for x_role, y_role in ((0, 1), (2, 2)):
-        own, other = ([s for s, r in rows if r == k] for k in (x_role, y_role))
-        if not own or not other or own == other and len(own) < 2:
-            continue
-        own, other = sorted(own, key=len), sorted(other, key=len)
-        a, b = (_nibbles(np.array([_letters(s) for s in x], np.int64)) for x in (own, other))
-        size = np.array([len(s) for s in other])
-        mins = np.array([minima_of[s] for s in own]) if x_role == 2 else None
-        for k, (x, nib) in enumerate(zip(own, a, strict=True)):
-            # Equal lengths probe both ways: the smaller line is the indexed one.
-            t = _allowed(size, np.array(len(x)), x_role == 2, tau, share)
-            ok = (t >= 0) & (size >= len(x))
-            if x_role == 2:
-                ok[: k + 1] = False
-            at = np.nonzero(ok)[0]
-            at = at[_near(nib[None], b[at], t[at])]
-            if x_role == 2 and len(at):
-                # A pair is judged under the first minimum that it shares.
-                same = mins[at] == mins[k]
-                at = at[mins[k][same.argmax(1)] == key]
-            for y, e in ((other[i], int(t[i])) for i in at.tolist()):
-                if x_role == 2:
-                    yield x, y, e, tau
-                elif x != y and not (len(x) == len(y) and x > y) and _first_key(x, y, e) == key:
-                    yield x, y, e, -1
-
-
-def _grams(line: str) -> frozenset[str]:
-    return frozenset(line[i : i + 5] for i in range(len(line) - 4))
-
-
-def _verified(key: int | None, rows: list[tuple[str, int]], mins: dict[str, np.ndarray], tau: int, share: float) -> list[tuple[bytes, bytes | None, int]]:
-    if len(rows) < 2:
-        return []
-    parent: dict[str, str] = {}
-    grams: dict[str, frozenset[str]] = {}
-
-    def find(s: str) -> str:
-        while parent.setdefault(s, s) != s:
-            parent[s] = s = parent[parent[s]]
-        return s
-
-    def unlike(x: str, y: str, most: int) -> bool:
-        """An edit touches five 5-grams at most."""
-        p, q = (grams[s] if s in grams else grams.setdefault(s, _grams(s)) for s in (x, y))
-        return max(len(p), len(q)) - len(p & q) > 5 * most
-
-    out, degree = [], {}
-    for x, y, most, others in _candidates(key, rows, mins, tau, share):
-        if others >= 0 and (unlike(x, y, most) or within(x, y, others)) or not within(x, y, most):
-            continue
-        degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
-        if (i := find(x)) != (j := find(y)):
-            parent[max(i, j)] = min(i, j)
-            out.append((digest(x), digest(y), 0))
-    return out + [(digest(s), None, n) for s, n in degree.items()]
-
-
-def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
+def _code(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(key + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (key, line), sorted by key: (distinct lines, links that join what all links join, each line's links).
+
+    A pair is a link here if its smallest common key is the one under which it stands.
+    """
+    lines = sorted(set(text))
+    place = {s: i for i, s in enumerate(lines)}
+    row = np.array([place[s] for s in text], np.int64)
+    own = Lines(lines)
+    k, who, probe, words = keys(own)
+    kinds = []
+    for by_words, counts in zip((False, True), own.counts(), strict=True):
+        index, other = (np.nonzero((words == by_words) & (probe == p))[0] for p in (False, True))
+        index = index[np.lexsort((k[index], who[index]))]
+        kinds.append((by_words, own.words if by_words else own.chars, nibbles(counts), who[index], k[index], np.sort(_code(k[index], who[index])), np.sort(_code(k[other], who[other]))))
+    parent, degree = np.arange(len(lines)), np.zeros(len(lines), np.int64)
+    joined: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judge(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
+        """x is indexed and y probes under key at."""
+        by_words, length, nib, idx_line, idx_key, _, prb = kind
+        tau = threshold(own.chars[x], own.words[x] if by_words else np.zeros_like(x))
+        ok = allowed(length[x], length[y], tau) & ((length[x] < length[y]) | (x < y)) & (x != y)
+        ok &= (np.minimum(own.words[x], own.words[y]) >= LONG) == by_words
+        x, y, at, tau = x[ok], y[ok], at[ok], tau[ok]
+        ok = near(nib[x], nib[y], tau)
+        x, y, at, tau = x[ok], y[ok], at[ok], tau[ok]
+        if not len(x):
+            return
+        # The indexed line's smaller keys, of each pair: none may be one of the other's.
+        lo, hi = np.searchsorted(idx_line, x), np.searchsorted(idx_line, x, side="right")
+        pair = np.repeat(np.arange(len(x)), hi - lo)
+        each = idx_key[np.arange(len(pair)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
+        less = each < at[pair]
+        pair, each = pair[less], each[less]
+        before = np.zeros(len(x), bool)
+        before[pair[_in(_code(each, y[pair]), prb)]] = True
+        x, y, tau = x[~before], y[~before], tau[~before]
+        good = np.zeros(len(x), bool)
+        for t in np.unique(tau).tolist():
+            at_t = np.nonzero(tau == t)[0]
+            used, back = np.unique(np.concatenate([x[at_t], y[at_t]]), return_inverse=True)
+            sym, n = own.symbols(used, by_words)
+            i, j = back[: len(at_t)], back[len(at_t) :]
+            if t == 0:
+                continue
+            if t <= 31:
+                good[at_t] = within_pairs(sym, n, i, j, t)
+            else:
+                as_text = ["".join(map(chr, (s[:m] + (1 << 16)).tolist())) for s, m in zip(sym, n.tolist(), strict=True)]
+                good[at_t] = [within(as_text[p], as_text[q], t) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        x, y = x[good], y[good]
+        degree[:] += np.bincount(np.concatenate([x, y]), minlength=len(lines))
+        _join_all(parent, x, y, joined)
+
+    def candidates(i: np.ndarray, j: np.ndarray, at: np.ndarray) -> None:
+        """Rows i and j share the key at."""
+        for kind in kinds:
+            length, index, prb = kind[1], kind[5], kind[6]
+            swap = (length[j] < length[i]) | (length[j] == length[i]) & (j < i)
+            x, y = np.where(swap, j, i), np.where(swap, i, j)
+            on = np.nonzero(_in(_code(at, x), index))[0]
+            on = on[_in(_code(at[on], y[on]), prb)]
+            judge(x[on], y[on], at[on], kind)
+
+    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    size = np.diff(np.append(first, len(key)))
+    at = np.nonzero(np.repeat(size <= 64, size))[0]
+    for d in range(1, 64):
+        at = at[at + d < len(key)]
+        at = at[key[at + d] == key[at]]
+        if not len(at):
+            break
+        candidates(row[at], row[at + d], key[at])
+    for g in np.nonzero(size > 64)[0].tolist():
+        mine, here = row[first[g] : first[g] + size[g]], key[first[g]]
+        for kind in kinds:
+            length, index, prb = kind[1], kind[5], kind[6]
+            mine = mine[np.lexsort((mine, length[mine]))]
+            this = np.full(len(mine), here, np.uint64)
+            x, y = mine[_in(_code(this, mine), index)], mine[_in(_code(this, mine), prb)]
+            for p, q in _length_blocks(x, y, length, kind[0]):
+                judge(np.repeat(p, len(q)), np.tile(q, len(p)), np.full(len(p) * len(q), here, np.uint64), kind)
+    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in joined)]) for i in (0, 1))
+    return lines, a, b, degree
+
+
+def _in(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among sorted known ones."""
+    if not len(known):
+        return np.zeros(len(code), bool)
+    return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+
+
+def _join_all(parent: np.ndarray, x: np.ndarray, y: np.ndarray, joined: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Joins x[k] and y[k]; appends the links that joined something. parent names each line's root."""
+    used = np.nonzero(parent[x] != parent[y])[0].tolist()
+    kept = []
+
+    def root(i: int) -> int:
+        while (p := int(parent[i])) != i:
+            parent[i] = i = int(parent[p])
+        return i
+
+    for k in used:
+        a, b = root(int(x[k])), root(int(y[k]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append(k)
+    while not np.array_equal(up := parent[parent], parent):
+        parent[:] = up
+    if kept:
+        joined.append((x[kept], y[kept]))
+
+
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, of, line, digest, keep_doc, keep_line, n_links): each line; its class's first line; its text's links.
 
     A line is to be removed if it isn't the first of its class. Null text and blank lines give no rows; rows repeated
@@ -520,7 +409,8 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str
     ready(docs.sparkSession)
     own = id_text(docs, id_col, text_col)
     found = staged(occurrences(own), "occurrences")
-    linked = staged(links(own, tau, least, share), "links")
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    linked = staged(links(own, 1 + size // BUCKET), "links")
     classes = components(linked.where("b is not null").select("a", "b"))
     degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n_links"))
     distinct = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"))
@@ -528,7 +418,7 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str
     roots = staged(roots.join(degree, "digest", "left"), "roots")
     keeper = roots.groupBy("root").agg(F.min("first").alias("keep"))
     named = roots.join(keeper, "root").select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return lookup(found, staged(named, "classes"), ["digest"], found.count())
+    return lookup(found.drop("size"), staged(named, "classes"), ["digest"], n)
 
 
 def _per_document(found: DataFrame) -> DataFrame:
@@ -546,14 +436,14 @@ def _without(text: str, drop: list[int]) -> str:
     return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
 
 
-def line_report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id, n_lines, n_removed, n_links, kept_sha256.
 
     class_id is the smallest doc_id that holds the first line of a class of one of its lines, its own for a document
     without lines. n_links sums, over its lines, the different texts linked to each. kept_sha256 is that of the text
     without the removed lines. Repeated rows give a row each.
     """
-    found = near_lines(docs, tau, least, id_col, text_col, share)
+    found = near_lines(docs, id_col, text_col)
     info = _per_document(found)
     own = _keyed(id_text(docs, id_col, text_col))
 
@@ -569,12 +459,12 @@ def line_report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str
     return joined.mapInArrow(run, "doc_id bigint, class_id bigint, n_lines bigint, n_removed bigint, n_links bigint, kept_sha256 string")
 
 
-def remove_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, share: float = 0.0) -> DataFrame:
+def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without lines that aren't the first of their class; a document of which no line is left goes.
 
     Documents without any line, null ones among them, stay as they are. A column n_chars gets the new length.
     """
-    found = near_lines(docs, tau, least, share=share)
+    found = near_lines(docs)
     info = _per_document(found).where(F.size("drop") > 0).select("doc_id", "of", F.col("drop").alias("__drop"), F.col("n_lines").alias("__lines"))
     free = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__of", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     r = info.withColumnRenamed("doc_id", "__r_id").withColumnRenamed("of", "__r_of")

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, with_end
 from docweir.llm.components import components
-from docweir.llm.lines import _gathered, _keyed, digest, lines_of, short, wanted_texts, within
+from docweir.llm.edits import within
+from docweir.llm.lines import _gathered, _keyed, digest, lines_of, short, wanted_texts
 from docweir.llm.simhash import shingle_hashes
 
 SIMILARITY = 0.8

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docweir.llm import components, decontam, lines, media, packing, paragraphs, pii, quality, simhash, suffix, tokens
+from docweir.llm import components, decontam, edits, lines, media, packing, paragraphs, pii, quality, segments, simhash, suffix, tokens
 
 KIND = "doc_id long, text string, extra string, n_chars long, fp string"
 
@@ -379,21 +379,83 @@ def test_every_layout_finds_all_links():
 # ------------------------------------------------------------------------------------------ lines
 
 
-def test_edit_distance_and_segments():
+def linked_lines(a, b):
+    """The rule of line links, by a plain distance."""
+    u, v = a.encode().split(), b.encode().split()
+    n = min(len(u), len(v))
+    if n >= 20:
+        return edits._plain(u, v) <= n // 10
+    return edits._plain(a, b) <= min(2, min(len(a), len(b)) // 10)
+
+
+def near_pairs(own):
+    return [(a, b) for a, b in combinations(sorted(own), 2) if abs(len(a) - len(b)) <= 3 + max(len(a), len(b)) // 3 and linked_lines(a, b)]
+
+
+def altered(rng, own, most, symbols):
+    own = list(own)
+    for _ in range(rng.randrange(most + 1)):
+        i = rng.randrange(len(own) + 1)
+        own[i : i + rng.randrange(2)] = rng.choice([[], [rng.choice(symbols)]])
+    return own
+
+
+def test_edit_distance():
     rng = random.Random(4)
-    for _ in range(3000):
+    for _ in range(2000):
         a = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 30)))
-        b = list(a)
-        for _ in range(rng.randrange(0, 5)):
-            i = rng.randrange(len(b) + 1)
-            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "c"])
-        b = "".join(b)
+        b = "".join(altered(rng, a, 5, "ac"))
         for tau in (1, 2, 3):
-            assert lines.within(a, b, tau) == (lines._plain(a, b) <= tau)
-        if min(len(a), len(b)) >= 8 and lines._plain(a, b) <= 2:
-            s, other = sorted((a, b), key=len)
-            own = {(len(s), i, s[p : p + n]) for i, (p, n) in enumerate(lines.segments(len(s)))}
-            assert own & {(l, i, other[x : x + n]) for l, i, x, n in lines.probes(len(other), 2, 8)}
+            assert edits.within(a, b, tau) == (edits._plain(a, b) <= tau)
+    for _ in range(300):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(60, 200)))
+        b = "".join(altered(rng, a, 60, "ax"))
+        d = edits._plain(a, b)
+        for tau in {d - 1, d, 20, 40} - {-1}:
+            assert edits.within(a, b, tau) == (d <= tau)
+
+
+def test_edit_distance_of_many_pairs():
+    rng = random.Random(8)
+    for tau in (1, 2, 5, 12, 31):
+        own = []
+        for _ in range(60):
+            base = [rng.randrange(6) for _ in range(rng.randrange(3 * tau + 12))]
+            own += [base, *(altered(rng, base, tau + 2, range(6)) for _ in range(3))]
+        n = np.array([len(w) for w in own])
+        sym = np.full((len(own), n.max()), -1, np.int32)
+        for i, w in enumerate(own):
+            sym[i, : len(w)] = w
+        pairs = [sorted((i, j), key=lambda k: n[k]) for i in range(len(own)) for j in range(max(0, i - 4), i) if abs(n[i] - n[j]) <= tau]
+        got = edits.within_pairs(sym, n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), tau)
+        assert got.tolist() == [edits._plain(own[i], own[j]) <= tau for i, j in pairs]
+
+
+def test_keys_miss_no_pair():
+    """Each linked pair has a key under which the shorter line is indexed and the other one probes."""
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    pairs = []
+    for n in [*range(1, 45), 60, 99, 100, 101, 250]:
+        for _ in range(12):
+            w = [rng.choice(some) for _ in range(n)]
+            v = altered(rng, w, n // 9 + 1, some) if n >= 18 and rng.random() < 0.8 else list("".join(altered(rng, " ".join(w), 3, "ab ")).split())
+            pairs.append((" ".join(w), " ".join(v) or "x"))
+    own = segments.Lines([s for p in pairs for s in p])
+    key, line, probe, words_ = segments.keys(own)
+    roles = [set(), set()]
+    for k, i, p, w in zip(key.tolist(), line.tolist(), probe.tolist(), words_.tolist(), strict=True):
+        roles[p].add((i, k, w))
+    linked = 0
+    for i, (a, b) in enumerate(pairs):
+        if a != b and linked_lines(a, b):
+            x, y = 2 * i, 2 * i + 1
+            by_words = min(own.words[x], own.words[y]) >= 20
+            n = own.words if by_words else own.chars
+            x, y = (x, y) if n[x] <= n[y] else (y, x)
+            linked += 1
+            assert {k for j, k, w in roles[0] if j == x and w == by_words} & {k for j, k, w in roles[1] if j == y and w == by_words}
+    assert linked > 150
 
 
 @pytest.fixture(scope="module")
@@ -419,7 +481,7 @@ def test_line_join(lined, empty, repeated):
     first = {}
     for i, n, s in occ:
         first.setdefault(s, (i, n))
-    near = [(a, b) for a, b in combinations([s for s in first if len(s) >= lines.LEAST], 2) if abs(len(a) - len(b)) <= 2 and lines._plain(a, b) <= 2]
+    near = near_pairs(first)
     root = groups(first, near)
     keep, degree = {}, {}
     for s, p in first.items():
@@ -443,41 +505,45 @@ def test_line_join(lined, empty, repeated):
 
 
 def test_edits_grow_with_the_line(spark):
-    from docweir.llm.catalog import QUERIES
-
     rng = random.Random(15)
-    for _ in range(300):
-        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(60, 200)))
-        b = list(a)
-        for _ in range(rng.randrange(0, 60)):
-            i = rng.randrange(len(b) + 1)
-            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "x"])
-        b, d = "".join(b), lines._plain(a, "".join(b))
-        for tau in {d - 1, d, 20, 40} - {-1}:
-            assert lines.within(a, b, tau) == (d <= tau)
     some = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
-    own = []
-    for n in (4, 5, 6, 8, 9, 10, 12, 20, 30, 60, 100, 200):
-        for _ in range(10):
+    own = ["ab", "ac", "short line", "short lime", "short  limes", "a line of 2l chars xy", "a line of 21 char xyz"]
+    for n in (4, 5, 6, 8, 9, 10, 12, 19, 20, 21, 30, 60, 100, 200, 400):
+        for _ in range(8):
             w = [rng.choice(some) for _ in range(n)]
             own.append(" ".join(w))
             for _ in range(2):
                 v = list(w)
-                for i in rng.sample(range(n), max(1, n // rng.choice([11, 14, 25]))):
+                for i in rng.sample(range(n), max(1, n // rng.choice([9, 11, 14, 25]))):
                     v[i] = rng.choice(some)
-                own.append(" ".join(v))
-    own = sorted({s for s in own if len(s) >= lines.LEAST})
-    pairs = [(a, b) for a, b in combinations(own, 2) if lines.within(a, b, max(2, max(len(a), len(b)) // 10))]
-    assert len(pairs) > 100 and sum(lines.within(a, b, 2) for a, b in pairs) < len(pairs) / 3
+                own += [" ".join(v), "".join(altered(rng, " ".join(w), 2, "ab ")).strip()]
+    own = sorted(set(own))
+    pairs = near_pairs(own)
+    assert len(pairs) > 300 and sum(edits.within(a, b, 2) for a, b in pairs) < 0.7 * len(pairs)
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
-    linked = lines.line_report(df, share=lines.SHARE)
+    assert dict(rows(lines.line_report(df), "doc_id", "n_links")) == {i: sum(s in p for p in pairs) for i, s in enumerate(own)}
+    assert lines.remove_lines(df).count() == len(set(groups(own, pairs).values()))
+
+
+def test_many_lines_under_one_key(spark):
+    """Hundreds of lines that share a passage: some alike, some not, some longer; buckets of several blocks."""
+    rng = random.Random(16)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    passage = [rng.choice(some) for _ in range(30)]
+    own = set()
+    for i in range(160):
+        own.add(" ".join(altered(rng, passage, 3, some)))
+        own.add(" ".join([*passage, *(rng.choice(some) for _ in range(20 + i % 7))]))
+    own = sorted(own)
+    pairs = near_pairs(own)
+    assert len(pairs) > 2000
+    docs = list(enumerate(own)) + [(1000 + i, s) for i, s in enumerate(own[::3])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = {i: sum(s in p for p in pairs) for i, s in enumerate(own)}
-    assert dict(rows(linked, "doc_id", "n_links")) == want
-    root = groups(own, pairs)
-    assert lines.remove_lines(df, share=lines.SHARE).count() == len(set(root.values()))
-    # The query's recall on the given lines: pairs within a tenth of the longer line.
-    got = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.01").agg({"n_links": "sum"}).first()[0]
-    assert got >= 2 * 282
+    want |= {1000 + i: want[3 * i] for i in range(len(own[::3]))}
+    assert dict(rows(lines.line_report(df), "doc_id", "n_links")) == want
+    met = lines.links(df, 7)
+    assert met.where("b is null").agg({"n": "sum"}).first()[0] == 2 * len(pairs)
 
 
 # ------------------------------------------------------------------------------------------ paragraphs
