@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, to two edits or a tenth of their characters, go, and documents of which no line is left."""
-    return lines.remove_lines(docs, share=lines.SHARE)
+    """Lines that repeat an earlier line, to a tenth of its words or, if it is short, two characters, go, and documents of which no line is left."""
+    return lines.remove_lines(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
