@@ -219,6 +219,24 @@ def test_long_runs_are_linear():
         pii.find_spans(t)
 
 
+def test_further_kinds_by_length_and_context():
+    def found(text):
+        return [(s[0], text[s[1] : s[2]]) for s in pii.find_spans(text) if s[0] not in BASE]
+
+    assert found("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found("DE89370400440532013000 EUR 100, XX89370400440532013000") == [("iban", "DE89370400440532013000")]
+    assert found("DE89 3704 0044 0532 0130 01") == [] and found("DE89 3704 0044 0532 0130 00X") == []
+    secret = "x" * 3000
+    assert found(f"password={secret} end") == [("secret", secret)]
+    assert found("token: abcdefghij on page 7") == [] and found("login token: abcdefghij on page 7") == [("secret", "abcdefghij")]
+    for word in ("international call", "syntax", "socially"):
+        assert found(f"{word} 123-45-6789") == []
+    assert found("tax 123-45-6789") == found("Tax: 123-45-6789") == [("national_id", "123-45-6789")]
+    assert found("national 85073003328") == [("national_id", "85073003328")] and found("national 85073003329") == []
+    nir = "2550867890123"
+    assert found(f"social {nir}{97 - int(nir) % 97:02}") == [("national_id", f"{nir}{97 - int(nir) % 97:02}")]
+
+
 def test_personal_data(spark, empty, docs, texts):
     t = "mail a@b.cd or 10.0.0.1"
     df = spark.createDataFrame([(1, t), (1, t), (2, None)], "doc_id long, text string")
