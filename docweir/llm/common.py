@@ -20,6 +20,8 @@ from docweir.shared import shared_dir, staged  # noqa: F401
 
 #: Rows of an Arrow batch that Spark hands to Python. Texts are long: 10,000 of them need not fit a worker.
 ARROW_ROWS = 1000
+#: Its bytes, about: a batch ends with the row that goes beyond.
+ARROW_BYTES = 16 << 20
 #: A key is hot from this share of all rows on, so that at most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1 / 1000
 
@@ -27,9 +29,10 @@ _shipped: set[str] = set()
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Gives executors this package, as a zip, once per application, and sets the Arrow batch size."""
+    """Gives executors this package, as a zip, once per application, and sets the Arrow batch size, for the session."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         top = Path(__file__).resolve().parents[1]

@@ -84,7 +84,7 @@ def within_pairs(symbols: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.n
     """Whether rows x[k] and y[k] of symbols (padded with -1; `length` symbols each) are within tau edits, for each k.
 
     As _banded, with a column's step for all pairs together. x[k] mustn't be longer than y[k], nor shorter by more than
-    tau; the band, 2 tau + 1 differences, must fit 64 bits.
+    tau; the band, 2 tau + 1 differences, must fit 64 bits. Pairs of like lengths are best put side by side.
     """
     out = np.empty(len(x), bool)
     step = max(1, (1 << 21) // max(1, symbols.shape[1]))

@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
 from docweir.llm.edits import within, within_pairs
-from docweir.llm.segments import LONG, Lines, allowed, keys, mixed, near, nibbles, threshold
+from docweir.llm.segments import LONG, Lines, allowed, keys, mixed, near, threshold
 
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
-#: Bytes of text whose keys one bucket gets, about: some two million keys.
-BUCKET = 24 << 20
-#: Keys' lines that are verified together, and pairs that are judged together.
-CHUNK, PAIRS = 20_000, 1 << 18
+#: Bytes of text whose keys one bucket gets, about: some 700,000 keys.
+BUCKET = 8 << 20
+#: Keys' lines that are verified together, pairs that wait together, pairs that are looked at together.
+CHUNK, PAIRS, FEW = 20_000, 1 << 17, 1 << 14
 
 
 # ---------------------------------------------------------------------------------------------- lines of documents
@@ -296,21 +296,26 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
     own = Lines(lines)
     k, who, probe, words = keys(own)
     kinds = []
-    for by_words, counts in zip((False, True), own.counts(), strict=True):
+    for by_words, counts in zip((False, True), own.many_counts(), strict=True):
         index, other = (np.nonzero((words == by_words) & (probe == p))[0] for p in (False, True))
         index = index[np.lexsort((k[index], who[index]))]
-        kinds.append((by_words, own.words if by_words else own.chars, nibbles(counts), who[index], k[index], np.sort(_code(k[index], who[index])), np.sort(_code(k[other], who[other]))))
+        kinds.append((by_words, own.words if by_words else own.chars, counts, who[index], k[index], np.sort(_code(k[index], who[index])), np.sort(_code(k[other], who[other]))))
     parent, degree = np.arange(len(lines)), np.zeros(len(lines), np.int64)
     joined: list[tuple[np.ndarray, np.ndarray]] = []
+    pending: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def judge(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
         """x is indexed and y probes under key at."""
-        by_words, length, nib, idx_line, idx_key, _, prb = kind
+        for i in range(0, len(x), FEW):
+            judge_few(x[i : i + FEW], y[i : i + FEW], at[i : i + FEW], kind)
+
+    def judge_few(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
+        by_words, length, many, idx_line, idx_key, _, prb = kind
         tau = threshold(own.chars[x], own.words[x] if by_words else np.zeros_like(x))
         ok = allowed(length[x], length[y], tau) & ((length[x] < length[y]) | (x < y)) & (x != y)
         ok &= (np.minimum(own.words[x], own.words[y]) >= LONG) == by_words
         x, y, at, tau = x[ok], y[ok], at[ok], tau[ok]
-        ok = near(nib[x], nib[y], tau)
+        ok = np.abs(many[x] - many[y]).sum(1) <= 2 * tau
         x, y, at, tau = x[ok], y[ok], at[ok], tau[ok]
         if not len(x):
             return
@@ -322,23 +327,22 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
         pair, each = pair[less], each[less]
         before = np.zeros(len(x), bool)
         before[pair[_in(_code(each, y[pair]), prb)]] = True
-        x, y, tau = x[~before], y[~before], tau[~before]
-        good = np.zeros(len(x), bool)
-        for t in np.unique(tau).tolist():
-            at_t = np.nonzero(tau == t)[0]
-            used, back = np.unique(np.concatenate([x[at_t], y[at_t]]), return_inverse=True)
-            sym, n = own.symbols(used, by_words)
-            i, j = back[: len(at_t)], back[len(at_t) :]
-            if t == 0:
-                continue
-            if t <= 31:
-                good[at_t] = within_pairs(sym, n, i, j, t)
-            else:
-                as_text = ["".join(map(chr, (s[:m] + (1 << 16)).tolist())) for s, m in zip(sym, n.tolist(), strict=True)]
-                good[at_t] = [within(as_text[p], as_text[q], t) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
-        x, y = x[good], y[good]
-        degree[:] += np.bincount(np.concatenate([x, y]), minlength=len(lines))
-        _join_all(parent, x, y, joined)
+        pending.append((by_words, x[~before], y[~before], tau[~before]))
+        if sum(len(p[1]) for p in pending) >= PAIRS:
+            settle()
+
+    def settle() -> None:
+        """Verifies the pending pairs, those of one threshold together."""
+        for kind in (False, True):
+            x, y, tau = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in pending if p[0] == kind)]) for i in (1, 2, 3))
+            good = np.zeros(len(x), bool)
+            for t in np.unique(tau).tolist():
+                some = np.nonzero(tau == t)[0]
+                good[some] = _close(own, x[some], y[some], t, kind)
+            x, y = x[good], y[good]
+            degree[:] += np.bincount(np.concatenate([x, y]), minlength=len(lines))
+            _join_all(parent, x, y, joined)
+        pending.clear()
 
     def candidates(i: np.ndarray, j: np.ndarray, at: np.ndarray) -> None:
         """Rows i and j share the key at."""
@@ -368,10 +372,26 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
             x, y = mine[_in(_code(this, mine), index)], mine[_in(_code(this, mine), prb)]
             for p, q in _length_blocks(x, y, length, kind[0]):
                 judge(np.repeat(p, len(q)), np.tile(q, len(p)), np.full(len(p) * len(q), here, np.uint64), kind)
+    settle()
     a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in joined)]) for i in (0, 1))
     return lines, a, b, degree
 
 
+def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: int, by_words: bool) -> np.ndarray:
+    """Whether lines x[k] and y[k] are within tau edits of words or characters; x[k] isn't the longer one."""
+    used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+    sym, n = own.symbols(used, by_words)
+    i, j = back[: len(x)], back[len(x) :]
+    # Columns for all pairs together pay off from so many pairs on, and have 64 bits.
+    if tau <= 31 and len(x) > 10 * tau + 30:
+        order = np.argsort(n[i], kind="stable")
+        out = np.empty(len(x), bool)
+        out[order] = within_pairs(sym, n, i[order], j[order], tau)
+        return out
+    text = ["".join(map(chr, (s[:m] + (1 << 16) if by_words else s[:m]).tolist())) for s, m in zip(sym, n.tolist(), strict=True)]
+    return np.array([within(text[p], text[q], tau) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+
+
 def _in(code: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which codes are among sorted known ones."""
     if not len(known):

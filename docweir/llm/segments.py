@@ -139,10 +139,20 @@ class Lines:
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(by characters, by words): eight counts, mod 16, as 32 bits. An edit moves two of them by one at most."""
-        text = "".join(self.lines)
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        line = np.repeat(np.arange(len(self.lines)), self.chars)
-        return _packed(line, code & 7, len(self.lines)), _packed(self.word_line, (self.word >> np.uint64(61)).astype(np.int64), len(self.lines))
+        line, code, n = *self._characters(), len(self.lines)
+        return _packed(line, code & 7, n), _packed(self.word_line, (self.word >> np.uint64(61)).astype(np.int64), n)
+
+    def many_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """As counts, 64 for each line, up to 32,767, a row of each."""
+        line, code, n = *self._characters(), len(self.lines)
+        which = (line * 64 + (code * 0x9E3779B1 >> 26 & 63), self.word_line * 64 + (self.word >> np.uint64(58)).astype(np.int64))
+        by = (np.minimum(np.bincount(w, minlength=64 * n), 32767).astype(np.int16).reshape(n, 64) for w in which)
+        return tuple(by)
+
+    def _characters(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, code point) of each character."""
+        code = np.frombuffer("".join(self.lines).encode("utf-32-le"), np.uint32).astype(np.int64)
+        return np.repeat(np.arange(len(self.lines)), self.chars), code
 
 
 def _packed(line: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
@@ -150,11 +160,6 @@ def _packed(line: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
     return (c << (np.arange(8, dtype=np.uint32) * np.uint32(4))).sum(1, dtype=np.uint32)
 
 
-def nibbles(counts: np.ndarray) -> np.ndarray:
-    raw = np.ascontiguousarray(counts, "<u4").view(np.uint8).reshape(-1, 4)
-    return np.concatenate([raw & 15, raw >> 4], axis=1).astype(np.int8)
-
-
 def near(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
     d = np.abs(a - b)
     return np.minimum(d, 16 - d).sum(-1) <= 2 * tau
