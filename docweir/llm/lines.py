@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
@@ -210,7 +211,9 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
                 m &= near(_quarters(counts[i])[:, None], _quarters(counts[j])[None], tau)
                 ok[i[m.any(1)]] = True
                 ok[j[m.any(0)]] = True
-    return key[ok], ident[ok]
+    key, ident = key[ok], ident[ok]
+    one = np.unique(np.stack([key.astype(np.int64), ident]), axis=1)
+    return one[0], one[1]
 
 
 def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -256,21 +259,31 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
     texts = wanted_texts(docs, met.select("id").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, line = [], []
+        team, own = [], []
         for b in with_end(batches):
             if b is not None:
-                key += b.column(0).to_pylist()
-                line += b.column(1).to_pylist()
-            if b is None or len(key) >= CHUNK and key[-1] != key[0]:
-                # The last key's lines may go on in the next batch.
-                n = len(key) if b is None else next(i for i in range(len(key) - 1, -1, -1) if key[i] != key[-1]) + 1
+                team += b.column(0).to_pylist()
+                own += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            if b is None or len(team) >= CHUNK and team[-1] != team[0]:
+                # The last team may go on in the next batch.
+                n = len(team) if b is None else next(i for i in range(len(team) - 1, -1, -1) if team[i] != team[-1]) + 1
                 if n:
-                    yield _links(*_verified(np.array(key[:n], np.uint64), line[:n]))
-                key, line = key[n:], line[n:]
+                    rows = sorted((k, s) for s, ks in own[:n] for k in ks)
+                    yield _links(*_verified(np.array([k for k, _ in rows], np.uint64), [s for _, s in rows]))
+                team, own = team[n:], own[n:]
         tidy()
 
-    rows = met.distinct().join(texts, "id").select("key", "line")
-    return rows.repartition("key").sortWithinPartitions("key", "line").mapInArrow(verify, "a binary, b binary, n bigint")
+    rows = _teams(met).join(texts, "id").select("team", "line", "keys")
+    return rows.repartition("team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary, n bigint")
+
+
+def _teams(met: DataFrame) -> DataFrame:
+    """(team, id, keys): each key goes to one team, keys of the same lines mostly to the same one, so that a line's text
+    travels once for most of its keys. A team is named by the smallest key that a key's lines have."""
+    least = Window.partitionBy("id")
+    by_id = met.repartition("id").withColumn("least", F.min("key").over(least))
+    by_key = by_id.repartition("key").withColumn("team", F.min("least").over(Window.partitionBy("key")))
+    return by_key.repartition("id").groupBy("id", "team").agg(F.collect_list("key").alias("keys"))
 
 
 def _links(lines: list[str], a: np.ndarray, b: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
