@@ -27,7 +27,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.digests(paragraphs.remove_paragraphs(_table(spark, sf_dir, "documents"), passage=paragraphs.PASSAGE, shortest=1))
+    return paragraphs.digests(paragraphs.remove_paragraphs(_table(spark, sf_dir, "documents"), passage=paragraphs.PASSAGE))
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -92,26 +93,53 @@ def with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """left with right's columns; right has each key once. `rows`: left's row count.
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    own, n = [], 0
+    for b in batches:
+        own.append([c.to_numpy().astype(np.int64) for c in b.columns])
+        n += b.num_rows
+        if n >= rows:
+            yield [np.concatenate(x) for x in zip(*own, strict=True)]
+            own, n = [], 0
+    if own:
+        yield [np.concatenate(x) for x in zip(*own, strict=True)]
+    tidy()
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """left with right's columns; right has each key once. `rows`: left's row count, or more.
 
     Keys that hold over a thousandth of left's rows (there can be no more than a thousand such keys, whatever the
-    input) are joined by broadcasting their few rows of right; all others by an ordinary shuffle join.
+    input) are joined by broadcasting their few rows of right; all others by an ordinary shuffle join. `counts` has
+    the count n of left's rows for each key, of all that may be hot at least; it is counted if it isn't given.
     left is read twice, so hand over a staged table. Null keys are looked up like any other value.
     """
     extra = [c for c in right.columns if c not in keys]
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > F.lit(max(1000, int(rows * HOT_SHARE)))).drop("__n")
-    hot = staged(hot, "hot")
+    most = max(1000, int(rows * HOT_SHARE))
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(counts.where(F.col("n") > F.lit(most)).select(*keys), "hot")
     if hot.isEmpty():
-        return _join(left, right, keys, extra, "left")
+        return _join(left, right, keys, extra, how)
     flag = hot.withColumn("__hot", F.lit(True))
     found = _join(right, F.broadcast(flag), keys, ["__hot"], "inner").drop("__hot")
     marked = _join(left, F.broadcast(flag), keys, ["__hot"], "left")
-    one = _join(marked.where("__hot").drop("__hot"), F.broadcast(found), keys, extra, "left")
-    two = _join(marked.where("__hot is null").drop("__hot"), right, keys, extra, "left")
+    one = _join(marked.where("__hot").drop("__hot"), F.broadcast(found), keys, extra, how)
+    two = _join(marked.where("__hot is null").drop("__hot"), right, keys, extra, how)
     return one.unionByName(two)
 
 
+def free_names(docs: DataFrame, *names: str) -> dict[str, str]:
+    """A name for each given one that no column of docs has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, {}
+    for n in names:
+        own = f"__{n}"
+        while own in taken:
+            own += "_"
+        out[n] = own
+    return out
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str], how: str) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]

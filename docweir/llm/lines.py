@@ -17,16 +17,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
+from docweir.llm.common import _join, batch, forget, free_names, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
 from docweir.llm.edits import within, within_pairs
-from docweir.llm.segments import LONG, Lines, allowed, keys, mixed, near, threshold
+from docweir.llm.hashing import dealt, mixed, unpacked
+from docweir.llm.segments import LONG, Lines, allowed, keys, near, threshold
 
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
@@ -70,37 +73,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
-    own, n = [], 0
-    for b in batches:
-        own.append([c.to_numpy().astype(np.int64) for c in b.columns])
-        n += b.num_rows
-        if n >= rows:
-            yield [np.concatenate(x) for x in zip(*own, strict=True)]
-            own, n = [], 0
-    if own:
-        yield [np.concatenate(x) for x in zip(*own, strict=True)]
-    tidy()
-
-
-#: A key's row in a block: 6 bytes of key, 8 of id, 2 of length, role and kind, 2 of counts.
-ROW_BYTES = 18
+#: The bytes of a row of a block: key, id, length with kind and role, counts.
+ROW = (6, 8, 2, 2)
 _MOST = (1 << 14) - 1
 
 
-def _pack(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray) -> bytes:
-    """Columns one after the other."""
-    return b"".join((key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ident.astype("<i8").tobytes(), meta.astype("<u2").tobytes(), counts.astype("<u2").tobytes()))
-
-
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = len(body) // ROW_BYTES
-    raw = np.frombuffer(body, np.uint8)
-    key = np.zeros((n, 8), np.uint8)
-    key[:, :6] = raw[: 6 * n].reshape(n, 6)
-    return key.view("<u8").ravel(), raw[6 * n : 14 * n].view("<i8"), raw[14 * n : 16 * n].view("<u2"), raw[16 * n :].view("<u2")
-
-
 def _half(counts: np.ndarray) -> np.ndarray:
     """Eight counts of four bits, added up in pairs: four counts mod 16, of which an edit still moves two by one."""
     low, high = counts & np.uint32(0x0F0F0F0F), counts >> np.uint32(4) & np.uint32(0x0F0F0F0F)
@@ -121,12 +98,28 @@ def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
     n = np.minimum(np.where(words, own.words[line], own.chars[line]), _MOST)
     meta = n << 2 | words.astype(np.int64) << 1 | probe
     counts = _half(np.where(words, by_words[line], by_chars[line]))
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, cols = bucket[order], [c[order] for c in (key, ident[line], meta, counts)]
-    cut = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(bucket)]
-    for i, j in zip(cut, cut[1:], strict=False):
-        yield int(bucket[i]), _pack(*(c[i:j] for c in cols))
+    yield from dealt(key, buckets, *zip((key, ident[line], meta, counts), ROW, strict=True))
+
+
+_MET = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each bucket, of rows (bucket, body) sorted by bucket."""
+    bucket, held = None, []
+    for b in batches:
+        for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if k != bucket and held:
+                yield held
+                held = []
+            bucket = k
+            held.append(body)
+    if held:
+        yield held
+
+
+def unpacked_all(blocks: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*(unpacked(b, *sizes) for b in blocks), strict=True)]
 
 
 def meetings(docs: DataFrame, buckets: int) -> DataFrame:
@@ -139,15 +132,9 @@ def meetings(docs: DataFrame, buckets: int) -> DataFrame:
             yield batch(schema, [k for k, _ in own], [x for _, x in own])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, bucket, held = ["key", "id"], None, []
-        for b in with_end(batches):
-            for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if b is not None else [(None, b"")]:
-                if k != bucket and held:
-                    key, ident = _met(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                    held = []
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(ident)], names=names)
-                bucket = k
-                held.append(_unpack(body))
+        for body in buckets_of(batches):
+            key, ident, meta, counts = unpacked_all(body, ROW)
+            yield batch(_MET, *_met(key, ident.view(np.int64), meta.astype(np.uint16), counts.astype(np.uint16)))
         tidy()
 
     own = docs.select("text").mapInArrow(signatures, "bucket bigint, body binary")
@@ -179,7 +166,7 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
     some = np.repeat((np.minimum.reduceat(ident, first) != np.maximum.reduceat(ident, first)) & (role == 3), size)
     key, ident, meta, counts = (c[some] for c in (key, ident, meta, counts))
     if not len(key):
-        return key, ident
+        return key.astype(np.int64), ident
     ok = np.zeros(len(key), bool)
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     size = np.diff(np.append(first, len(key)))
@@ -212,8 +199,10 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
                 ok[i[m.any(1)]] = True
                 ok[j[m.any(0)]] = True
     key, ident = key[ok], ident[ok]
-    one = np.unique(np.stack([key.astype(np.int64), ident]), axis=1)
-    return one[0], one[1]
+    one = np.lexsort((ident, key))
+    key, ident = key[one], ident[one]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])])[: len(key)]
+    return key[new].astype(np.int64), ident[new]
 
 
 def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,29 +215,39 @@ def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_wo
             yield own[i : i + 256], other[j : min(j + 1024, int(hi))]
 
 
-def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line): the distinct lines whose short digest is in ids, found by a scan with a filter of fixed size."""
-    spark = docs.sparkSession
+def filter_of(ids: DataFrame) -> np.ndarray:
+    """Bits of a filter of 64-bit ids, by their lowest ones: FILTER_BITS, whatever their number. It may let through
+    more than them, never less."""
     low = F.col("id").bitwiseAND(FILTER_BITS - 1)
     word = F.shiftright(low, 6).cast("int")
-    # A filter has FILTER_BITS / 64 words, whatever the number of ids; it may let through more, never less.
-    words = ids.select(word.alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    # At most FILTER_BITS / 64 rows.
+    got = ids.select(word.alias("w"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(FILTER_BITS // 64, np.int64)
-    got = words.toArrow()
     table[got["w"].to_numpy()] = got["b"].to_numpy()
-    sent = spark.sparkContext.broadcast(table.view(np.uint64))
+    return table.view(np.uint64)
+
+
+def held_in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids the filter lets through."""
+    k = ids & (FILTER_BITS - 1)
+    return (bits[k >> 6] >> (k & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line): the distinct lines whose short digest is in ids, or seems to be by a filter of fixed size."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(ids))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, bits = pa.schema([("id", pa.int64()), ("line", pa.string())]), sent.value
+        schema = pa.schema([("id", pa.int64()), ("line", pa.string())])
         for b in slices(batches):
             seen = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t)})
             ident = np.array([short(digest(s)) for s in seen], np.int64)
-            k = ident & (FILTER_BITS - 1)
-            hit = np.nonzero(bits[k >> 6] >> (k & 63).astype(np.uint64) & np.uint64(1))[0] if len(seen) else []
-            yield batch(schema, ident[hit] if len(seen) else [], [seen[i] for i in hit])
+            hit = np.nonzero(held_in(sent.value, ident))[0]
+            yield batch(schema, ident[hit], [seen[i] for i in hit.tolist()])
 
     found = docs.select("text").mapInArrow(find, "id bigint, line string")
-    return found.join(ids, "id", "left_semi").distinct()
+    # One exchange, by id, that the join after it needs as well. Two lines of one id are both kept.
+    return found.groupBy("id").agg(F.collect_set("line").alias("lines")).select("id", F.explode("lines").alias("line"))
 
 
 def links(docs: DataFrame, buckets: int) -> DataFrame:
@@ -433,8 +432,24 @@ def _join_all(parent: np.ndarray, x: np.ndarray, y: np.ndarray, joined: list[tup
         joined.append((x[kept], y[kept]))
 
 
+def first_places(found: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, of, line, digest, keep_doc, keep_line) of the found lines whose class has more than one place: keep is
+    the first one. classes has (node, root) for digests that are linked; equal digests are one class anyway."""
+    counts = staged(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    some = counts.select("digest").union(classes.select("node")).distinct().withColumn("__some", F.lit(True))
+    hits = lookup(found.select("doc_id", "of", "line", "digest"), staged(some, "some"), ["digest"], rows, "inner", counts)
+    hits = staged(hits.drop("__some"), "hits")
+    first = hits.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    roots = first.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    roots = staged(roots, "roots")
+    keeper = roots.groupBy("root").agg(F.min("first").alias("keep"))
+    named = roots.join(keeper, "root").select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
+    return lookup(hits, staged(named, "classes"), ["digest"], rows, "inner", counts)
+
+
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, of, line, digest, keep_doc, keep_line, n_links): each line; its class's first line; its text's links.
+    """(doc_id, of, line, digest, keep_doc, keep_line, n_links): each line whose class has more than one place; the
+    class's first line; the links of the line's text.
 
     A line is to be removed if it isn't the first of its class. Null text and blank lines give no rows; rows repeated
     under one doc_id with one text are one document.
@@ -446,21 +461,15 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = staged(links(own, 1 + size // BUCKET), "links")
     classes = components(linked.where("b is not null").select("a", "b"))
     degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n_links"))
-    distinct = found.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    roots = distinct.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    roots = staged(roots.join(degree, "digest", "left"), "roots")
-    keeper = roots.groupBy("root").agg(F.min("first").alias("keep"))
-    named = roots.join(keeper, "root").select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return lookup(found.drop("size"), staged(named, "classes"), ["digest"], n)
+    return lookup(staged(first_places(found, classes, n), "places"), staged(degree, "degree"), ["digest"], n)
 
 
 def _per_document(found: DataFrame) -> DataFrame:
     gone = ~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line") == F.col("keep_line")))
     return found.groupBy("doc_id", "of").agg(
-        F.count(F.lit(1)).alias("n_lines"),
         F.collect_set(F.when(gone, F.col("line"))).alias("drop"),
         F.sum("n_links").alias("n_links"),
-        F.min("keep_doc").alias("class_id"),
+        F.min("keep_doc").alias("keep_doc"),
     )
 
 
@@ -485,33 +494,42 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in slices(batches):
             drop = [d or [] for d in b.column("drop").to_pylist()]
             kept = [hashlib.sha256(_without(t, d).encode()).hexdigest() for t, d in zip(b.column("text").to_pylist(), drop, strict=True)]
-            yield batch(schema, b.column("doc_id"), b.column("class_id"), b.column("n_lines"), [len(d) for d in drop], b.column("n_links"), kept)
+            n = [len(lines_of(t)) for t in b.column("text").to_pylist()]
+            yield batch(schema, b.column("doc_id"), b.column("class_id"), n, [len(d) for d in drop], b.column("n_links"), kept)
 
-    joined = _join(own, info, ["doc_id", "of"], ["n_lines", "drop", "n_links", "class_id"], "left")
-    joined = joined.select("doc_id", "text", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "drop", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    joined = _join(own, info, ["doc_id", "of"], ["drop", "n_links", "keep_doc"], "left")
+    # No first line of a class stands behind another one of it.
+    joined = joined.select("doc_id", "text", "drop", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.least("keep_doc", "doc_id").alias("class_id"))
     return joined.mapInArrow(run, "doc_id bigint, class_id bigint, n_lines bigint, n_removed bigint, n_links bigint, kept_sha256 string")
 
 
+def _kept(text: pd.Series, drop: pd.Series) -> pd.Series:
+    """Texts without the lines of the given numbers; null if no line, or only blank ones, are left, and for null."""
+    left = [None if t is None else _without(t, d) for t, d in zip(text, drop, strict=True)]
+    return pd.Series([t if t and t.strip() else None for t in left], dtype=object)
+
+
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without lines that aren't the first of their class; a document of which no line is left goes.
 
     Documents without any line, null ones among them, stay as they are. A column n_chars gets the new length.
     """
-    found = near_lines(docs)
-    info = _per_document(found).where(F.size("drop") > 0).select("doc_id", "of", F.col("drop").alias("__drop"), F.col("n_lines").alias("__lines"))
-    free = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__of", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    r = info.withColumnRenamed("doc_id", "__r_id").withColumnRenamed("of", "__r_of")
-    joined = free.join(r, F.col("__id").eqNullSafe(F.col("__r_id")) & (F.col("__of") == F.col("__r_of")), "left")
-    joined = joined.where(F.col("__drop").isNull() | (F.size("__drop") < F.col("__lines")))
-    kept = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("__new", text)
+    info = _per_document(near_lines(docs)).where(F.size("drop") > 0)
+    free = free_names(docs, "of", "drop", "new", "id")
+    own = docs.withColumn(free["id"], F.col("doc_id").cast("long")).withColumn(free["of"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    r = info.select(F.col("doc_id").alias("__r_id"), F.col("of").alias("__r_of"), F.col("drop").alias(free["drop"]))
+    joined = own.join(r, F.col(free["id"]).eqNullSafe(F.col("__r_id")) & (F.col(free["of"]) == F.col("__r_of")), "left").drop("__r_id", "__r_of")
+    gone = F.col(free["drop"])
+    # Not deterministic, so that the filter doesn't run it a second time. Only texts that change go to Python.
+    kept = F.pandas_udf(_kept, T.StringType()).asNondeterministic()
+    joined = joined.withColumn(free["new"], kept(F.when(gone.isNotNull(), F.col("text").cast("string")), gone))
+    joined = joined.where(gone.isNull() | F.col(free["new"]).isNotNull()).withColumn(free["new"], F.when(gone.isNull(), F.col("text")).otherwise(F.col(free["new"])))
     cols = []
     for c in docs.columns:
         if c == "text":
-            cols.append(F.col("__new").alias("text"))
+            cols.append(F.col(free["new"]).alias("text"))
         elif c == "n_chars":
-            cols.append(F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            cols.append(F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(free["new"])).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             cols.append(F.col(f"`{c}`"))
-    return out.select(*cols)
+    return joined.select(*cols)

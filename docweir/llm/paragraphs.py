@@ -1,49 +1,46 @@
 """Substring de-duplication by paragraph MinHash banding.
 
-A paragraph is a line that isn't blank, stripped. Paragraphs of at least `least` words are near-duplicates from a
-Jaccard similarity of `similarity` of their sets of five-word shingles. `tune` picks the cheapest banding whose
-recall at that similarity reaches `recall`; paragraphs that collide in a band are fetched, verified by exact Jaccard
-(or by edit distance, to `tau`, if that is asked for), and joined by components. All but the first paragraph of a
-component, by doc_id and line, are removed.
-
-With `shortest`, paragraphs from that number of words on are compared as well. Those of fewer than five words have
-one shingle, the whole: they are near-duplicates if they are equal but for the case of ASCII letters.
-
-A passage inside a longer paragraph is no paragraph: so sentences of at least `least` words in paragraphs that stay
-are compared too, for equality. (Near ones would be pointless: one changed word in a sentence of fewer than 49 puts
-its shingles below 0.8.) With `merged`, a paragraph of one sentence and the equal sentence elsewhere are one class.
-
-With `passage`, runs of that many words or more, whatever their case, end marks and lines, are then looked for in the
-text that is left: every window of `passage` words that stands at an earlier place too goes, so that maximal runs go.
-Windows half as long, chosen by minima that each run of `passage` words has in common, first tell the documents that
-can hold such a run, exactly; only of those all windows are compared. Windows meet by 64-bit hashes.
+A paragraph is a line that isn't blank, stripped. Paragraphs are near-duplicates from a Jaccard similarity of
+`similarity` of their sets of five-word shingles (words: runs without ASCII white space, ASCII letters lowered). Those
+of fewer than five words have one shingle, the whole. `tune` picks the cheapest banding whose recall at that
+similarity reaches `recall`; paragraphs that collide in a band are fetched, verified by exact Jaccard (or by edit
+distance, to `tau`, if that is asked for), and joined by components. All but the first paragraph of a component, by
+doc_id and line, are removed.
+
+1. Band keys travel in packed blocks, dealt to buckets of bounded size; keys of different paragraphs stay.
+2. Their texts are fetched, once for each team of keys, and compared; pairs that others have joined already are not.
+3. Components, first places, removal.
+
+A passage inside a longer paragraph is no paragraph of its own, and no similarity of wholes tells it. So, with
+`passage`, runs of that many words or more, whatever their case, marks and lines, are then looked for in the text that
+is left: every window of `passage` words that stands at an earlier place too goes, so that maximal runs go. A window
+holds, as its smallest hash, a shorter one (an anchor) that each copy of it has as well. Anchors that repeat are found
+first; only windows around one are compared, by 64-bit hashes, and none that repeats is missed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, with_end
+from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
 from docweir.llm.components import components
 from docweir.llm.edits import within
-from docweir.llm.lines import _gathered, _keyed, digest, lines_of, short, wanted_texts
-from docweir.llm.simhash import shingle_hashes
+from docweir.llm.hashing import Words, dealt, mixed, smallest
+from docweir.llm.lines import BUCKET, CHUNK, _in, _join_all, _keyed, _MET, _teams, buckets_of, digest, filter_of, first_places, held_in, lines_of, occurrences, short, unpacked_all, wanted_texts
 
 SIMILARITY = 0.8
 WIDTH = 5
-LEAST = 8
 RECALL = 0.998
 #: Words of a passage that the query looks for.
 PASSAGE = 30
-
-_MARKS = re.compile(r"[.!?]+")
+#: The bytes of a row of a block: key and id; an anchor's key and whether it repeats.
+ROW, ANCHOR = (6, 8), (6,)
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -56,277 +53,218 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, i
     raise ValueError("no banding reaches this recall")
 
 
-def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    n = len(np.intersect1d(a, b, assume_unique=True))
-    return n / max(1, len(a) + len(b) - n)
+def _band_keys(lines: list[str], width: int, bands: int, rows: int) -> np.ndarray:
+    """(band, line) keys of 48 bits."""
+    seeds = np.random.default_rng(4).integers(1, 2**63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
+    who, h = Words(lines, lower=True).shingles(width)
+    first = np.searchsorted(who, np.arange(len(lines)))
+    out = np.empty((bands, len(lines)), np.uint64)
+    for band in range(bands):
+        key = np.full(len(lines), band + 1, np.uint64)
+        for a, c in seeds[band * rows : band * rows + rows]:
+            x = h * a
+            key = mixed(key ^ np.minimum.reduceat((x ^ (x >> np.uint64(31))) * c, first))
+        out[band] = key >> np.uint64(16)
+    return out
 
 
-def _collisions(docs: DataFrame, least: int, width: int, bands: int, rows: int) -> DataFrame:
+def collisions(docs: DataFrame, width: int, bands: int, rows: int, buckets: int) -> DataFrame:
     """(key, id): paragraphs that share a band with a different one."""
-    seeds = np.random.default_rng(4).integers(1, 2**63, (bands * rows, 2), dtype=np.uint64) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+        schema = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
         for b in slices(batches):
-            own = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t) if len(s.split()) >= least})
-            if not own:
-                continue
-            each = [shingle_hashes(s, width) for s in own]
-            flat, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])[:-1]])
-            keys = []
-            for band in range(bands):
-                key = np.full(len(own), band + 1, np.uint64)
-                for a, c in seeds[band * rows : band * rows + rows]:
-                    h = flat * a
-                    key = (key ^ np.minimum.reduceat((h ^ (h >> np.uint64(31))) * c, first)) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                keys.append(key)
-            ident = np.array([short(digest(s)) for s in own], np.int64)
-            yield batch(schema, np.concatenate(keys).view(np.int64), np.tile(ident, bands))
+            own = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t)})
+            if own:
+                ident = np.array([short(digest(s)) for s in own], np.int64)
+                key = _band_keys(own, width, bands, rows).ravel()
+                blocks = list(dealt(key, buckets, *zip((key, np.tile(ident, bands)), ROW, strict=True)))
+                yield batch(schema, [k for k, _ in blocks], [x for _, x in blocks])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
-        for b in with_end(_gathered(batches)):
-            if b is not None:
-                held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
-            key, ident = held
-            if not len(key):
-                continue
-            new = np.nonzero(key[1:] != key[:-1])[0]
-            cut = len(key) if b is None else int(new[-1]) + 1 if len(new) else 0
-            if cut:
-                key, ident, held = key[:cut], ident[:cut], [key[cut:], ident[cut:]]
-                # Sorted by key and id: copies of a paragraph, one from each batch of documents, stand together.
-                one = np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])])
-                key, ident = key[one], ident[one]
-                same = key[1:] == key[:-1]
-                ok = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(ident[ok])], names=["key", "id"])
-
-    own = docs.select("text").mapInArrow(sign, "key bigint, id bigint")
-    return own.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key bigint, id bigint")
-
-
-def joined_texts(texts: list[str], similarity: float, width: int, tau: int | None) -> list[tuple[str, str]]:
-    """Links that join what all near pairs of texts join: a text is compared with a cluster until one link is found."""
-    sets = [shingles(t, width) for t in texts]
-
-    def near(i: int, j: int) -> bool:
-        a, b = sets[i], sets[j]
-        if tau is not None and within(texts[i], texts[j], tau):
-            return True
-        return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(a, b) >= similarity
-
-    clusters: list[list[int]] = []
-    out = []
-    for i in range(len(texts)):
-        home = None
-        for c in clusters:
-            j = next((j for j in c if near(i, j)), None)
-            if j is None:
-                continue
-            out.append((texts[i], texts[j]))
-            if home is None:
-                home = c
-            else:
-                home += c
-                c.clear()
-        clusters = [c for c in clusters if c]
-        if home is None:
-            clusters.append([i])
-        else:
-            home.append(i)
-    return out
-
-
-def near_links(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None) -> DataFrame:
+        for body in buckets_of(batches):
+            key, ident = unpacked_all(body, ROW)
+            order = np.lexsort((ident, key))
+            key, ident = key[order].astype(np.int64), ident[order].view(np.int64)
+            # Copies of a paragraph, one from each batch of documents, stand together.
+            one = np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])])
+            key, ident = key[one], ident[one]
+            same = key[1:] == key[:-1]
+            ok = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            yield batch(_MET, key[ok], ident[ok])
+        tidy()
+
+    own = docs.select("text").mapInArrow(sign, "bucket bigint, body binary")
+    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint")
+
+
+def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int, tau: int | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of rows (key, paragraph), sorted by key: (distinct paragraphs, links that join what all near pairs under a key
+    join). Pairs that are joined already aren't compared."""
+    lines = sorted(set(text))
+    place = {s: i for i, s in enumerate(lines)}
+    row = np.array([place[s] for s in text], np.int64)
+    who, h = Words(lines, lower=True).shingles(width)
+    order = np.lexsort((h, who))
+    who, h = who[order], h[order]
+    one = np.concatenate([[True], (who[1:] != who[:-1]) | (h[1:] != h[:-1])])[: len(who)]
+    who, h = who[one], h[one]
+    size = np.bincount(who, minlength=len(lines))
+    first = np.cumsum(size) - size
+    line_code = np.uint64(0x9E3779B97F4A7C15)
+    known = np.sort(mixed(h + who.astype(np.uint64) * line_code))
+    parent = np.arange(len(lines))
+    joined: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = size[x]
+        pair = np.repeat(np.arange(len(x)), n)
+        at = np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(len(pair))
+        both = np.bincount(pair[_in(mixed(h[at] + y[pair].astype(np.uint64) * line_code), known)], minlength=len(x))
+        good = both / np.maximum(1, n + size[y] - both) >= similarity
+        if tau is not None:
+            good |= [ok or within(lines[i], lines[j], tau) for ok, i, j in zip(good.tolist(), x.tolist(), y.tolist(), strict=True)]
+        return good
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        some = parent[x] != parent[y]
+        if tau is None:
+            some &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+        x, y = x[some], y[some]
+        x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        step = max(1, (1 << 20) // max(1, int(size[x].max(initial=1))))
+        for i in range(0, len(x), step):
+            p, q = x[i : i + step], y[i : i + step]
+            good = near(p, q)
+            _join_all(parent, p[good], q[good], joined)
+
+    start = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    length = np.diff(np.append(start, len(key)))
+    at = np.arange(len(key))
+    for d in range(1, int(length.max(initial=0))):
+        at = at[at + d < len(key)]
+        at = at[key[at + d] == key[at]]
+        compare(row[at], row[at + d])
+    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in joined)]) for i in (0, 1))
+    return lines, a, b
+
+
+def near_links(docs: DataFrame, buckets: int = 1, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, tau: int | None = None) -> DataFrame:
     """(a, b): digests of paragraphs that are near-duplicates, enough of them to join what all join."""
-    bands, rows = tune(similarity, recall)
-    met = staged(_collisions(docs, least, width, bands, rows), "collisions")
+    met = staged(collisions(docs, width, *tune(similarity, recall), buckets), "collisions")
+    forget(docs.sparkSession)
     texts = wanted_texts(docs, met.select("id").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        key, own = None, []
+        team, own = [], []
         for b in with_end(batches):
-            out: list[tuple[str, str]] = []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if b is not None else [(None, "")]:
-                if k != key or b is None:
-                    out += joined_texts(own, similarity, width, tau) if len(own) > 1 else []
-                    key, own = k, []
-                own.append(s)
-            yield batch(schema, [digest(x) for x, _ in out], [digest(y) for _, y in out])
-
-    rows_ = met.join(texts, "id").select("key", "line")
-    return rows_.repartition("key").sortWithinPartitions("key", "line").mapInArrow(verify, "a binary, b binary")
+            if b is not None:
+                team += b.column(0).to_pylist()
+                own += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            if b is None or len(team) >= CHUNK and team[-1] != team[0]:
+                # The last team may go on in the next batch.
+                n = len(team) if b is None else next(i for i in range(len(team) - 1, -1, -1) if team[i] != team[-1]) + 1
+                if n:
+                    rows = sorted((k, s) for s, ks in own[:n] for k in ks)
+                    lines, x, y = joined_texts(np.array([k for k, _ in rows], np.int64), [s for _, s in rows], similarity, width, tau)
+                    yield batch(schema, [digest(lines[i]) for i in x.tolist()], [digest(lines[i]) for i in y.tolist()])
+                team, own = team[n:], own[n:]
+        tidy()
+
+    rows = _teams(met).join(texts, "id").select("team", "line", "keys")
+    return rows.repartition("team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary")
+
+
+def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, of, line, digest, keep_doc, keep_line): each paragraph whose class has more than one place, and the
+    class's first one. Null and empty texts have none; rows repeated under one id with one text are one document."""
+    ready(docs.sparkSession)
+    own = id_text(docs, id_col, text_col)
+    found = staged(occurrences(own), "occurrences")
+    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    classes = components(staged(near_links(own, 1 + size // BUCKET, **options), "links"))
+    return first_places(found, classes, n)
 
 
-def sentences_of(line: str) -> list[tuple[int, int]]:
-    """(start, end) of a line's sentences; what follows the last mark is one."""
-    out, end = [], 0
-    for m in _MARKS.finditer(line):
-        out.append((end, m.end()))
-        end = m.end()
-    return out + [(end, len(line))] if end < len(line) else out
+# ---------------------------------------------------------------------------------------------- passages
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-def _units(docs: DataFrame, least: int, shortest: int, merged: bool) -> DataFrame:
-    """(doc_id, of, line, at, digest): paragraphs (at -1) of at least `shortest` words and sentences of at least `least` words (at: their start)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("digest", pa.binary())])
-        prefix = b"" if merged else b"s"
-        for b in slices(batches):
-            rows = []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                for n, s in lines_of(t):
-                    if len(s.split()) < shortest:
-                        continue
-                    rows.append((k, n, -1, digest(s)))
-                    rows += [(k, n, i, prefix + xxhash.xxh3_128_digest(x.encode())) for i, j in sentences_of(s) if len((x := s[i:j].strip()).split()) >= least and len(x) < len(s)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield batch(schema, b.column(0).take(at), b.column(2).take(at), *([r[i] for r in rows] for i in (1, 2, 3)))
+def _anchors(own: Words, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, keys of 47 bits): of each window of `passage` words, its shorter window of the smallest hash."""
+    half = passage // 2
+    reach, span = half + 1, passage - half
+    h = own.runs(span)
+    # Windows of `passage` words begin at these words.
+    whole = own.places() <= (own.count - passage)[own.text]
+    low = np.where(whole, smallest(h, reach), np.uint64(0))
+    # The largest of the smallest hashes of all windows that a place is in.
+    most = ~smallest(~low[::-1], reach)[::-1]
+    # Windows before a text's first word are another text's: they hold a place of this one only if they are none.
+    at = np.nonzero((most == h) & (own.places() <= (own.count - span)[own.text]))[0]
+    return at, h[at] >> np.uint64(17)
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, at int, digest binary")
 
+def repeated_anchors(docs: DataFrame, passage: int, buckets: int) -> DataFrame:
+    """(id): keys of anchors that stand at more than one place of docs' kept texts."""
 
-def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, least: int = LEAST, recall: float = RECALL, tau: int | None = None, shortest: int | None = None, merged: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, of, line, at, digest, keep): each paragraph (at -1) or sentence and the first place of its class.
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
+        for b in slices(batches, "kept", 2 << 20):
+            key, n = np.unique(_anchors(Words(b.column(0).to_pylist(), lower=True, trim=True), passage)[1], return_counts=True)
+            blocks = list(dealt(key, buckets, (key << np.uint64(1) | (n > 1).astype(np.uint64), *ANCHOR)))
+            yield batch(schema, [k for k, _ in blocks], [x for _, x in blocks])
 
-    Null and empty texts have none; rows repeated under one id with one text are one document. A paragraph of one
-    sentence isn't also a sentence.
-    """
-    ready(docs.sparkSession)
-    own = id_text(docs, id_col, text_col)
-    shortest = least if shortest is None else shortest
-    units = staged(_units(own, least, shortest, merged), "units")
-    classes = components(staged(near_links(own, similarity, width, shortest, recall, tau), "links"))
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "line", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.join(classes.withColumnRenamed("node", "digest"), "digest", "left").where("n > 1 or root is not null")
-    first = staged(first.select("digest", F.coalesce("root", "digest").alias("root"), "first"), "firsts")
-    keep = first.groupBy("root").agg(F.min("first").alias("keep"))
-    named = staged(first.join(keep, "root").select("digest", "keep"), "classes")
-    return lookup(units, named, ["digest"], units.count())
-
-
-def _per_document(found: DataFrame) -> DataFrame:
-    place = F.struct("doc_id", "line", "at")
-    gone = F.col("keep").isNotNull() & ~(F.col("keep").eqNullSafe(place))
-    return found.groupBy("doc_id", "of").agg(
-        F.sum(F.when(F.col("at") < 0, 1).otherwise(0)).alias("n_paragraphs"),
-        F.collect_set(F.when(gone, F.struct("line", "at"))).alias("drop"),
-        F.min(F.coalesce(F.col("keep.doc_id"), F.col("doc_id"))).alias("class_id"),
-    )
-
-
-def without(text: str, drop: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """(text without the dropped units, paragraphs gone, sentences gone besides)."""
-    if not drop:
-        return text, 0, 0
-    whole = {n for n, at in drop if at < 0}
-    parts: dict[int, set[int]] = {}
-    for n, at in drop:
-        if at >= 0 and n not in whole:
-            parts.setdefault(n, set()).add(at)
-    out, cut = [], 0
-    for n, line in enumerate(text.split("\n")):
-        if n in whole:
-            continue
-        if n in parts:
-            s = line.strip()
-            left = [s[i:j] for i, j in sentences_of(s) if i not in parts[n]]
-            cut += len(parts[n])
-            line = "".join(left).strip()
-            if not line:
-                continue
-        out.append(line)
-    return "\n".join(out), len(whole), cut
-
-
-_WORD = re.compile(r"\S+")
-_MARK = ".,;:!?\"'()[]"
-
-
-def _windows(text: str, width: int, known: dict[str, int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The hash of each window of `width` words, lowered and without marks at their ends; the words' spans."""
-    spans, h = [], []
-    for m in _WORD.finditer(text):
-        w = m[0]
-        if (x := known.get(w)) is None:
-            if len(known) > 200_000:
-                known.clear()
-            x = known[w] = xxhash.xxh3_64_intdigest((w.lower().strip(_MARK) or w).encode())
-        spans.append(m.span())
-        h.append(x)
-    n = len(h) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64), spans
-    h, out = np.array(h, np.uint64), np.zeros(n, np.uint64)
-    for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32)), spans
-
-
-def _minima(h: np.ndarray, reach: int) -> np.ndarray:
-    """The distinct values that are the smallest of some `reach` neighbours."""
-    n = len(h) - reach + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    low = h[:n].copy()
-    for i in range(1, reach):
-        np.minimum(low, h[i : i + n], out=low)
-    return np.unique(low)
-
-
-def _keys_of(docs: DataFrame, keys: Callable[[str, dict[str, int]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(doc_id, of, at, key) for the places and keys of each kept text."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body in buckets_of(batches):
+            (row,) = unpacked_all(body, ANCHOR)
+            row.sort()
+            key, first = np.unique(row >> np.uint64(1), return_index=True)
+            n = np.diff(np.append(first, len(row)))
+            again = np.bitwise_or.reduceat(row & np.uint64(1), first) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[(n > 1) | again].astype(np.int64))], names=["id"])
+        tidy()
+
+    own = docs.select("kept").mapInArrow(sign, "bucket bigint, body binary")
+    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint")
+
+
+def _windows_around(docs: DataFrame, anchors: DataFrame, passage: int) -> DataFrame:
+    """(doc_id, of, at, key): windows of `passage` words that hold one of the anchors, or seem to by the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(anchors))
+    half = passage // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
-        known: dict[str, int] = {}
         for b in slices(batches, "kept", 2 << 20):
-            found = [keys(t, known) for t in b.column(2).to_pylist()]
-            row = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for _, k in found]))
-            at, key = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            yield batch(schema, b.column(0).take(row), b.column(1).take(row), at.astype(np.int32), key.astype(np.uint64).view(np.int64))
+            own = Words(b.column(2).to_pylist(), lower=True, trim=True)
+            at, key = _anchors(own, passage)
+            at = at[held_in(sent.value, key.astype(np.int64))]
+            # From `half` words before an anchor to the anchor itself, inside its text.
+            cover = np.zeros(len(own.hash) + 1, np.int64)
+            np.add.at(cover, np.maximum(own.first[own.text[at]], at - half), 1)
+            np.add.at(cover, at + 1, -1)
+            start = np.nonzero((np.cumsum(cover)[:-1] > 0) & (own.places() <= (own.count - passage)[own.text]))[0]
+            text = pa.array(own.text[start])
+            yield batch(schema, b.column(0).take(text), b.column(1).take(text), own.places()[start].astype(np.int32), own.runs(passage)[start].view(np.int64))
+        tidy()
 
     return docs.select("doc_id", "of", "kept").mapInArrow(run, "doc_id bigint, of bigint, at int, key bigint")
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, of, at, key, first): rows whose key stands at more than one place; its first place."""
-    place = F.struct("doc_id", "of", "at")
-    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = staged(firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("key", "first"), "firsts")
-    return lookup(found, firsts, ["key"], found.count()).where("first is not null")
-
-
-def passages(docs: DataFrame, passage: int) -> DataFrame:
+def passages(docs: DataFrame, passage: int, buckets: int = 1) -> DataFrame:
     """(doc_id, of, cut, first_id): the first words of windows that repeat an earlier one, in docs (doc_id, of, kept);
     the smallest doc_id that holds the earlier place."""
-    half = passage // 2
-
-    def few(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        # Windows of passage - half words: a run of `passage` words has half + 1 of them. In one document a run may be
-        # repeated as well, so that a key's count of places matters, not of documents.
-        h, _ = _windows(text, passage - half, known)
-        at = np.nonzero(np.isin(h, _minima(h, half + 1)))[0]
-        return at, h[at]
-
-    def all_(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        h, _ = _windows(text, passage, known)
-        return np.arange(len(h)), h
-
-    some = _repeated(staged(_keys_of(docs, few), "anchors")).select("doc_id", "of").distinct()
-    own = _join(docs, some.withColumn("__some", F.lit(True)), ["doc_id", "of"], ["__some"], "inner")
-    found = _repeated(staged(_keys_of(own, all_), "windows"))
-    gone = found.where(~F.col("first").eqNullSafe(F.struct("doc_id", "of", "at")))
+    anchors = staged(repeated_anchors(docs, passage, buckets), "anchors")
+    found = staged(_windows_around(docs, anchors, passage), "windows")
+    place = F.struct("doc_id", "of", "at")
+    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = staged(firsts.where(~F.col("first").eqNullSafe(F.col("last"))), "firsts")
+    rows = found.count()
+    again = lookup(found, firsts.select("key", "first"), ["key"], rows, "inner", firsts.select("key", "n"))
+    gone = again.where(~F.col("first").eqNullSafe(place))
     return gone.groupBy("doc_id", "of").agg(F.collect_set("at").alias("cut"), F.min("first.doc_id").alias("first_id"))
 
 
@@ -348,40 +286,51 @@ def without_words(text: str, cut: list[int], passage: int) -> tuple[str, int]:
     return "\n".join(x for x in (y.strip() for y in left.split("\n")) if x), len(runs)
 
 
+# ---------------------------------------------------------------------------------------------- removal
+
+
+def without(text: str, drop: list[int]) -> str:
+    """The text without the lines of these numbers."""
+    gone = set(drop)
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
+
+
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 0, **options) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_paragraphs, n_removed, n_sentences_removed, kept (the text).
+    """One row for each document: doc_id, class_id, n_paragraphs, n_removed, n_passages_removed, kept (the text).
 
-    class_id is the smallest doc_id that holds the first place of a class of one of its paragraphs or sentences, or of
-    its passages, its own if it has none. n_sentences_removed counts passages as well. Documents without repeats keep
-    their text as it is.
+    class_id is the smallest doc_id that holds the first place of a class of one of its paragraphs, or of its passages,
+    its own if it has none. Documents without repeats keep their text as it is. Repeated rows give a row each.
     """
-    info = _per_document(near_paragraphs(docs, id_col=id_col, text_col=text_col, merged=bool(passage), **options))
+    found = near_paragraphs(docs, id_col=id_col, text_col=text_col, **options)
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("line") == F.col("keep_line")))
+    info = found.where(gone).groupBy("doc_id", "of").agg(F.collect_set("line").alias("drop"), F.min("keep_doc").alias("keep_doc"))
     own = _keyed(id_text(docs, id_col, text_col))
-    kind = "doc_id bigint, of bigint, class_id bigint, n_paragraphs bigint, n_removed bigint, n_sentences_removed bigint, kept string"
-    fields = [("doc_id", pa.int64()), ("of", pa.int64()), ("class_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_removed", pa.int64()), ("n_sentences_removed", pa.int64()), ("kept", pa.string())]
+    names = ["doc_id", "of", "class_id", "n_paragraphs", "n_removed", "n_passages_removed"]
+    kind = ", ".join(f"{n} bigint" for n in names) + ", kept string"
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [without(t, [(x["line"], x["at"]) for x in d or []]) for t, d in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True)]
-            yield batch(pa.schema(fields), b.column("doc_id"), b.column("of"), b.column("class_id"), b.column("n_paragraphs"), [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+            text, drop = b.column("text").to_pylist(), [d or [] for d in b.column("drop").to_pylist()]
+            n = [len(lines_of(t)) for t in text]
+            yield batch(schema, b.column("doc_id"), b.column("of"), b.column("class_id"), n, [len(d) for d in drop], [0] * len(n), [without(t, d) for t, d in zip(text, drop, strict=True)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "kept"):
             rows = [without_words(t, d, passage) if d else (t, 0) for t, d in zip(b.column("kept").to_pylist(), b.column("cut").to_pylist(), strict=True)]
-            n = [x + y for x, (_, y) in zip(b.column("n_sentences_removed").to_pylist(), rows, strict=True)]
-            yield batch(pa.schema(fields), *(b.column(c) for c in ("doc_id", "of", "class_id", "n_paragraphs", "n_removed")), n, [r[0] for r in rows])
+            yield batch(schema, *(b.column(c) for c in names[:-1]), [n for _, n in rows], [t for t, _ in rows])
 
-    joined = _join(own, info, ["doc_id", "of"], ["n_paragraphs", "drop", "class_id"], "left")
-    joined = joined.select("doc_id", "of", "text", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), "drop", F.coalesce("class_id", "doc_id").alias("class_id"))
-    left = joined.mapInArrow(run, kind)
+    joined = _join(own, info, ["doc_id", "of"], ["drop", "keep_doc"], "left")
+    # No first place of a class stands behind another one of it.
+    left = joined.select("doc_id", "of", "text", "drop", F.least("keep_doc", "doc_id").alias("class_id")).mapInArrow(run, kind)
     if passage:
         forget(docs.sparkSession)
         left = staged(left, "left")
-        left = _join(left, passages(left, passage), ["doc_id", "of"], ["cut", "first_id"], "left")
+        size = left.agg(F.coalesce(F.sum(F.octet_length("kept")), F.lit(0))).first()[0]
+        left = _join(left, passages(left, passage, 1 + size // (4 * BUCKET)), ["doc_id", "of"], ["cut", "first_id"], "left")
         left = left.withColumn("class_id", F.least("class_id", "first_id")).mapInArrow(cut, kind)
     return left.drop("of")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "class_id", "n_paragraphs", "n_removed", "n_sentences_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
+    return found.select("doc_id", "class_id", "n_paragraphs", "n_removed", "n_passages_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from docweir.llm.hashing import VALUE, Sums, Words, mixed
+
 #: From this many words on, edits are of words.
 LONG = 20
 #: One edit for each so many symbols of the shorter line.
@@ -30,24 +32,9 @@ SHARE = 10
 EDITS = 2
 GRAM = 4
 
-_ONE = np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _NONE = np.iinfo(np.uint64).max
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-#: What a byte, or the lower bits of a character, counts for.
-_VALUE = mixed(np.arange(1, 1 << 16 | 1, dtype=np.uint64))
-
-
 def threshold(chars: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The edits allowed in pairs whose shorter line has so many characters and words."""
     return np.where(words >= LONG, words // SHARE, np.minimum(EDITS, chars // SHARE))
@@ -75,52 +62,15 @@ def _stretches(most: int) -> np.ndarray:
     return out
 
 
-#: Bytes of a block of powers.
-_BLOCK = 1 << 12
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1), as a block of powers times powers of the block's length."""
-    inner = np.array([pow(base, i, 1 << 64) for i in range(_BLOCK)], np.uint64)
-    outer = np.array([pow(base, _BLOCK * i, 1 << 64) for i in range(-(-n // _BLOCK))], np.uint64)
-    return (outer[:, None] * inner).ravel()[:n]
-
-
-class _Sums:
-    """Hashes of any substrings of a sequence of values."""
-
-    _up, _down = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.sum = np.zeros(len(values) + 1, np.uint64)
-        up = self._up
-        if len(values) >= len(up):
-            up = _powers(_BASE, len(values) + 1)
-            # Kept for the next batch, unless one very long text asked for it.
-            if len(up) <= 1 << 22:
-                _Sums._up, _Sums._down = up, _powers(_INVERSE, len(up))
-        self.inverse = self._down if len(values) < len(self._down) else _powers(_INVERSE, len(values) + 1)
-        np.cumsum(values * up[: len(values)], out=self.sum[1:])
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sum[end] - self.sum[start]) * self.inverse[start]
-
-
 class Lines:
     """Distinct lines of a batch: chars and words of each, and words as numbers from hashes."""
 
     def __init__(self, lines: list[str]) -> None:
         self.lines = lines
-        raw = np.frombuffer("\n".join([*lines, ""]).encode(), np.uint8)
-        ends = np.nonzero(raw == 10)[0]
-        self.chars = np.diff(np.cumsum((raw & 0xC0) != 0x80)[ends], prepend=0) - 1 if len(ends) else np.empty(0, np.int64)
-        gap = _SPACE[raw]
-        edge = np.diff(gap, prepend=True)
-        at = np.nonzero(edge)[0]
-        start, end = at[::2], at[1::2]
-        self.word_line = np.searchsorted(ends, start)
-        self.words = np.bincount(self.word_line, minlength=len(lines))
-        self.word = mixed(_Sums(_VALUE[raw]).hash(start, end) + (end - start).astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
+        own = Words(lines)
+        self.chars = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.word_line, self.words, self.word, self.first = own.text, own.count, own.hash, own.first
+        self.grams = own.runs(GRAM)
         self.tau = threshold(self.chars, self.words)
         self.by_words = self.words >= LONG
 
@@ -130,8 +80,7 @@ class Lines:
         on = np.arange(int(n.max(initial=0))) < n[:, None]
         out = np.full(on.shape, -1, np.int32)
         if by_words:
-            first = np.cumsum(self.words) - self.words
-            at = np.repeat(first[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            at = np.repeat(self.first[pick] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             out[on] = np.unique(self.word[at], return_inverse=True)[1]
         else:
             out[on] = np.frombuffer("".join([self.lines[i] for i in pick.tolist()]).encode("utf-32-le"), np.int32)
@@ -150,9 +99,10 @@ class Lines:
         return tuple(by)
 
     def _characters(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, code point) of each character."""
-        code = np.frombuffer("".join(self.lines).encode("utf-32-le"), np.uint32).astype(np.int64)
-        return np.repeat(np.arange(len(self.lines)), self.chars), code
+        """(line, code point) of each character of lines that can be in a pair by characters."""
+        pick = np.nonzero(self.words < LONG + EDITS)[0]
+        code = np.frombuffer("".join([self.lines[i] for i in pick.tolist()]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        return np.repeat(pick, self.chars[pick]), code
 
 
 def _packed(line: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
@@ -183,7 +133,7 @@ def _by_chars(own: Lines) -> list[Keys]:
     if not len(pick):
         return []
     code = np.frombuffer("".join([own.lines[i] for i in pick.tolist()]).encode("utf-32-le"), np.uint32)
-    sums = _Sums(_VALUE[code & 0xFFFF] + code)
+    sums = Sums(VALUE[code & 0xFFFF] + code)
     n = own.chars[pick]
     first = np.cumsum(n) - n
     out: list[Keys] = []
@@ -213,29 +163,25 @@ def _by_words(own: Lines) -> list[Keys]:
     pick = np.nonzero(own.by_words)[0]
     if not len(pick):
         return []
-    h = own.word[own.by_words[own.word_line]]
+    gram = own.grams[own.by_words[own.word_line]]
     n = own.words[pick]
     first = np.cumsum(n) - n
-    gram = np.zeros(len(h), np.uint64)
-    for i in range(GRAM):
-        gram[: len(h) - GRAM + 1] = gram[: len(h) - GRAM + 1] * np.uint64(_BASE) + h[i : len(h) - GRAM + 1 + i]
-    gram = mixed(gram)
     line = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(h)) - first[line]
+    at = np.arange(len(gram)) - first[line]
     # Segments.
     who, _, start, size = cuts(n, n // SHARE)
     bounds = np.stack([first[who] + start, first[who] + start + size - GRAM + 1], 1).ravel()
     least = np.minimum.reduceat(np.append(gram, _NONE), bounds)[::2]
     # Stretches.
     reach = _stretches(1 << int(n.max()).bit_length())[n]
-    low, span, best = gram.copy(), reach[line], np.full(len(h), _NONE)
+    low, span, best = gram.copy(), reach[line], np.full(len(gram), _NONE)
     for t in range(1, int(reach.max()) + 1):
         if t > 1:
             np.minimum(low[: 1 - t], gram[t - 1 :], out=low[: 1 - t])
         on = span == t
         best[on] = low[on]
     ok = at <= (n - GRAM + 1 - reach)[line]
-    new = np.ones(len(h), bool)
+    new = np.ones(len(gram), bool)
     new[1:] = (best[1:] != best[:-1]) | (at[1:] == 0)
     found = np.nonzero(ok & new)[0]
     return [

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, forget, id_text, ready, slices, staged, with_docs, with_end
+from docweir.llm.common import batch, forget, gathered, id_text, ready, slices, staged, with_docs, with_end
 
 LENGTH = 100
 GRAM = 24
@@ -330,12 +330,11 @@ _FOUND = "doc bigint, lo bigint, hi bigint, h bigint, open boolean"
 
 def _settle(batches: Iterator[pa.RecordBatch], closed: bool = False) -> Iterator[pa.RecordBatch]:
     """Sorted rows of _scan: spans of contexts seen before, and, open, the first of contexts that share an anchor."""
-    from docweir.llm.lines import _gathered
 
     names = ["doc", "lo", "hi", "h", "open"]
     held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
     lead: tuple | None = None  # the last group's anchor, whether it has been told, its first row, its context's first row
-    for b in with_end(_gathered(batches)):
+    for b in with_end(gathered(batches)):
         if b is not None:
             held = [np.concatenate([x, y]) for x, y in zip(held, b, strict=True)]
         h, ctx, doc, at = held

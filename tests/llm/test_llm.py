@@ -12,6 +12,7 @@ import pytest
 
 from docweir.llm import components, decontam, edits, lines, media, packing, paragraphs, pii, quality, segments, simhash, suffix, tokens
 
+paragraphs_marks = ".,;:!?\"'()[]"
 KIND = "doc_id long, text string, extra string, n_chars long, fp string"
 
 
@@ -567,43 +568,72 @@ def test_many_lines_under_one_key(spark):
 # ------------------------------------------------------------------------------------------ paragraphs
 
 
-def test_paragraphs(spark, docs, texts, empty, repeated):
-    units, first = [], {}
+def shingle_set(line, width=5):
+    w = line.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_paragraphs(docs, texts, empty, repeated):
+    first, places = {}, {}
     for i, t in enumerate(texts):
-        for n, s in lines.lines_of(t or ""):
-            if len(s.split()) < paragraphs.LEAST:
-                continue
-            own = [(s, -1)] + [("S" + x, a) for a, b in paragraphs.sentences_of(s) if len((x := s[a:b].strip()).split()) >= paragraphs.LEAST and len(x) < len(s)]
-            for u, a in own:
-                units.append((i, n, a, u))
-                first.setdefault(u, (i, n, a))
-    whole = [u for i, n, a, u in units if a < 0]
-    sets = {u: paragraphs.shingles(u) for u in whole}
-    near = [(a, b) for a, b in combinations(sets, 2) if paragraphs.jaccard(sets[a], sets[b]) >= 0.8]
+        places[i] = lines.lines_of(t or "")
+        for n, s in places[i]:
+            first.setdefault(s, (i, n))
+    sets = {s: shingle_set(s) for s in first}
+    near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert near
-    root, keep, gone, cls = groups(first, near), {}, {}, {i: i for i in range(len(texts))}
-    for u, p in first.items():
-        keep[root[u]] = min(keep.get(root[u], p), p)
-    for i, n, a, u in units:
-        k = keep[root[u]]
-        cls[i] = min(cls[i], k[0])
-        if k != (i, n, a):
-            gone.setdefault(i, []).append((n, a))
+    root, keep = groups(first, near), {}
+    for s, p in first.items():
+        keep[root[s]] = min(keep.get(root[s], p), p)
     want = []
     for i, t in enumerate(texts):
-        text, whole_gone, parts = paragraphs.without(t or "", gone.get(i, []))
-        want.append((i, cls[i], whole_gone, parts, text))
-    got = rows(paragraphs.remove_paragraphs(docs), "doc_id", "class_id", "n_removed", "n_sentences_removed", "kept")
+        gone = [n for n, s in places[i] if keep[root[s]] != (i, n)]
+        want.append((i, min([i, *(keep[root[s]][0] for _, s in places[i])]), len(places[i]), len(gone), paragraphs.without(t or "", gone)))
+    got = rows(paragraphs.remove_paragraphs(docs), "doc_id", "class_id", "n_paragraphs", "n_removed", "kept")
     assert got == sorted(want, key=repr)
-    assert paragraphs.remove_paragraphs(empty).count() == 0 and paragraphs.remove_paragraphs(repeated).count() == 5
+    assert paragraphs.remove_paragraphs(empty, passage=30).count() == 0 and paragraphs.remove_paragraphs(repeated, passage=30).count() == 5
     bands, r = paragraphs.tune()
     assert 1 - (1 - 0.8**r) ** bands >= paragraphs.RECALL
 
 
+def test_recall_of_the_banding():
+    """Pairs at and above the similarity: the share that collides in some band."""
+    rng = random.Random(12)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 400:
+        w = [rng.choice(some) for _ in range(rng.randrange(40, 160))]
+        v = list(w)
+        for _ in range(rng.randrange(1, 4)):
+            v[rng.randrange(len(v))] = rng.choice(some)
+        a, b = shingle_set(" ".join(w)), shingle_set(" ".join(v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            pairs.append((" ".join(w), " ".join(v)))
+    keys = paragraphs._band_keys([s for p in pairs for s in p], 5, *paragraphs.tune())
+    assert (keys[:, ::2] == keys[:, 1::2]).any(0).mean() >= 0.99
+
+
+def test_joined_texts_under_one_key():
+    rng = random.Random(13)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(200)]
+    own = []
+    for _ in range(12):
+        w = [rng.choice(some) for _ in range(rng.randrange(1, 60))]
+        own += [" ".join(altered(rng, w, 2, some)) or "x" for _ in range(12)]
+    own = sorted(set(own))
+    sets = {s: shingle_set(s) for s in own}
+    near = [(a, b) for a, b in combinations(own, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got, a, b = paragraphs.joined_texts(np.zeros(len(own), np.int64), own, 0.8, 5, None)
+    assert groups(own, near) == groups(own, [(got[i], got[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    by_edits = [(a, b) for a, b in combinations(own, 2) if (a, b) in set(near) or edits._plain(a, b) <= 4]
+    got, a, b = paragraphs.joined_texts(np.zeros(len(own), np.int64), own, 0.8, 5, 4)
+    assert groups(own, by_edits) == groups(own, [(got[i], got[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+
+
 def test_short_paragraphs(spark):
     texts = ["a b c d e f g\nYes, sir.\nonly here", "A b c d e f g\nyes, sir.\nno, sir.", "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = rows(paragraphs.remove_paragraphs(df, shortest=1), "doc_id", "n_paragraphs", "n_removed", "kept")
+    got = rows(paragraphs.remove_paragraphs(df), "doc_id", "n_paragraphs", "n_removed", "kept")
     assert got == [(0, 3, 0, texts[0]), (1, 3, 2, "no, sir."), (2, 1, 0, "x")]
 
 
@@ -615,12 +645,40 @@ def test_passages_in_paragraphs(spark):
     head, tail, line, end = new(60), new(50), new(40), new(45)
     texts = ["\n".join(a), head + " " + run.upper() + "; " + tail, new(30) + "\n" + line + " " + run[:118] + "\n" + run[119:] + " " + end, new(50) + " " + other, one + "\n" + new(20)]
     df = spark.createDataFrame([*enumerate(texts), (None, None), (9, "")], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(df, passage=30, shortest=1).collect()}
+    got = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(df, passage=30).collect()}
     kept = {i: r["kept"] for i, r in got.items()}
     assert kept[0] == texts[0] and kept[3] == texts[3] and kept[None] == kept[9] == "" and len(got) == 7
     assert kept[1].split() == [*head.split(), *([";"] if ";" in kept[1] else []), *tail.split()] and got[1]["class_id"] == 0
     assert run.split()[3] not in kept[2] and line in kept[2] and end in kept[2]
-    assert kept[4] == texts[4].split("\n")[1] and got[4]["n_removed"] == 1
+    # A sentence of another paragraph is neither a paragraph nor long enough for a passage.
+    assert kept[4] == texts[4] and got[4]["n_removed"] == 0
+
+
+@pytest.mark.parametrize("passage", [6, 7])
+def test_passages_equal_brute_force(spark, passage):
+    rng = random.Random(22)
+    few = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    runs = [[rng.choice(few) for _ in range(rng.randrange(4, 25))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(rng.randrange(0, 6)):
+            w += rng.choice(runs) if rng.random() < 0.6 else [rng.choice(few) for _ in range(rng.randrange(1, 20))]
+        w = [x.upper() if x.isascii() and rng.random() < 0.2 else x + rng.choice(["", "", ",", ".)", " ..."]) for x in w]
+        texts.append("".join(x + rng.choice([" ", " ", "\n", "\t"]) for x in w))
+    texts += ["", "a b c", "a " * 40, "b " * 5]
+    plain = lambda x: (x.lower().strip(paragraphs_marks) or x.lower())
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        w = [plain(x) for x in t.split()]
+        for at in range(len(w) - passage + 1):
+            key = tuple(w[at : at + passage])
+            if key in seen:
+                want.setdefault(i, set()).add(at)
+            seen.add(key)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, of long, kept string").repartition(4)
+    got = {r["doc_id"]: set(r["cut"]) for r in paragraphs.passages(docs, passage, 3).collect()}
+    assert got == want and len(want) > 20
 
 
 # ------------------------------------------------------------------------------------------ suffix arrays
