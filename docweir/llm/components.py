@@ -22,19 +22,23 @@ def _small(e: DataFrame) -> DataFrame:
     return j.select(F.col("m").alias("a"), F.col("a").alias("b")).union(j.select("m", "b")).where("a < b").distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether e is a forest of stars: each node is a root or hangs on one."""
+    roles = e.select(F.col("a").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("hangs")).union(e.select("b", F.lit(0), F.lit(1)))
+    each = roles.groupBy("node").agg(F.max("root").alias("root"), F.sum("hangs").alias("hangs"))
+    return each.where("hangs > 1 or root = 1 and hangs > 0").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges (a, b); root is the component's smallest node.
 
     Self-loops and repeated edges are allowed; nulls are not. An empty input gives an empty result. Each round is
-    written to the shared folder; ends when a round leaves the edges as they were.
+    written to the shared folder; ends when the edges are stars, whose roots are their smallest nodes.
     """
     e = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    spark, before = edges.sparkSession, None
     for _ in range(rounds):
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
+        if _settled(e):
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = now
         e = staged(_small(_large(e)), "edges")
-        forget(spark)
+        forget(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, id_text, ready, slices, staged
+from docweir.llm.common import batch, free_names, id_text, ready, slices, staged
 
 WINDOW = 10
 #: Benchmark words in a block, about: some 100 MB in the driver and in a worker.
@@ -108,8 +108,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, b
     in memory at a time.
     """
     spark = ready(docs.sparkSession)
-    free = lambda n: n if n not in docs.columns else free(n + "_")
-    count, bits, items = free("__words"), free("__bits"), free("__items")
+    count, bits, items = free_names(docs, "words", "bits", "items").values()
     out = docs.withColumn(count, F.lit(0).cast("long")).withColumn(bits, F.lit(b"")).withColumn(items, F.array().cast("array<string>"))
     schema = out.schema
     blocks = list(_blocks(benchmark, item_col, item_text, block_words))
@@ -126,7 +125,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, b
                         hit = hit | np.unpackbits(np.frombuffer(old, np.uint8), count=k).astype(bool)
                     n.append(k)
                     packed.append(np.packbits(hit).tobytes() if hit.any() else b"")
-                    which.append(sorted({*before, *map(str, ids)}))
+                    which.append(sorted({*before, *(str(i) for i in ids if i is not None)}))
                 columns = list(b.columns)
                 for name, v in ((count, n), (bits, packed), (items, which)):
                     columns[at[name]] = pa.array(v, b.schema.field(at[name]).type)
@@ -152,8 +151,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     """(doc_id, n_words, hits, items) for each row of docs.
 
     hits are the hit words as runs (first, end) of word positions; items are the ids, as sorted strings, of which a
-    window occurs. An item of fewer than `window` words is one window; one without words, or null, is none. Null text
-    has no words. Repeated rows are scanned each on its own. Empty tables give no rows (documents) or no hits
+    window occurs. An item of fewer than `window` words is one window; one without words, or null, is none. An item
+    without an id hits words, but can't be named. Null text has no words. Repeated rows are scanned each on its own. Empty tables give no rows (documents) or no hits
     (benchmark).
     """
     own = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

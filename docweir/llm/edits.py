@@ -80,34 +80,52 @@ def _plain(a: str, b: str) -> int:
     return row[-1]
 
 
-def within_pairs(symbols: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
-    """Whether rows x[k] and y[k] of symbols (padded with -1; `length` symbols each) are within tau edits, for each k.
+def within_pairs(symbols: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Whether rows x[k] and y[k] of symbols (padded with -1; `length` symbols each) are within tau[k] edits, for each k.
 
-    As _banded, with a column's step for all pairs together. x[k] mustn't be longer than y[k], nor shorter by more than
-    tau; the band, 2 tau + 1 differences, must fit 64 bits. Pairs of like lengths are best put side by side.
+    As _banded, with a column's step for all pairs of a block together. x[k] mustn't be longer than y[k], nor shorter
+    by more than tau[k]; the band, 2 tau + 1 differences, must fit 64 bits. A block has pairs of like lengths; its band
+    is that of its largest tau, within which distances are exact.
     """
     out = np.empty(len(x), bool)
-    step = max(1, (1 << 21) // max(1, symbols.shape[1]))
-    for i in range(0, len(x), step):
-        out[i : i + step] = _columns(symbols, length, x[i : i + step], y[i : i + step], tau)
+    room = np.searchsorted(_BANDS, tau)
+    order = np.lexsort((length[x], room))
+    n, room = length[x][order], room[order]
+    i = 0
+    while i < len(order):
+        # As far as lengths and bands are alike, and no more than eight million comparisons together.
+        upto = int(np.searchsorted(room, room[i], side="right"))
+        upto = i + int(np.searchsorted(n[i:upto], n[i] * 1.25 + 8, side="right"))
+        j = min(upto, i + max(1, (1 << 23) // ((int(n[i]) + 64) * (2 * int(_BANDS[room[i]]) + 9))))
+        k = order[i:j]
+        out[k] = _columns(symbols, length, x[k], y[k], int(tau[k].max())) <= tau[k]
+        i = j
     return out
 
 
+_BANDS = np.array([3, 6, 11, 19, 31])
+
+
 def _columns(symbols: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarray, tau: int) -> np.ndarray:
+    """The pairs' distances, exact up to tau."""
     la, lb = length[x].astype(np.int64), length[y].astype(np.int64)
     longest = int(lb.max(initial=0))
     pad = np.full((tau, len(x)), -2, symbols.dtype)
     a = np.ascontiguousarray(symbols[x, : int(la.max(initial=0))].T)
     # Rows before the first and after the last symbol match nothing.
     b = np.concatenate([pad, np.where(np.arange(longest)[:, None] < lb, symbols[y, :longest].T, -2), pad, pad])
+    # By column and pair, the band's rows that equal the column's symbol, as bits.
+    band = np.lib.stride_tricks.sliding_window_view(b, 2 * tau + 1, axis=0)[: len(a)]
+    bits = np.packbits(band == a[:, :, None], axis=-1, bitorder="little")
+    match = np.zeros((*a.shape, 8), np.uint8)
+    match[:, :, : bits.shape[-1]] = bits
+    match = match.view("<u8")[:, :, 0]
     one, top = np.uint64(1), np.uint64(2 * tau)
     vp, vn = np.full(len(x), (1 << (tau + 1)) - 1 << tau, np.uint64), np.zeros(len(x), np.uint64)
     word = np.uint64((1 << (2 * tau + 1)) - 1)
     cost, down = np.full(len(x), tau), np.full(len(x), top - one, np.uint64)
     for i in range(len(a)):
-        m = np.zeros(len(x), np.uint64)
-        for d in range(2 * tau + 1):
-            m |= (b[i + d] == a[i]).astype(np.uint64) << np.uint64(d)
+        m = match[i]
         d0 = ((((m & vp) + vp) ^ vp) | m | vn) & word
         hp, hn = (vn | ~(d0 | vp)) & word, d0 & vp
         on, inside = i < la, i < lb - tau
@@ -116,4 +134,4 @@ def _columns(symbols: np.ndarray, length: np.ndarray, x: np.ndarray, y: np.ndarr
         cost += np.where(on, np.where(inside, slant, flat), 0)
         down = np.where(inside | (down == 0), down, down - one)
         vp, vn = (hn | ~(d0 >> one | hp)) & word, d0 >> one & hp
-    return cost <= tau
+    return cost

@@ -35,8 +35,8 @@ from docweir.llm.segments import LONG, Lines, allowed, keys, near, threshold
 FILTER_BITS = 1 << 25
 #: Bytes of text whose keys one bucket gets, about: some 700,000 keys.
 BUCKET = 8 << 20
-#: Keys' lines that are verified together, pairs that wait together, pairs that are looked at together.
-CHUNK, PAIRS, FEW = 20_000, 1 << 17, 1 << 14
+#: Characters of lines that are verified together, pairs that wait together, pairs that are looked at together.
+CHUNK, PAIRS, FEW = 1 << 21, 1 << 17, 1 << 14
 
 
 # ---------------------------------------------------------------------------------------------- lines of documents
@@ -250,6 +250,27 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.collect_set("line").alias("lines")).select("id", F.explode("lines").alias("line"))
 
 
+def team_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Rows (key, line), sorted, of whole teams, some CHUNK characters of lines together, of batches (team, line, keys)
+    sorted by team."""
+    team, own, size = [], [], 0
+    for b in with_end(batches):
+        if b is not None:
+            team += b.column(0).to_pylist()
+            lines = b.column(1).to_pylist()
+            size += sum(map(len, lines))
+            own += zip(lines, b.column(2).to_pylist(), strict=True)
+        if b is None or size >= CHUNK and team[-1] != team[0]:
+            # The last team may go on in the next batch.
+            n = len(team) if b is None else next(i for i in range(len(team) - 1, -1, -1) if team[i] != team[-1]) + 1
+            if n:
+                rows = sorted((k, s) for s, ks in own[:n] for k in ks)
+                yield np.array([k for k, _ in rows], np.int64), [s for _, s in rows]
+            team, own = team[n:], own[n:]
+            size = sum(len(s) for s, _ in own)
+    tidy()
+
+
 def links(docs: DataFrame, buckets: int) -> DataFrame:
     """(a, b, n) by digests of distinct lines within their edits. Rows with b join what all links join; rows without b
     tell that a has n links that are counted under one key. Every link is counted once for each end."""
@@ -258,22 +279,11 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
     texts = wanted_texts(docs, met.select("id").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        team, own = [], []
-        for b in with_end(batches):
-            if b is not None:
-                team += b.column(0).to_pylist()
-                own += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            if b is None or len(team) >= CHUNK and team[-1] != team[0]:
-                # The last team may go on in the next batch.
-                n = len(team) if b is None else next(i for i in range(len(team) - 1, -1, -1) if team[i] != team[-1]) + 1
-                if n:
-                    rows = sorted((k, s) for s, ks in own[:n] for k in ks)
-                    yield _links(*_verified(np.array([k for k, _ in rows], np.uint64), [s for _, s in rows]))
-                team, own = team[n:], own[n:]
-        tidy()
+        for key, line in team_chunks(batches):
+            yield _links(*_verified(key.astype(np.uint64), line))
 
     rows = _teams(met).join(texts, "id").select("team", "line", "keys")
-    return rows.repartition("team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary, n bigint")
+    return rows.repartition(buckets, "team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary, n bigint")
 
 
 def _teams(met: DataFrame) -> DataFrame:
@@ -347,10 +357,7 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
         """Verifies the pending pairs, those of one threshold together."""
         for kind in (False, True):
             x, y, tau = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in pending if p[0] == kind)]) for i in (1, 2, 3))
-            good = np.zeros(len(x), bool)
-            for t in np.unique(tau).tolist():
-                some = np.nonzero(tau == t)[0]
-                good[some] = _close(own, x[some], y[some], t, kind)
+            good = _close(own, x, y, tau, kind)
             x, y = x[good], y[good]
             degree[:] += np.bincount(np.concatenate([x, y]), minlength=len(lines))
             _join_all(parent, x, y, joined)
@@ -389,19 +396,23 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
     return lines, a, b, degree
 
 
-def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: int, by_words: bool) -> np.ndarray:
-    """Whether lines x[k] and y[k] are within tau edits of words or characters; x[k] isn't the longer one."""
-    used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
-    sym, n = own.symbols(used, by_words)
-    i, j = back[: len(x)], back[len(x) :]
-    # Columns for all pairs together pay off from so many pairs on, and have 64 bits.
-    if tau <= 31 and len(x) > 10 * tau + 30:
-        order = np.argsort(n[i], kind="stable")
-        out = np.empty(len(x), bool)
-        out[order] = within_pairs(sym, n, i[order], j[order], tau)
-        return out
-    text = ["".join(map(chr, (s[:m] + (1 << 16) if by_words else s[:m]).tolist())) for s, m in zip(sym, n.tolist(), strict=True)]
-    return np.array([within(text[p], text[q], tau) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: np.ndarray, by_words: bool) -> np.ndarray:
+    """Whether lines x[k] and y[k] are within tau[k] edits of words or characters; x[k] isn't the longer one."""
+    out = np.zeros(len(x), bool)
+    few = tau <= 31
+    for some in (np.nonzero(few)[0], np.nonzero(~few)[0]):
+        if not len(some):
+            continue
+        used, back = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+        sym, n = own.symbols(used, by_words)
+        i, j = back[: len(some)], back[len(some) :]
+        if few[some[0]]:
+            out[some] = within_pairs(sym, n, i, j, tau[some])
+            continue
+        # A band of more than 64 bits: one by one.
+        text = ["".join(map(chr, (s[:m] + (1 << 16) if by_words else s[:m]).tolist())) for s, m in zip(sym, n.tolist(), strict=True)]
+        out[some] = [within(text[p], text[q], t) for p, q, t in zip(i.tolist(), j.tolist(), tau[some].tolist(), strict=True)]
+    return out
 
 
 def _in(code: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -426,9 +437,9 @@ def _join_all(parent: np.ndarray, x: np.ndarray, y: np.ndarray, joined: list[tup
         if a != b:
             parent[max(a, b)] = min(a, b)
             kept.append(k)
-    while not np.array_equal(up := parent[parent], parent):
-        parent[:] = up
     if kept:
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
         joined.append((x[kept], y[kept]))
 
 

@@ -27,6 +27,8 @@ from docweir.llm.common import batch, id_text, lookup, ready, shared_dir, slices
 UNIT = 576
 #: A shard is closed beyond so many bytes.
 SHARD = 256 << 20
+#: Bytes of a shard that a task reads, about.
+STRETCH = 16 << 20
 HEADER = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -160,22 +162,28 @@ def metadata(at: DataFrame, folder: str) -> DataFrame:
     ready(at.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())])
+        schema, rows = pa.schema([("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())]), []
         for row, (head, _) in _ranges(batches, folder):
-            width, height, depth, _ = read_header(head)
-            yield batch(schema, row.column("digest"), [width], [height], [depth])
+            rows.append((row.column("digest")[0].as_py(), *read_header(head)[:3]))
+            if len(rows) >= 1000:
+                yield batch(schema, *map(list, zip(*rows, strict=True)))
+                rows = []
+        if rows:
+            yield batch(schema, *map(list, zip(*rows, strict=True)))
 
     return _in_order(at).mapInArrow(run, "digest string, width bigint, height bigint, bits bigint")
 
 
 def _in_order(at: DataFrame) -> DataFrame:
-    """Places dealt by shard and stretch of 16 MB, so that a task reads forward."""
-    stretch = (F.col("offset") / (16 << 20)).cast("long")
-    return at.select("digest", "shard", "offset", "length").repartition("shard", stretch).sortWithinPartitions("shard", "offset")
+    """Places dealt by shard and stretch of 16 MB, so that a task reads forward; as many tasks as there are stretches:
+    the rows are few bytes, so their size says nothing of the bytes to be read."""
+    stretch = (F.col("offset") / STRETCH).cast("long")
+    n = 1 + (at.agg(F.sum("length")).first()[0] or 0) // STRETCH
+    return at.select("digest", "shard", "offset", "length").repartition(n, "shard", stretch).sortWithinPartitions("shard", "offset")
 
 
 def features(at: DataFrame, folder: str) -> DataFrame:
-    """Per digest, from the stored bytes: sizes, digests, and a feature text of the header's and the samples' figures."""
+    """Per digest, from the stored bytes: sizes, digests, and a feature text of the samples' figures."""
     ready(at.sparkSession)
     kinds = [("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
@@ -183,14 +191,13 @@ def features(at: DataFrame, folder: str) -> DataFrame:
         schema, rows = pa.schema(kinds), []
         for row, (head, read) in _ranges(batches, folder):
             data = read()
-            width, height, depth, _ = read_header(head)
             payload = from_png(data)
             sha = hashlib.sha256(payload).hexdigest()
             if sha != row.column("digest")[0].as_py():
                 raise ValueError("stored bytes differ from their digest")
             s = np.frombuffer(payload, np.uint8)
             histogram = ".".join(map(str, np.bincount(s >> 5, minlength=8).tolist()))
-            feature = f"{width}x{height}x{depth}:{int(s.sum(dtype=np.int64))}:{s.min()}:{s.max()}:{histogram}"
+            feature = f"{int(s.sum(dtype=np.int64))}:{s.min()}:{s.max()}:{histogram}"
             rows.append((sha, len(payload), sha, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             if len(rows) >= 1000:
                 yield batch(schema, *map(list, zip(*rows, strict=True)))
@@ -206,7 +213,9 @@ def media_columns(docs: DataFrame, **columns) -> DataFrame:
     folder = f"{shared_dir(docs.sparkSession)}/shards"
     index = staged(write_shards(docs, folder, **columns), "index")
     at = staged(places(index), "places")
-    got = staged(at.join(features(at, folder), "digest"), "features")
+    # Columns of the metadata come from headers alone, those of the features from whole payloads.
+    got = at.join(features(at, folder), "digest").join(metadata(at, folder), "digest")
+    got = staged(got.withColumn("feature", F.concat_ws(":", F.concat_ws("x", "width", "height", "bits"), "feature")), "features")
     return lookup(index.select("doc_id", "digest", "n_bytes"), got, ["digest"], index.count())
 
 

@@ -25,8 +25,8 @@ from docweir.llm.tokens import END_ID, WORD_BPE, encoder, with_end
 
 SIZE = 4096
 GRAIN = 8
-#: Pieces that one ranking task sorts at most, about.
-RANKED = 200_000
+#: Pieces of a class that are ranked in one part, about.
+RANKED = 20_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
@@ -212,7 +212,8 @@ def assign_sequences(pieces: DataFrame, size: int = SIZE, grain: int = GRAIN) ->
     """pieces, with sequence_id and offset. Needs columns doc_id, start, length; others are carried along.
 
     Offsets are gapless from 0 in each sequence. pieces is read several times: hand over a written table. Ranks are
-    counted in salted parts of a class, so that no task sorts a whole class; ties in (doc_id, start) take any order.
+    counted in parts of a class, as many as its size asks for, so that no task sorts a whole class. Pieces of one
+    (doc_id, start) are in the order of all their columns, so that a task that is run again ranks them as before.
     An empty table gives an empty result.
     """
     spark, room = pieces.sparkSession, size // grain
@@ -221,12 +222,13 @@ def assign_sequences(pieces: DataFrame, size: int = SIZE, grain: int = GRAIN) ->
     # At most size / grain rows come to the driver.
     histogram = {r["c"]: r["n"] for r in pieces.groupBy(cls.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
     table = plan(histogram, room)
-    salts = 1 + sum(histogram.values()) // RANKED
     carried = pieces.columns
-    rows = pieces.withColumn("__c", cls).withColumn("__s", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    parts = F.create_map(*[F.lit(x) for c, n in histogram.items() for x in (c, 1 + n // RANKED)]) if histogram else F.create_map(F.lit(0), F.lit(1))
+    rows = pieces.withColumn("__c", cls)
+    rows = rows.withColumn("__s", F.pmod(F.xxhash64(*carried), F.element_at(parts, F.col("__c"))).cast("int"))
     counts = rows.groupBy("__c", "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__c", "__s", (F.sum("__n").over(Window.partitionBy("__c").orderBy("__s")) - F.col("__n")).alias("__base"))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__s").orderBy("doc_id", "start")))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__c", "__s").orderBy("doc_id", "start", *(c for c in carried if c not in ("doc_id", "start")))))
     ranked = ranked.join(before, ["__c", "__s"]).withColumn("__r", (F.col("__r") - 1 + F.col("__base")).cast("long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, forget, id_text, lookup, ready, slices, staged, tidy, with_end
+from docweir.llm.common import _join, batch, forget, id_text, ready, slices, staged, tidy
 from docweir.llm.components import components
 from docweir.llm.edits import within
 from docweir.llm.hashing import Words, dealt, mixed, smallest
-from docweir.llm.lines import BUCKET, CHUNK, _in, _join_all, _keyed, _MET, _teams, buckets_of, digest, filter_of, first_places, held_in, lines_of, occurrences, short, unpacked_all, wanted_texts
+from docweir.llm.lines import BUCKET, _in, _join_all, _keyed, _MET, _teams, buckets_of, digest, filter_of, first_places, held_in, lines_of, occurrences, short, team_chunks, unpacked_all, wanted_texts
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -157,23 +157,12 @@ def near_links(docs: DataFrame, buckets: int = 1, similarity: float = SIMILARITY
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        team, own = [], []
-        for b in with_end(batches):
-            if b is not None:
-                team += b.column(0).to_pylist()
-                own += zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            if b is None or len(team) >= CHUNK and team[-1] != team[0]:
-                # The last team may go on in the next batch.
-                n = len(team) if b is None else next(i for i in range(len(team) - 1, -1, -1) if team[i] != team[-1]) + 1
-                if n:
-                    rows = sorted((k, s) for s, ks in own[:n] for k in ks)
-                    lines, x, y = joined_texts(np.array([k for k, _ in rows], np.int64), [s for _, s in rows], similarity, width, tau)
-                    yield batch(schema, [digest(lines[i]) for i in x.tolist()], [digest(lines[i]) for i in y.tolist()])
-                team, own = team[n:], own[n:]
-        tidy()
+        for key, line in team_chunks(batches):
+            lines, x, y = joined_texts(key, line, similarity, width, tau)
+            yield batch(schema, [digest(lines[i]) for i in x.tolist()], [digest(lines[i]) for i in y.tolist()])
 
     rows = _teams(met).join(texts, "id").select("team", "line", "keys")
-    return rows.repartition("team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary")
+    return rows.repartition(buckets, "team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary")
 
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -231,41 +220,125 @@ def repeated_anchors(docs: DataFrame, passage: int, buckets: int) -> DataFrame:
     return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint")
 
 
-def _windows_around(docs: DataFrame, anchors: DataFrame, passage: int) -> DataFrame:
-    """(doc_id, of, at, key): windows of `passage` words that hold one of the anchors, or seem to by the filter."""
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(anchors))
-    half = passage // 2
+#: What stands for a null doc_id in blocks: as the smallest number it comes first.
+_NULL = -(1 << 63)
+#: The bytes of a window's row in a block: key, and its place: doc_id, of, at.
+WINDOW_ROW = (8, 8, 8, 4)
+
+
+def _windows_around(b: pa.RecordBatch, bits: np.ndarray, passage: int) -> list[np.ndarray]:
+    """[key, doc_id, of, at] of the windows of `passage` words of a batch that hold an anchor in the filter."""
+    own, half = Words(b.column(2).to_pylist(), lower=True, trim=True), passage // 2
+    at, key = _anchors(own, passage)
+    at = at[held_in(bits, key.astype(np.int64))]
+    # From `half` words before an anchor to the anchor itself, inside its text.
+    cover = np.zeros(len(own.hash) + 1, np.int64)
+    np.add.at(cover, np.maximum(own.first[own.text[at]], at - half), 1)
+    np.add.at(cover, at + 1, -1)
+    place = own.places()
+    start = np.nonzero((np.cumsum(cover)[:-1] > 0) & (place <= (own.count - passage)[own.text]))[0]
+    doc, of = b.column(0).fill_null(_NULL).to_numpy(), b.column(1).to_numpy()
+    return [own.runs(passage)[start], doc[own.text[start]], of[own.text[start]], place[start]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("at", pa.int32()), ("key", pa.int64())])
-        for b in slices(batches, "kept", 2 << 20):
-            own = Words(b.column(2).to_pylist(), lower=True, trim=True)
-            at, key = _anchors(own, passage)
-            at = at[held_in(sent.value, key.astype(np.int64))]
-            # From `half` words before an anchor to the anchor itself, inside its text.
-            cover = np.zeros(len(own.hash) + 1, np.int64)
-            np.add.at(cover, np.maximum(own.first[own.text[at]], at - half), 1)
-            np.add.at(cover, at + 1, -1)
-            start = np.nonzero((np.cumsum(cover)[:-1] > 0) & (own.places() <= (own.count - passage)[own.text]))[0]
-            text = pa.array(own.text[start])
-            yield batch(schema, b.column(0).take(text), b.column(1).take(text), own.places()[start].astype(np.int32), own.runs(passage)[start].view(np.int64))
-        tidy()
 
-    return docs.select("doc_id", "of", "kept").mapInArrow(run, "doc_id bigint, of bigint, at int, key bigint")
+def _earliest(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the earliest row of each key, whether the key has another place)."""
+    key, doc, of, at = rows
+    order = np.lexsort((at, of, doc, key))
+    key, doc, of, at = (c[order] for c in (key, doc, of, at))
+    first = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    other = ~first & ((doc != np.roll(doc, 1)) | (of != np.roll(of, 1)) | (at != np.roll(at, 1)))
+    at_first = np.nonzero(first)[0]
+    again = np.bitwise_or.reduceat(other, at_first) if len(key) else np.empty(0, bool)
+    return [c[at_first] for c in (key, doc, of, at)], again
+
+
+def _window_blocks(rows: list[np.ndarray], buckets: int, *more: tuple[np.ndarray, int]) -> list[tuple[int, bytes]]:
+    return list(dealt(rows[0], buckets, *zip((rows[0], *(c.view(np.uint64) for c in rows[1:3]), rows[3]), WINDOW_ROW, strict=True), *more))
+
+
+def _read_rows(body: list[bytes], *more: int) -> list[np.ndarray]:
+    key, doc, of, at, *rest = unpacked_all(body, (*WINDOW_ROW, *more))
+    return [key, doc.view(np.int64), of.view(np.int64), at.astype(np.int64), *rest]
 
 
 def passages(docs: DataFrame, passage: int, buckets: int = 1) -> DataFrame:
     """(doc_id, of, cut, first_id): the first words of windows that repeat an earlier one, in docs (doc_id, of, kept);
-    the smallest doc_id that holds the earlier place."""
+    the smallest doc_id that holds the earlier place.
+
+    A pass sends, of each batch of documents, each key's earliest place to the key's bucket, which tells the first
+    place of keys that have several. A second one sends the places of such keys; a bucket knows its first places and
+    takes blocks of others one by one. So a task holds keys, but never all places of one.
+    """
+    spark = docs.sparkSession
     anchors = staged(repeated_anchors(docs, passage, buckets), "anchors")
-    found = staged(_windows_around(docs, anchors, passage), "windows")
-    place = F.struct("doc_id", "of", "at")
-    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-    firsts = staged(firsts.where(~F.col("first").eqNullSafe(F.col("last"))), "firsts")
-    rows = found.count()
-    again = lookup(found, firsts.select("key", "first"), ["key"], rows, "inner", firsts.select("key", "n"))
-    gone = again.where(~F.col("first").eqNullSafe(place))
-    return gone.groupBy("doc_id", "of").agg(F.collect_set("at").alias("cut"), F.min("first.doc_id").alias("first_id"))
+    sent = spark.sparkContext.broadcast(filter_of(anchors))
+    block = pa.schema([("bucket", pa.int64()), ("turn", pa.int32()), ("body", pa.binary())])
+    row = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("of", pa.int64()), ("at", pa.int32())])
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "kept", 2 << 20):
+            rows, again = _earliest(_windows_around(b, sent.value, passage))
+            out = _window_blocks(rows, buckets, (again.astype(np.uint64), 1))
+            yield batch(block, [k for k, _ in out], [0] * len(out), [x for _, x in out])
+        tidy()
+
+    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body in buckets_of(b.select(["bucket", "body"]) for b in batches):
+            *rows, again = _read_rows(body, 1)
+            (key, doc, of, at), several = _earliest(rows)
+            # A key that repeats inside one batch may have come from that batch alone.
+            keep = several | _in(key, np.unique(rows[0][again > 0]))
+            yield batch(row, key[keep].view(np.int64), doc[keep], of[keep], at[keep])
+        tidy()
+
+    own = docs.select("doc_id", "of", "kept")
+    kind = "bucket bigint, turn int, body binary"
+    found = own.mapInArrow(early, kind).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    firsts = staged(found.mapInArrow(first_of, "key bigint, doc_id bigint, of bigint, at int"), "firsts")
+    forget(spark)
+    known = spark.sparkContext.broadcast(filter_of(firsts.select(F.col("key").alias("id"))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, doc, of, at = (c.to_numpy() for c in b.columns)
+            out = _window_blocks([key.view(np.uint64), doc, of, at.astype(np.int64)], buckets)
+            yield batch(block, [k for k, _ in out], [0] * len(out), [x for _, x in out])
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "kept", 2 << 20):
+            rows = _windows_around(b, sent.value, passage)
+            some = held_in(known.value, rows[0].view(np.int64))
+            out = _window_blocks([c[some] for c in rows], buckets)
+            yield batch(block, [k for k, _ in out], [1] * len(out), [x for _, x in out])
+        tidy()
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("at", pa.int32()), ("first_id", pa.int64())])
+        bucket, heads, first = None, [], None
+        for b in batches:
+            for k, turn, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != bucket:
+                    bucket, heads, first = k, [], None
+                if turn == 0:
+                    heads.append(body)
+                    continue
+                if not heads:
+                    continue
+                if first is None:
+                    first = _read_rows(heads)
+                    order = np.argsort(first[0])
+                    first = [c[order] for c in first]
+                key, doc, of, at = _read_rows([body])
+                i = np.minimum(np.searchsorted(first[0], key), len(first[0]) - 1)
+                gone = (first[0][i] == key) & ((first[1][i] != doc) | (first[2][i] != of) | (first[3][i] != at))
+                ids = [pa.array(x[gone], pa.int64(), mask=x[gone] == _NULL) for x in (doc, first[1][i])]
+                yield batch(schema, ids[0], of[gone], at[gone].astype(np.int32), ids[1])
+        tidy()
+
+    both = firsts.mapInArrow(pack, kind).union(own.mapInArrow(all_, kind))
+    gone = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "turn").mapInArrow(later, "doc_id bigint, of bigint, at int, first_id bigint")
+    return gone.groupBy("doc_id", "of").agg(F.collect_set("at").alias("cut"), F.min("first_id").alias("first_id"))
 
 
 def without_words(text: str, cut: list[int], passage: int) -> tuple[str, int]:

@@ -1,26 +1,29 @@
 """Quality classifier: regularised quadratic discriminant analysis over document statistics.
 
 The statistics are counts and ratios of a whole text, transformed to be roughly normal. Each class gets a mean and a
-covariance, shrunk towards the pooled covariance and its diagonal; Cholesky factors are cached, and a score is the
+covariance, shrunk towards the pooled covariance, with a small ridge; Cholesky factors are cached, and a score is the
 logistic of the difference of the classes' log densities, Mahalanobis distance and determinant, plus log priors.
-Training sums (count, mean, products) are added up on the executors over all labelled rows.
+Training sums (count, mean, products) are added up on the executors over all labelled rows, as whole numbers: they
+are the same in whatever order rows arrive.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import batch, id_text, ready, slices, staged, with_docs
+from docweir.llm.common import batch, free_names, id_text, ready, slices, staged, with_docs
 
 NAMES = ("log_words", "log_chars", "word_length", "word_spread", "upper", "digit", "mark", "odd_mark", "bang", "pipe", "space", "type_ratio", "top_share", "repeat_pair", "line_words", "line_repeat", "title", "entropy", "stop_gap", "long_word")
-SHRINK, TO_DIAGONAL = 0.02, 0.0
+SHRINK, RIDGE = 0.02, 1e-3
+#: Statistics are learnt from in whole parts of this size.
+PART = 2.0**-16
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 ordinary mark, 5 odd mark, 6 !, 7 |, 8 space
 for _cs, _k in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (".,;:'\"?()-", 4), ("#$%&*+/<=>@[\\]^_`{}~", 5), ("!", 6), ("|", 7), (" \n\t\r\x0b\x0c", 8)):
@@ -66,6 +69,24 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def cholesky(s: np.ndarray) -> np.ndarray:
+    """The lower factor, by plain array operations: threaded LAPACK calls may never return in a forked driver."""
+    out = np.zeros_like(s)
+    for j in range(len(s)):
+        row = out[j, :j]
+        out[j, j] = np.sqrt(s[j, j] - (row * row).sum())
+        out[j + 1 :, j] = (s[j + 1 :, j] - (out[j + 1 :, :j] * row).sum(1)) / out[j, j]
+    return out
+
+
+def inverse_of(lower: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangle, by forward substitution."""
+    out = np.zeros_like(lower)
+    for i in range(len(lower)):
+        out[i] = ((np.arange(len(lower)) == i) - (lower[i, :i, None] * out[:i]).sum(0)) / lower[i, i]
+    return out
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors of the inverse covariances, log determinants and log priors of classes 0 and 1."""
@@ -78,7 +99,7 @@ class Discriminant:
     scale: np.ndarray
 
     @staticmethod
-    def fit(n: np.ndarray, total: np.ndarray, product: np.ndarray, shrink: float = SHRINK, diagonal: float = TO_DIAGONAL) -> Discriminant:
+    def fit(n: np.ndarray, total: np.ndarray, product: np.ndarray, shrink: float = SHRINK, ridge: float = RIDGE) -> Discriminant:
         """From each class's count, sums and sums of products. A class without rows takes the other's mean."""
         d = total.shape[1]
         if not n.sum():
@@ -99,9 +120,8 @@ class Discriminant:
             # Fewer rows, more of the pooled covariance.
             a = min(1.0, shrink + d / max(n[c], 1))
             s = (1 - a) * cov[c] + a * pooled
-            s = (1 - diagonal) * s + diagonal * np.diag(np.diag(s)) + 1e-3 * np.eye(d)
-            chol = np.linalg.cholesky(s)
-            factor[c], logdet[c] = np.linalg.inv(chol), 2 * np.log(np.diag(chol)).sum()
+            chol = cholesky(s + ridge * np.eye(d))
+            factor[c], logdet[c] = inverse_of(chol), 2 * np.log(np.diag(chol)).sum()
         return Discriminant(mean, factor, logdet, np.log((n + 1) / (whole + 2)), centre, scale)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -134,23 +154,22 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     d = len(NAMES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, product = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
+        flat = [0] * (2 + 2 * d + 2 * d * d)
         for b in batches:
-            x = b.column(0).values.to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = np.rint(b.column(0).values.to_numpy(zero_copy_only=False).reshape(-1, d) / PART).astype(np.int64)
             y = b.column(1).to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                own = x[y == c]
-                n[c] += len(own)
-                total[c] += own.sum(0)
-                product[c] += own.T @ own
-        flat = np.concatenate([n, total.ravel(), product.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["k", "v"])
+            # A statistic is below 2 ** 8, so that the sum of a thousand products fits.
+            for i in range(0, len(x), 1000):
+                own = [x[i : i + 1000][y[i : i + 1000] == c] for c in (0, 1)]
+                parts = [[len(o) for o in own], *(o.sum(0) for o in own), *((o.T @ o).ravel() for o in own)]
+                flat = [a + int(v) for a, v in zip(flat, np.concatenate(parts), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(map(Decimal, flat), pa.decimal128(38, 0))], names=["k", "v"])
 
     # 2 + 2 d + 2 d d numbers come to the driver.
-    rows = stats.join(one, "doc_id").select("x", "y").mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = stats.join(one, "doc_id").select("x", "y").mapInArrow(sums, "k int, v decimal(38,0)").groupBy("k").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(2 + 2 * d + 2 * d * d)
     for r in rows:
-        flat[r["k"]] = r["v"]
+        flat[r["k"]] = float(r["v"]) * (1 if r["k"] < 2 else PART if r["k"] < 2 + 2 * d else PART * PART)
     return Discriminant.fit(flat[:2], flat[2 : 2 + 2 * d].reshape(2, d), flat[2 + 2 * d :].reshape(2, d, d))
 
 
@@ -179,9 +198,6 @@ def classify(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the documents that score below threshold; repeated ids stay if any of their rows does."""
-    scores = classify(docs, labels).groupBy("doc_id").agg(F.max("score").alias("__score"))
-    return with_docs(docs, scores).where(F.col("__score") >= threshold).select(*docs.columns)
-
-
-def crc_mod(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 3
+    name = free_names(docs, "score")["score"]
+    scores = classify(docs, labels).groupBy("doc_id").agg(F.max("score").alias(name))
+    return with_docs(docs, scores).where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

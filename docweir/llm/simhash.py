@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import _join, batch, lookup, ready, slices, staged
+from docweir.llm.common import _join, batch, free_names, lookup, ready, slices, staged
 from docweir.llm.components import components
 
 DISTANCE = 4
@@ -272,11 +272,12 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) ->
     A row is judged by its own text: rows that share an id, or have none, stay apart by (doc_id, hash of the text).
     """
     of = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = staged(fingerprints(docs.withColumn("__of", of), width, extra=["__of"]), "fingerprints")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__of").alias("of"))
+    free = free_names(docs, "id", "of", "kept")
+    own = staged(fingerprints(docs.withColumn(free["of"], of), width, extra=[free["of"]]), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(free["of"]).alias("of"))
     first = own.groupBy("fp").agg(F.min(place).alias("first"))
     kept = first.join(_rooted(own, distance).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.of").alias("__of"))
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__of", of)
-    found = _join(keyed, kept.withColumn("__kept", F.lit(True)), ["__id", "__of"], ["__kept"], "inner")
-    return found.dropDuplicates(["__id", "__of"]).select(*docs.columns)
+    kept = kept.select(F.col("first.doc_id").alias(free["id"]), F.col("first.of").alias(free["of"]), F.lit(True).alias(free["kept"]))
+    keyed = docs.withColumn(free["id"], F.col("doc_id").cast("long")).withColumn(free["of"], of)
+    found = _join(keyed, kept, [free["id"], free["of"]], [free["kept"]], "inner")
+    return found.dropDuplicates([free["id"], free["of"]]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -446,7 +446,7 @@ def test_edit_distance_of_many_pairs():
         for i, w in enumerate(own):
             sym[i, : len(w)] = w
         pairs = [sorted((i, j), key=lambda k: n[k]) for i in range(len(own)) for j in range(max(0, i - 4), i) if abs(n[i] - n[j]) <= tau]
-        got = edits.within_pairs(sym, n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), tau)
+        got = edits.within_pairs(sym, n, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), np.full(len(pairs), tau))
         assert got.tolist() == [edits._plain(own[i], own[j]) <= tau for i, j in pairs]
 
 
