@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.operators.writes import MergeFailed
 from docweir.plans.context import Context
 from docweir.plans.pipeline import run
 from docweir.shared import shared_base
@@ -162,26 +163,29 @@ def _ids(df: DataFrame) -> DataFrame:
     return df.select(F.col("c_custkey").alias("_id"), "c_name", "c_acctbal", "c_mktsegment")
 
 
+SHIFT = 100
+
+
 def _merged(name: str, spec: dict, sql: str, stage: str = "$merge") -> None:
-    """The collection holds customers below 100 and not divisible by 3; those divisible by 2 come in, changed."""
+    """The collection holds all customers; all of them come in, changed and with ids that are SHIFT higher."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = store(spark)
         all_ = _ids(read(spark, sf_dir, "customer"))
-        own.write("customers", all_.where("_id % 3 <> 0"))
+        own.write("customers", all_)
         arg = spec if isinstance(spec, str) else {("from" if stage == "$delete" else "into"): "customers", **spec}
-        new = [{"$match": {"_id": {"$mod": [2, 0]}}}, {"$set": {"c_acctbal": {"$add": ["$c_acctbal", 1]}}}, {"$unset": "c_mktsegment"}]
+        new = [{"$set": {"_id": {"$add": ["$_id", SHIFT]}, "c_acctbal": {"$add": ["$c_acctbal", 1]}}}, {"$unset": "c_mktsegment"}]
         run(all_, [*new, {stage: arg}], Context(store=own))
         return own.read("customers")
 
     QUERIES[name], SQL[name] = query, sql
 
 
-_BASE = "with o as (select c_custkey as _id, c_name, c_acctbal, c_mktsegment from customer where c_custkey % 3 <> 0), n as (select c_custkey as _id, c_name, c_acctbal + 1 as c_acctbal from customer where c_custkey % 2 = 0) "
+_BASE = "with o as (select c_custkey as _id, c_name, c_acctbal, c_mktsegment from customer), n as (select c_custkey + 100 as _id, c_name, c_acctbal + 1 as c_acctbal from customer) "
 _merged("merge_merge", {}, _BASE + "select coalesce(o._id, n._id) as _id, coalesce(n.c_name, o.c_name) as c_name, coalesce(n.c_acctbal, o.c_acctbal) as c_acctbal, o.c_mktsegment from o full join n on o._id = n._id")
 _merged("merge_replace", {"whenMatched": "replace"}, _BASE + "select coalesce(o._id, n._id) as _id, coalesce(n.c_name, o.c_name) as c_name, coalesce(n.c_acctbal, o.c_acctbal) as c_acctbal, case when n._id is null then o.c_mktsegment end as c_mktsegment from o full join n on o._id = n._id")
 _merged("merge_keep", {"whenMatched": "keepExisting"}, _BASE + "select coalesce(o._id, n._id) as _id, coalesce(o.c_name, n.c_name) as c_name, coalesce(o.c_acctbal, n.c_acctbal) as c_acctbal, o.c_mktsegment from o full join n on o._id = n._id")
-_merged("merge_discard", {"whenNotMatched": "discard"}, _BASE + "select o._id, o.c_name, coalesce(n.c_acctbal, o.c_acctbal) as c_acctbal, o.c_mktsegment from o left join n on o._id = n._id")
+_merged("merge_discard", {"whenNotMatched": "discard"}, _BASE + "select o._id, coalesce(n.c_name, o.c_name) as c_name, coalesce(n.c_acctbal, o.c_acctbal) as c_acctbal, o.c_mktsegment from o left join n on o._id = n._id")
 _merged("out", "customers", SQL["merge_replace"], "$out")
 _merged("delete", {"on": "_id"}, _BASE + "select o.* from o anti join n on o._id = n._id", "$delete")
 
@@ -253,3 +257,148 @@ stages(
     "select l_returnflag as flag, l_linestatus as status, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 2) as avg_qty, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     lambda df: _rounded("sum_qty", "sum_base", "sum_disc", "sum_charge", "avg_qty", digits=2)(_split(df)),
 )
+
+# After a shuffle, rows lie in other partitions whenever they are planned anew.
+_lookup("lookup_after_group", "lineitem", "orders", {"localField": "_id", "foreignField": "o_orderkey", "as": "order"}, "select l_orderkey as _id, count(*) as n, any_value(o_totalprice) as price from lineitem join orders on o_orderkey = l_orderkey group by 1", lambda df: df.select("_id", "n", F.try_element_at("order.o_totalprice", F.lit(1)).alias("price")), [{"$group": {"_id": "$l_orderkey", "n": {"$sum": 1}}}])
+_lookup("lookup_array_after_group", "events", "nation", {"localField": "keys", "foreignField": "n_nationkey", "as": "nations"}, "select user_id as _id, count(n_nationkey) as n, sum(n_nationkey)::bigint as s from (select distinct user_id from events) left join nation on n_nationkey = user_id % 25 or n_nationkey = user_id % 7 group by 1", lambda df: df.select("_id", F.size("nations").cast("long").alias("n"), F.aggregate("nations.n_nationkey", F.lit(0).cast("long"), lambda a, x: a + x).alias("s")), [{"$group": {"_id": "$user_id"}}, {"$addFields": {"keys": [{"$toInt": {"$mod": ["$_id", 25]}}, {"$toInt": {"$mod": ["$_id", 7]}}]}}])
+_lookup("lookup_group", "customer", "orders", {"let": {"c": "$c_custkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$o_custkey", "$$c"]}}}, {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "most": {"$max": "$o_totalprice"}}}], "as": "by", "unwind": True}, "select c_custkey, o_orderstatus as status, count(*) as n, max(o_totalprice) as most from customer join orders on o_custkey = c_custkey group by 1, 2", lambda df: df.select("c_custkey", F.col("by._id").alias("status"), "by.n", "by.most"))
+_lookup("lookup_count", "nation", "customer", {"let": {"n": "$n_nationkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$c_nationkey", "$$n"]}}}, {"$count": "n"}], "as": "c", "unwind": True}, "select n_nationkey, count(*) as n from nation join customer on c_nationkey = n_nationkey group by 1", lambda df: df.select("n_nationkey", "c.n"))
+_lookup("lookup_uncorrelated", "nation", "region", {"pipeline": [{"$match": {"r_regionkey": {"$gt": 2}}}], "as": "r"}, "select n_nationkey, (select count(*) from region where r_regionkey > 2) as n from nation", lambda df: df.select("n_nationkey", F.size("r").cast("long").alias("n")))
+stages("per_wide", "lineitem", [{"$addFields": {"pad": {"$concat": ["$l_returnflag", "$l_linestatus"]}}}, {"$group": {"_id": {"o": "$l_orderkey", "l": "$l_linenumber"}, "q": {"$sum": "$l_quantity"}}}, {"$addFields": {"place": {"$add": [{"$multiply": ["$_id.o", 10]}, "$_id.l"]}}}, {"$per": {"amount": 7, "as": "batch"}}], "select count(*) as n, min(p) as first, sum(q) as total from (select l_orderkey * 10 + l_linenumber as p, sum(l_quantity) as q, (row_number() over (order by l_orderkey * 10 + l_linenumber) - 1) // 7 as g from lineitem group by l_orderkey, l_linenumber) group by g", lambda df: df.select(F.size("batch").cast("long").alias("n"), F.array_min("batch.place").alias("first"), F.aggregate("batch.q", F.lit(0.0), lambda a, x: a + x).alias("total")), order_by="place")
+stages("group_min_null", "events", [{"$group": {"_id": "$user_id", "low": {"$min": {"$cond": [{"$gt": ["$value", 95]}, None, "$value"]}}}}], "select user_id as _id, case when bool_or(value > 95) then null else min(value) end as low from events group by 1", strict_nulls=True)
+
+
+@custom("group_carried", "select l_returnflag as _id, count(*) as n, sum(l_quantity) as q, max(l_discount) as d from lineitem group by 1")
+def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table in two parts, one after the other: the second one's groups go on from the first one's state."""
+    ctx, rows = Context(store=store(spark), carry=True), read(spark, sf_dir, "lineitem")
+    stage = [{"$group": {"_id": "$l_returnflag", "n": {"$sum": 1}, "q": {"$sum": "$l_quantity"}, "d": {"$max": "$l_discount"}}}]
+    run(rows.where("l_linenumber < 4"), stage, ctx)
+    return run(rows.where("l_linenumber >= 4"), stage, ctx)
+
+
+# functions, by group
+def _functions(name: str, table: str, key: str, own: dict[str, tuple[object, str]], before: list | None = None) -> None:
+    stages(name, table, [*(before or []), {"$project": {key: 1, **{n: e for n, (e, _) in own.items()}}}], f"select {key}, " + ", ".join(f"{s} as {n}" for n, (_, s) in own.items()) + f" from {table}")
+
+
+_functions("functions_logic", "orders", "o_orderkey", {
+    "a_and": ({"$and": [{"$gt": ["$o_totalprice", 1000]}, {"$lt": ["$o_custkey", 500]}]}, "o_totalprice > 1000 and o_custkey < 500"),
+    "a_or": ({"$or": [{"$gte": ["$o_totalprice", 100000]}, {"$lte": ["$o_custkey", 50]}]}, "o_totalprice >= 100000 or o_custkey <= 50"),
+    "a_not": ({"$not": [{"$eq": ["$o_orderstatus", "F"]}]}, "o_orderstatus <> 'F'"),
+    "a_ne": ({"$ne": ["$o_orderstatus", "F"]}, "o_orderstatus <> 'F'"),
+    "a_cmp": ({"$cmp": ["$o_custkey", 500]}, "sign(o_custkey - 500)::int"),
+    "a_cond": ({"$cond": [{"$gt": ["$o_custkey", 500]}, "high", "low"]}, "case when o_custkey > 500 then 'high' else 'low' end"),
+    "a_switch": ({"$switch": {"branches": [{"case": {"$eq": ["$o_orderstatus", "F"]}, "then": "done"}, {"case": {"$eq": ["$o_orderstatus", "O"]}, "then": "open"}], "default": "other"}}, "case o_orderstatus when 'F' then 'done' when 'O' then 'open' else 'other' end"),
+    "a_in": ({"$in": ["$o_orderstatus", ["F", "P"]]}, "o_orderstatus in ('F', 'P')"),
+    "a_null": ({"$ifNull": [{"$cond": [{"$gt": ["$o_custkey", 500]}, None, "$o_orderstatus"]}, "none"]}, "case when o_custkey > 500 then 'none' else o_orderstatus end"),
+    "a_let": ({"$let": {"vars": {"x": {"$add": ["$o_custkey", 1]}}, "in": {"$multiply": ["$$x", "$$x"]}}}, "(o_custkey + 1) * (o_custkey + 1)"),
+})
+_functions("functions_math", "lineitem", "l_orderkey", {
+    "l_linenumber": ("$l_linenumber", "l_linenumber"),
+    "m_add": ({"$add": ["$l_orderkey", "$l_linenumber", 1]}, "l_orderkey + l_linenumber + 1"),
+    "m_subtract": ({"$subtract": ["$l_orderkey", "$l_linenumber"]}, "l_orderkey - l_linenumber"),
+    "m_multiply": ({"$multiply": ["$l_quantity", "$l_linenumber"]}, "l_quantity * l_linenumber"),
+    "m_divide": ({"$divide": ["$l_quantity", 4.0]}, "l_quantity / 4.0::double"),
+    "m_mod": ({"$mod": ["$l_orderkey", 7]}, "l_orderkey % 7"),
+    "m_abs": ({"$abs": {"$subtract": ["$l_linenumber", 4]}}, "abs(l_linenumber - 4)"),
+    "m_ceil": ({"$ceil": "$l_extendedprice"}, "ceil(l_extendedprice)::bigint"),
+    "m_floor": ({"$floor": "$l_extendedprice"}, "floor(l_extendedprice)::bigint"),
+    "m_trunc": ({"$trunc": {"$multiply": ["$l_discount", -37.5]}}, "trunc(l_discount * -37.5::double)::bigint"),
+    "m_sqrt": ({"$round": [{"$sqrt": "$l_quantity"}, 6]}, "round(sqrt(l_quantity), 6)"),
+    "m_pow": ({"$pow": ["$l_linenumber", 3]}, "pow(l_linenumber, 3)"),
+    "m_exp": ({"$round": [{"$exp": "$l_discount"}, 6]}, "round(exp(l_discount), 6)"),
+    "m_ln": ({"$round": [{"$ln": "$l_quantity"}, 6]}, "round(ln(l_quantity), 6)"),
+    "m_log": ({"$round": [{"$log": ["$l_quantity", 3]}, 6]}, "round(ln(l_quantity) / ln(3), 6)"),
+    "m_log10": ({"$round": [{"$log10": "$l_quantity"}, 6]}, "round(log10(l_quantity), 6)"),
+    "m_max": ({"$max": ["$l_linenumber", 4]}, "greatest(l_linenumber, 4)"),
+    "m_min": ({"$min": ["$l_linenumber", 4]}, "least(l_linenumber, 4)"),
+    "m_sum": ({"$sum": ["$l_linenumber", 4]}, "l_linenumber + 4"),
+})
+_functions("functions_string", "customer", "c_custkey", {
+    "s_concat": ({"$concat": ["$c_name", "/", "$c_mktsegment"]}, "c_name || '/' || c_mktsegment"),
+    "s_upper": ({"$toUpper": "$c_name"}, "upper(c_name)"),
+    "s_lower": ({"$toLower": "$c_mktsegment"}, "lower(c_mktsegment)"),
+    "s_substr": ({"$substrCP": ["$c_name", 2, 5]}, "substr(c_name, 3, 5)"),
+    "s_length": ({"$strLenCP": "$c_name"}, "length(c_name)::int"),
+    "s_split": ({"$arrayElemAt": [{"$split": ["$c_name", "#"]}, 1]}, "string_split(c_name, '#')[2]"),
+    "s_index": ({"$indexOfCP": ["$c_mktsegment", "I"]}, "(instr(c_mktsegment, 'I') - 1)::int"),
+    "s_trim": ({"$trim": {"input": {"$concat": ["  ", "$c_name", " "]}}}, "c_name"),
+    "s_ltrim": ({"$ltrim": {"input": {"$concat": ["xx", "$c_mktsegment", "xx"]}, "chars": "x"}}, "c_mktsegment || 'xx'"),
+    "s_rtrim": ({"$rtrim": {"input": {"$concat": ["xx", "$c_mktsegment", "xx"]}, "chars": "x"}}, "'xx' || c_mktsegment"),
+    "s_replace": ({"$replaceAll": {"input": "$c_mktsegment", "find": "I", "replacement": "ii"}}, "replace(c_mktsegment, 'I', 'ii')"),
+    "s_match": ({"$regexMatch": {"input": "$c_mktsegment", "regex": "^b.*g$", "options": "i"}}, "regexp_matches(c_mktsegment, '^b.*g$', 'i')"),
+})
+_functions("functions_date", "orders", "o_orderkey", {
+    "d_year": ({"$year": "$o_orderdate"}, "year(o_orderdate)::int"),
+    "d_month": ({"$month": "$o_orderdate"}, "month(o_orderdate)::int"),
+    "d_day": ({"$dayOfMonth": "$o_orderdate"}, "day(o_orderdate)::int"),
+    "d_week": ({"$dayOfWeek": "$o_orderdate"}, "(dayofweek(o_orderdate) + 1)::int"),
+    "d_of_year": ({"$dayOfYear": "$o_orderdate"}, "dayofyear(o_orderdate)::int"),
+    "d_hour": ({"$hour": "$o_orderdate"}, "hour(o_orderdate)::int"),
+    "d_minute": ({"$minute": "$o_orderdate"}, "minute(o_orderdate)::int"),
+    "d_second": ({"$second": "$o_orderdate"}, "second(o_orderdate)::int"),
+    "d_trunc": ({"$dateToString": {"date": {"$dateTrunc": {"date": "$o_orderdate", "unit": "month"}}, "format": "%Y-%m-%d"}}, "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')"),
+    "d_text": ({"$dateToString": {"date": "$o_orderdate", "format": "%Y/%m/%d %H:%M:%S"}}, "strftime(o_orderdate, '%Y/%m/%d %H:%M:%S')"),
+    "d_back": ({"$year": {"$dateFromString": {"dateString": {"$dateToString": {"date": "$o_orderdate", "format": "%Y-%m-%d"}}, "format": "%Y-%m-%d"}}}, "year(o_orderdate)::int"),
+})
+_LIST = {"$addFields": {"xs": [{"$toInt": {"$mod": ["$user_id", 5]}}, {"$toInt": {"$mod": ["$user_id", 3]}}, 4, 4], "ys": [1, 4, 9]}}
+_XS, _YS = "[(user_id % 5)::int, (user_id % 3)::int, 4, 4]", "[1, 4, 9]"
+_functions("functions_array", "events", "event_id", {
+    "r_size": ({"$size": "$xs"}, "4::int"),
+    "r_at": ({"$arrayElemAt": ["$xs", 1]}, "(user_id % 3)::int"),
+    "r_back": ({"$arrayElemAt": ["$xs", -4]}, "(user_id % 5)::int"),
+    "r_first": ({"$first": "$xs"}, "(user_id % 5)::int"),
+    "r_last": ({"$last": "$xs"}, "4::int"),
+    "r_slice": ({"$sum": [{"$arrayElemAt": [{"$slice": ["$xs", 1, 2]}, 0]}, {"$size": {"$slice": ["$xs", -3]}}]}, "(user_id % 3)::int + 3"),
+    "r_reverse": ({"$arrayElemAt": [{"$reverseArray": "$xs"}, 3]}, "(user_id % 5)::int"),
+    "r_range": ({"$size": {"$range": [0, "$x", 2]}}, "len(range(0, (user_id % 5)::int, 2))::int"),
+    "r_union": ({"$size": {"$setUnion": ["$xs", "$ys"]}}, f"len(list_distinct(list_concat({_XS}, {_YS})))::int"),
+    "r_both": ({"$size": {"$setIntersection": ["$xs", "$ys"]}}, f"len(list_intersect({_XS}, {_YS}))::int"),
+    "r_less": ({"$size": {"$setDifference": ["$xs", "$ys"]}}, f"len(list_filter(list_distinct({_XS}), lambda x: not list_contains({_YS}, x)))::int"),
+    "r_concat": ({"$size": {"$concatArrays": ["$xs", "$ys"]}}, "7::int"),
+    "r_is": ({"$isArray": ["$xs"]}, "true"),
+    "r_in": ({"$in": [3, "$xs"]}, f"list_contains({_XS}, 3)"),
+    "r_map": ({"$reduce": {"input": {"$map": {"input": "$xs", "as": "v", "in": {"$multiply": ["$$v", 2]}}}, "initialValue": 0, "in": {"$add": ["$$value", "$$this"]}}}, f"list_sum({_XS})::int * 2"),
+    "r_filter": ({"$size": {"$filter": {"input": "$xs", "as": "v", "cond": {"$gt": ["$$v", 1]}}}}, f"len(list_filter({_XS}, lambda x: x > 1))::int"),
+    "r_any": ({"$anyElementTrue": [[{"$gt": ["$x", 3]}, {"$lt": ["$x", 1]}]]}, "user_id % 5 > 3 or user_id % 5 < 1"),
+    "r_all": ({"$allElementsTrue": [[{"$gt": ["$x", 0]}, {"$lt": ["$x", 4]}]]}, "user_id % 5 > 0 and user_id % 5 < 4"),
+}, [_LIST, {"$addFields": {"x": {"$first": "$xs"}}}])
+_functions("functions_object", "events", "event_id", {
+    "o_get": ({"$getField": {"field": "kind", "input": "$o"}}, "event_type"),
+    "o_set": ({"$getField": {"field": "more", "input": {"$setField": {"field": "more", "input": "$o", "value": "$user_id"}}}}, "user_id"),
+    "o_merge": ({"$getField": {"field": "kind", "input": {"$mergeObjects": ["$o", {"kind": "x"}]}}}, "'x'"),
+    "o_list": ({"$size": {"$objectToArray": "$t"}}, "2::int"),
+    "o_key": ({"$arrayElemAt": [{"$map": {"input": {"$objectToArray": "$t"}, "as": "e", "in": "$$e.k"}}, 1]}, "'b'"),
+    "o_json": ({"$variantGet": {"input": {"$parseJson": {"input": "$props"}}, "path": "$.k", "type": "int"}}, "json_extract(props, '$.k')::int"),
+}, [{"$addFields": {"o": {"kind": "$event_type", "id": "$event_id"}, "t": {"a": "$event_type", "b": "x"}}}])
+_functions("functions_type", "customer", "c_custkey", {
+    "t_type": ({"$concat": [{"$type": "$c_custkey"}, " ", {"$type": "$c_name"}, " ", {"$type": "$c_acctbal"}, " ", {"$type": {"$eq": [1, 1]}}]}, "'long string double bool'"),
+    "t_int": ({"$toInt": "$c_acctbal"}, "trunc(c_acctbal)::int"),
+    "t_long": ({"$toLong": {"$toString": "$c_custkey"}}, "c_custkey"),
+    "t_double": ({"$toDouble": {"$toString": "$c_custkey"}}, "c_custkey::double"),
+    "t_string": ({"$toString": "$c_custkey"}, "c_custkey::varchar"),
+    "t_bad": ({"$toInt": "$c_name"}, "try_cast(c_name as int)"),
+    "t_bool": ({"$toBool": "$c_name"}, "true"),
+    "t_date": ({"$year": {"$toDate": "2021-03-04 05:06:07"}}, "2021::int"),
+})
+stages("match_array", "events", [_LIST, {"$match": {"$or": [{"xs": {"$all": [3, 1]}}, {"xs": {"$elemMatch": {"$gt": 1, "$lt": 3}}}], "ys": {"$size": 3}}}, {"$project": {"event_id": 1}}], f"select event_id from events where (list_contains({_XS}, 3) and list_contains({_XS}, 1)) or len(list_filter({_XS}, lambda x: x > 1 and x < 3)) > 0")
+stages("unwind_new_ids", "events", [{"$match": {"user_id": {"$lt": 5}}}, _LIST, {"$addFields": {"_id": "$event_id"}}, {"$unwind": {"path": "$ys", "newIds": True}}, {"$project": {"event_id": 1, "ys": 1, "_id": 1}}], "select event_id, ys, true as fresh from events, unnest([1, 4, 9]) as t(ys) where user_id < 5", lambda df: df.select("event_id", "ys", (F.length(F.col("_id").cast("string")) > 20).alias("fresh")))
+
+
+def _fails(name: str, arg: dict) -> None:
+    @custom(name, "select 1::bigint as failed, count(*) as kept from customer")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A merge that must fail leaves the collection as it was."""
+        own, all_ = store(spark), _ids(read(spark, sf_dir, "customer"))
+        own.write("customers", all_)
+        try:
+            run(all_.withColumn("_id", F.col("_id") + SHIFT), [{"$merge": {"into": "customers", **arg}}], Context(store=own))
+            failed = 0
+        except MergeFailed:
+            failed = 1
+        return own.read("customers").agg(F.lit(failed).cast("long").alias("failed"), F.count(F.lit(1)).alias("kept"))
+
+
+_fails("merge_matched_fail", {"whenMatched": "fail"})
+_fails("merge_unmatched_fail", {"whenNotMatched": "fail"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,8 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docweir.functions.expressions import RANK, Json, Scope, compile_expression, family
+from docweir.functions.paths import quoted
 from docweir.operators.fields import must, scope_of
 from docweir.plans.context import KEY, Context
+from docweir.shared import staged
 
 SEQ = "__seq"
 
@@ -104,7 +108,7 @@ def parts(spec: dict, scope: Scope, ctx: Context) -> tuple[Column, dict[str, tup
 def group(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     """_id is a literal (one group, _id null), an expression, or an object of expressions; the rest are accumulators.
 
-    Without accumulators the result is the distinct ids. A changelog needs ctx.order_by: each row's aggregates are
+    Without accumulators the result is the distinct ids. With ctx.carry see _carried. A changelog needs ctx.order_by: each row's aggregates are
     those of the rows so far, and a row is told only if they are other than before.
     """
     must(isinstance(spec, dict) and "_id" in spec, "$group takes an object with _id")
@@ -114,6 +118,9 @@ def group(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     # An id that is an array updates its group, which is never told.
     if not _is_literal(ident) and isinstance(scope.type_of(key), T.ArrayType):
         return df.select(key.alias("_id")).limit(0)
+    if ctx.carry:
+        must(ctx.mode == "final", "a changelog over a stream is docweir.streaming.stateful.group_changes")
+        return _carried(df, spec, key, own, ctx)
     if ctx.mode == "changelog" and ctx.order_by:
         return _changelog(df, key, _is_literal(ident), own, ctx)
     needs = any(op in _ORDERED for op, _, _ in own.values())
@@ -130,6 +137,100 @@ def group(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     return out.withColumn(KEY, F.col("_id").cast("string")) if KEY in df.columns else out
 
 
+def state_name(spec: dict, ctx: Context) -> str:
+    """The collection of a stage's state: equal stages of one app share it."""
+    return spec.get("_collection") or f"{ctx.app}-{hashlib.md5(json.dumps(spec, sort_keys=True).encode()).hexdigest()}"
+
+
+def _first_state(op: str, x: Column, seq: Column) -> dict[str, Column]:
+    """The columns of an accumulator's state over some rows."""
+    if op in ("$avg", "$stdDevPop", "$stdDevSamp"):
+        n = F.count(x)
+        return {"n": n, "mean": F.avg(x.cast("double")), "m2": F.coalesce(F.var_pop(x.cast("double")), F.lit(0.0)) * n}
+    if op in ("$last", "$first"):
+        return {"x": _OPS[op](x, seq)}
+    if op in ("$min", "$max"):
+        return {"x": _OPS[op](x, seq), "null": F.bool_or(x.isNull())}
+    return {}
+
+
+def _next_state(op: str, old: dict[str, Column], turn: Column) -> dict[str, Column]:
+    """The columns of the state of what came before (turn 0) and since (turn 1)."""
+    x = old.get("x")
+    if op in ("$avg", "$stdDevPop", "$stdDevSamp"):
+        n, part = F.sum(old["n"]), F.sum(old["n"] * old["mean"])
+        spread = F.sum(old["m2"]) + F.sum(old["n"] * old["mean"] * old["mean"]) - part * part / n
+        return {"n": n, "mean": part / n, "m2": F.when(n > 0, F.greatest(spread, F.lit(0.0))).otherwise(0.0)}
+    if op in ("$sum", "$count"):
+        return {"x": F.sum(x)}
+    if op in ("$min", "$max"):
+        return {"x": _OPS[op](x, turn), "null": F.bool_or(old["null"])}
+    if op in ("$last", "$first"):
+        return {"x": _OPS[op](x, turn)}
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(turn.alias("t"), x.alias("x")))), lambda e: e["x"])
+    if op == "$push":
+        return {"x": F.flatten(parts)}
+    return {"x": F.array_sort(F.array_distinct(F.flatten(parts)))}
+
+
+def _shown(op: str, state: dict[str, Column], strict_nulls: bool) -> Column:
+    if op == "$avg":
+        return F.when(state["n"] > 0, state["mean"])
+    if op == "$stdDevPop":
+        return F.when(state["n"] > 0, F.sqrt(state["m2"] / state["n"]))
+    if op == "$stdDevSamp":
+        return F.when(state["n"] > 1, F.sqrt(state["m2"] / (state["n"] - 1)))
+    if op == "$min" and strict_nulls:
+        return F.when(~state["null"], state["x"])
+    return state["x"]
+
+
+def _carried(df: DataFrame, spec: dict, key: Column, own: dict, ctx: Context) -> DataFrame:
+    """Groups of this input, with all that the collection remembers of them; the collection then remembers this input.
+
+    Of a numbered micro-batch the state goes from one of two collections to the other, by turns: a batch that Spark
+    runs again starts from the state that it started from before. Averages and deviations are doubles.
+    """
+    store, name = ctx.collections(), state_name(spec, ctx)
+    before, after = (name, name) if ctx.batch is None else (f"{name}.{(ctx.batch + 1) % 2}", f"{name}.{ctx.batch % 2}")
+    seq = F.col(quoted(ctx.order_by)) if ctx.order_by else F.monotonically_increasing_id()
+    rows = df.select(key.alias("_id"), seq.alias(SEQ), *[c.alias(f"__x{i}") for i, (_, c, _) in enumerate(own.values())])
+    columns: list[Column] = []
+    for i, (op, _, whole) in enumerate(own.values()):
+        x = F.col(f"__x{i}")
+        kind = _first_state(op, x, F.col(SEQ)) or {"x": whole(x, F.col(SEQ))}
+        columns += [c.alias(f"s{i}_{k}") for k, c in kind.items()]
+    new = rows.groupBy("_id").agg(*columns) if columns else rows.select("_id").distinct()
+    new = staged(new.withColumn("_turn", F.lit(1)), "group")
+
+    def change() -> DataFrame:
+        both = new
+        if store.exists(before):
+            both = store.read(before).drop("_timestamp").withColumn("_turn", F.lit(0)).unionByName(new)
+        merged: list[Column] = []
+        for i, (op, _, whole) in enumerate(own.values()):
+            state = {c.removeprefix(f"s{i}_"): F.col(c) for c in both.columns if c.startswith(f"s{i}_")}
+            if op == "$mergeObjects":
+                merged.append(whole(state["x"], F.col("_turn")).alias(f"s{i}_x"))
+            else:
+                merged += [c.alias(f"s{i}_{k}") for k, c in _next_state(op, state, F.col("_turn")).items()]
+        return both.groupBy("_id").agg(F.max("_turn").cast("boolean").alias("_changed"), *merged).withColumn("_timestamp", F.current_timestamp())
+
+    kept: list[DataFrame] = []
+
+    def settled() -> DataFrame:
+        kept[:] = [staged(change(), "state")]
+        return kept[0].drop("_changed")
+
+    store.update(after, settled)
+    state = kept[0].where("_changed")
+    shown = []
+    for i, (n, (op, _, _)) in enumerate(own.items()):
+        shown.append(_shown(op, {c.removeprefix(f"s{i}_"): F.col(c) for c in state.columns if c.startswith(f"s{i}_")}, ctx.strict_nulls).alias(n))
+    out = state.select("_id", *shown)
+    return out.withColumn(KEY, F.col("_id").cast("string")) if KEY in df.columns else out
+
+
 def _changelog(df: DataFrame, key: Column, single: bool, own: dict, ctx: Context) -> DataFrame:
     """Running frames, one window for all aggregates; a group's rows are sorted, spilling if they must."""
     rows = df.select(key.alias("_id"), F.col(ctx.order_by).alias(SEQ), *[c.alias(f"__x{i}") for i, (_, c, _) in enumerate(own.values())])

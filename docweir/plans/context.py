@@ -19,6 +19,9 @@ class Context:
     """store: named collections; stores: others by (connection, database).
 
     mode "final" gives one row a group, "changelog" one row a change of a group's state, in the order of order_by.
+    With carry, $group, $bucket and $count go on from the state that earlier inputs left in their collection (_collection,
+    or one named by the app and the stage), and tell the groups that this input changed. batch is the number of a
+    micro-batch, so that one that is run again comes to the same state.
     With strict_nulls a null is the least value for $min; otherwise $min passes over it.
     strict rejects unknown stages and accumulators; otherwise they are passed over. stages and functions are the
     caller's own; a built-in stage wins over one of the same name. What stages send aside (topics, deletions, probes)
@@ -32,6 +35,8 @@ class Context:
     order_by: str | None = None
     strict: bool = True
     strict_nulls: bool = False
+    carry: bool = False
+    batch: int | None = None
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     stages: dict[str, Callable] = field(default_factory=dict)
     scripts: dict[str, Callable] = field(default_factory=dict)

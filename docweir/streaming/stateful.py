@@ -161,15 +161,19 @@ def stateless(df: DataFrame, pipeline: list, ctx: Context | None = None) -> Data
 
 
 def by_batch(df: DataFrame, pipeline: list, ctx: Context, then: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Any pipeline, once for each micro-batch, in foreachBatch: collections carry the state from batch to batch.
+    """Any pipeline, once for each micro-batch, in foreachBatch: collections carry the state from batch to batch, that
+    of $group, $bucket and $count too, which tell the totals of the groups that a batch changed.
 
-    A batch that Spark runs again is applied again; upserts by _id, deletions and first-of-value stages come to the
-    same collection then. then gets the result and the batch's number.
+    A batch that Spark runs again is applied again; groups, upserts by _id, deletions and first-of-value stages come to
+    the same collection then. $per would end its last array with each batch: batches_of carries the rest over. then
+    gets the result and the batch's number.
     """
-    run = create(pipeline, ctx)
+    names = [k for s in pipeline for k in s if k != "_trace"]
+    must("$per" not in names, "$per over a stream is batches_of")
+    must(ctx.mode == "final" or not {"$group", "$bucket", "$count"} & set(names), "a changelog over a stream is group_changes")
 
     def each(batch: DataFrame, number: int) -> None:
-        then(run(batch), number)
+        then(create(pipeline, replace(ctx, carry=True, batch=number))(batch), number)
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 

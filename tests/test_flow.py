@@ -1,5 +1,7 @@
+import datetime
 import json
 import time
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +181,71 @@ def test_groups_inside_a_lookup(spark, store):
     assert len(every) == 5 and all(sorted(x["_id"] for x in r["m"]) == [1, 2] for r in every)
     none = run(df, [{"$lookup": {"from": "f", "pipeline": [{"$match": {"k": 9}}], "as": "m", "inner": True}}], ctx)
     assert none.count() == 0
+
+
+ACCUMULATORS = {
+    "n": {"$count": {}},
+    "sum": {"$sum": "$value"},
+    "avg": {"$avg": "$value"},
+    "low": {"$min": "$value"},
+    "high": {"$max": "$when"},
+    "last": {"$last": "$when"},
+    "first": {"$first": "$value"},
+    "all": {"$push": "$value"},
+    "set": {"$addToSet": "$event_type"},
+    "dev": {"$stdDevPop": "$value"},
+    "money": {"$sum": "$price"},
+}
+
+
+def _close(a, b):
+    return a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1e-9 * max(1, abs(a))
+
+
+def test_groups_go_on_from_batch_to_batch(spark, store):
+    """Parts of an input, one after the other, come to the totals of the whole; a part that is run again changes nothing."""
+    rows = [(i, i % 4 if i % 9 else None, None if i % 7 == 0 else i * 1.5, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i), Decimal(i) / 4, "ab"[i % 2]) for i in range(60)]
+    kind = "seq int, user int, value double, when timestamp, price decimal(10,2), event_type string"
+    whole = spark.createDataFrame(rows, kind)
+    for ident in ("$user", None):
+        spec = {"_id": ident, **ACCUMULATORS}
+        want = {r["_id"]: r for r in run(whole, [{"$group": spec}], Context(order_by="seq")).collect()}
+        own = []
+        for number, part in enumerate([rows[:25], rows[25:26], rows[25:26], [], rows[26:]]):
+            number -= number > 1  # the second part is run twice
+            ctx = Context(store=store, order_by="seq", carry=True, batch=number, app=str(ident))
+            told = run(spark.createDataFrame(part, kind), [{"$group": spec}], ctx).collect()
+            assert {r["_id"] for r in told} == ({p[1] for p in part} if ident else {None} if part else set())
+            own += told
+        got = {r["_id"]: r for r in own}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            assert all(_close(r[c], want[k][c]) for c in ACCUMULATORS), (r, want[k])
+
+
+def test_state_without_numbers_and_by_name(spark, store):
+    df = spark.createDataFrame([(1, 5), (2, 7)], "k int, v int")
+    ctx = Context(store=store, carry=True)
+    spec = [{"$group": {"_id": "$k", "s": {"$sum": "$v"}, "_collection": "sums"}}]
+    run(df, spec, ctx)
+    assert {r["_id"]: r["s"] for r in run(df.where("k = 1"), spec, ctx).collect()} == {1: 10} and store.read("sums").count() == 2
+    assert [r["n"] for r in run(df, [{"$count": "n"}], ctx).collect()] == [2] and [r["n"] for r in run(df, [{"$count": "n"}], ctx).collect()] == [4]
+
+
+def test_by_batch_totals(spark, stream, store):
+    batch, live, path = stream
+    seen = []
+    spec = {"_id": "$k", "n": {"$sum": 1}, "v": {"$max": "$v"}}
+    query = stateful.by_batch(live, [{"$group": spec}], Context(store=store, order_by="seq"), lambda df, n: seen.append((n, df.collect())), f"{path}/totals")
+    query.awaitTermination()
+    want = {r["_id"]: (r["n"], r["v"]) for r in run(batch, [{"$group": spec}]).collect()}
+    assert len(seen) > 1 and {r["_id"]: (r["n"], r["v"]) for _, rows in seen for r in rows} == want
+    with pytest.raises(ValueError):
+        stateful.by_batch(live, [{"$per": {"amount": 2, "as": "b"}}], Context(store=store), lambda df, n: None, f"{path}/per")
+
+
+def test_min_may_rank_null_first(spark):
+    df = spark.createDataFrame([(1, 5), (1, None), (2, 7)], "k int, v int")
+    spec = [{"$group": {"_id": "$k", "m": {"$min": "$v"}}}]
+    assert {r["_id"]: r["m"] for r in run(df, spec).collect()} == {1: 5, 2: 7}
+    assert {r["_id"]: r["m"] for r in run(df, spec, Context(strict_nulls=True)).collect()} == {1: None, 2: 7}
