@@ -5,7 +5,10 @@ State lives in Spark's state store. Rows of one micro-batch and key are taken in
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -16,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docweir.functions.expressions import Json
+from docweir.functions.expressions import Json, family
 from docweir.functions.paths import quoted
 from docweir.operators import fields, grouping
 from docweir.operators.fields import must, scope_of
@@ -27,7 +30,26 @@ from docweir.plans.pipeline import create
 STATELESS = frozenset("$addFields $set $match $project $unset $replaceRoot $replaceWith $setKey $unwind $redact $jq $jslt $http $lookup $trace $backTrace $throttle".split())
 
 
+def _default(v):
+    """Dates and decimals in JSON, with their kind."""
+    if isinstance(v, decimal.Decimal):
+        return {"$decimal": str(v)}
+    if isinstance(v, datetime.date):
+        return {"$date" if isinstance(v, datetime.datetime) else "$day": v.isoformat()}
+    raise TypeError(type(v))
+
+
+def _hook(v: dict):
+    if len(v) == 1:
+        (k, x), = v.items()
+        if k in ("$decimal", "$date", "$day"):
+            return {"$decimal": decimal.Decimal, "$date": datetime.datetime.fromisoformat, "$day": datetime.date.fromisoformat}[k](x)
+    return v
+
+
 def _plain(v):
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime()
     if isinstance(v, dict):
         return {k: _plain(x) for k, x in v.items()}
     if hasattr(v, "tolist"):
@@ -37,7 +59,7 @@ def _plain(v):
 
 def _next(op: str, old, x):
     """(new state, changed): one accumulator's step."""
-    number = isinstance(x, int | float) and not isinstance(x, bool)
+    number = isinstance(x, int | float | decimal.Decimal) and not isinstance(x, bool)
     if op in ("$sum", "$count"):
         return ((old or 0) + x, x != 0 or old is None) if number else (old, False)
     if op == "$avg":
@@ -88,7 +110,7 @@ def group_changes(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     names, kind_of = list(ops), [op for op, _ in ops.values()]
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
+        held = json.loads(state.get[0], object_hook=_hook) if state.exists else None
         told = []
         for r in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
             values = [_plain(getattr(r, f"x{i}")) for i in range(len(names))]
@@ -97,7 +119,7 @@ def group_changes(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
             if held is None or any(c for _, c in stepped):
                 told.append([r.seq, k[0], *[_shown(op, s) for op, (s, _) in zip(kind_of, stepped, strict=True)]])
             held = [s for s, _ in stepped]
-        state.update((json.dumps(held),))
+        state.update((json.dumps(held, default=_default),))
         yield pd.DataFrame(told, columns=["seq", "_id", *names])
 
     grouped = rows.groupBy("_id").applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.NoTimeout)
@@ -142,6 +164,38 @@ def batches_of(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     return rows.groupBy("k").applyInPandasWithState(step, f"`{spec['as']}` array<string>", "state string", "append", mode)
 
 
+def delayed(df: DataFrame, spec: Json, ctx: Context, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """$delay over a stream: (documents that pass, (topic, doc) of the others, as JSON text, when they are due).
+
+    Documents wait in Spark's state store under one of `salts` keys, by their own hash, and are told by a batch that
+    runs once they are due: timers are of processing time, so that the query must go on running.
+    """
+    must(isinstance(spec, dict) and "duration" in spec and "topic" in spec, "$delay takes an object with duration and topic")
+    scope = scope_of(df, ctx)
+    topic, wait = (fields.compile_expression(spec[k], scope) for k in ("topic", "duration"))
+    topic = topic if family(scope.type_of(topic)) == "string" else F.lit(None).cast("string")
+    wait = wait.cast("long") if family(scope.type_of(wait)) == "number" else F.lit(None).cast("long")
+    due = topic.isNotNull() & wait.isNotNull()
+    doc = F.to_json(F.struct(*[F.col(quoted(c)) for c in df.columns if c != "_key"]))
+    rows = df.where(due).select(topic.alias("topic"), wait.alias("ms"), doc.alias("doc")).withColumn("k", F.pmod(F.xxhash64("doc"), F.lit(salts)))
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held = time.time() * 1000, json.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            for p in parts:
+                held += [[now + int(ms), t, d] for t, ms, d in zip(p["topic"], p["ms"], p["doc"], strict=True)]
+        told, held = [h for h in held if h[0] <= now], [h for h in held if h[0] > now]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutDuration(max(1, int(min(h[0] for h in held) - now)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"topic": [h[1] for h in told], "doc": [h[2] for h in told]})
+
+    later = rows.groupBy("k").applyInPandasWithState(step, "topic string, doc string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.where(~due), later
+
+
 def probed(df: DataFrame, spec: Json, time_col: str) -> DataFrame:
     """$probe's counts over a stream, by minutes of event time; df needs a watermark on time_col."""
     counts = df.groupBy(F.window(time_col, "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("count"))
@@ -178,4 +232,4 @@ def by_batch(df: DataFrame, pipeline: list, ctx: Context, then: Callable[[DataFr
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-__all__ = ["batches_of", "by_batch", "deduplicated", "group_changes", "group_totals", "probed", "rate_options", "stateless"]
+__all__ = ["batches_of", "by_batch", "deduplicated", "delayed", "group_changes", "group_totals", "probed", "rate_options", "stateless"]

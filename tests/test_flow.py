@@ -249,3 +249,32 @@ def test_min_may_rank_null_first(spark):
     spec = [{"$group": {"_id": "$k", "m": {"$min": "$v"}}}]
     assert {r["_id"]: r["m"] for r in run(df, spec).collect()} == {1: 5, 2: 7}
     assert {r["_id"]: r["m"] for r in run(df, spec, Context(strict_nulls=True)).collect()} == {1: None, 2: 7}
+
+
+def test_stream_changelog_of_dates_and_decimals(spark, tmp_path):
+    """States with dates and decimals survive from one micro-batch to the next."""
+    rows = [(i, i % 2, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=(7 * i) % 11), Decimal((5 * i) % 13) / 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "seq bigint, k int, at timestamp, price decimal(10,2)")
+    for part in range(2):
+        df.where(f"seq div 10 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    spec, ctx = {"_id": "$k", "last": {"$max": "$at"}, "low": {"$min": "$price"}}, Context(mode="changelog", order_by="seq")
+    want = sorted(map(tuple, run(df, [{"$group": spec}], ctx).collect()))
+    assert sorted(map(tuple, drained(spark, stateful.group_changes(live, spec, ctx), "dates", tmp_path).collect())) == want
+
+
+def test_stream_delay(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1500), (2, None, 1500), (3, "b", 1), (4, "c", None)], "i int, t string, ms long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    rest, later = stateful.delayed(live, {"duration": "$ms", "topic": "$t"}, Context())
+    assert sorted(r["i"] for r in drained(spark, rest, "rest", tmp_path).collect()) == [2, 4]
+    began = time.time()
+    q = later.writeStream.format("memory").queryName("later").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp-later").trigger(processingTime="200 milliseconds").start()
+    seen = {}
+    while len(seen) < 2 and time.time() < began + 90:
+        for r in spark.table("later").collect():
+            seen.setdefault(r["topic"], (time.time(), json.loads(r["doc"])))
+        time.sleep(0.1)
+    q.stop()
+    assert {k: d["i"] for k, (_, d) in seen.items()} == {"a": 1, "b": 3} and seen["a"][0] - began >= 1.5
