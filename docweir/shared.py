@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +28,26 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below it; the folder isn't there yet."""
-    return f"{shared_base(spark)}/docweir-{uuid.uuid4().hex}"
+    """A new folder's URI below it, in the application's own one; the folder isn't there yet. The application's folder
+    goes when the driver's process ends."""
+    sc = spark.sparkContext
+    own = f"{shared_base(spark)}/docweir-{sc.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_delete, sc._jvm, sc._jsc.hadoopConfiguration(), own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+_owned: set[str] = set()
+
+
+def _delete(jvm, configuration, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
+    except (Py4JError, OSError):
+        # The JVM is gone already: what is left stays.
+        pass
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
