@@ -314,9 +314,12 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
         left, right = p - lo, hi - p
         f = xxhash.xxh3_64_intdigest
         ctx = np.array([f(raw[i:j], s) for i, j, s in zip(lo.tolist(), hi.tolist(), (left * 1024 + right).tolist(), strict=True)], np.uint64)
-        # Documents are in order, so the first row of a context is its earliest, but for repeats of one doc_id.
-        _, one, back = np.unique(ctx, return_index=True, return_inverse=True)
-        lead = one[back]
+        # Documents are in order, so the first row of a context is its earliest, but for repeats of one doc_id. As
+        # everywhere, contexts are equal if both their anchor's hash and their own are.
+        order = np.lexsort((h, ctx))
+        new = np.concatenate([[True], (ctx[order][1:] != ctx[order][:-1]) | (h[order][1:] != h[order][:-1])])[: len(p)]
+        lead = np.empty(len(p), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
         first = lead == np.arange(len(p))
         again = ~first & ((ids[k] != ids[k[lead]]) | (p - begin != p[lead] - begin[lead]))
         at = (p - begin) << 20 | left << 10 | right
