@@ -141,12 +141,14 @@ def free_names(docs: DataFrame, *names: str) -> dict[str, str]:
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], extra: list[str], how: str) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *extra)
-    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    """left joined with right's extra columns by keys, null keys like any other value; right's keys go by free names."""
+    free = free_names(left, *[f"r_{k}" for k in keys])
+    r = right.select(*[F.col(f"`{k}`").alias(free[f"r_{k}"]) for k in keys], *extra)
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{free[f'r_{k}']}`")) for k in keys]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    return left.join(r, cond, how).select(*left.columns, *extra)
+    return left.join(r, cond, how).select(*[F.col(f"`{c}`") for c in left.columns], *extra)
 
 
 def with_docs(docs: DataFrame, info: DataFrame, key: str = "doc_id") -> DataFrame:

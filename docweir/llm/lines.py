@@ -528,8 +528,8 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     info = _per_document(near_lines(docs)).where(F.size("drop") > 0)
     free = free_names(docs, "of", "drop", "new", "id")
     own = docs.withColumn(free["id"], F.col("doc_id").cast("long")).withColumn(free["of"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    r = info.select(F.col("doc_id").alias("__r_id"), F.col("of").alias("__r_of"), F.col("drop").alias(free["drop"]))
-    joined = own.join(r, F.col(free["id"]).eqNullSafe(F.col("__r_id")) & (F.col(free["of"]) == F.col("__r_of")), "left").drop("__r_id", "__r_of")
+    info = info.select(F.col("doc_id").alias(free["id"]), F.col("of").alias(free["of"]), F.col("drop").alias(free["drop"]))
+    joined = _join(own, info, [free["id"], free["of"]], [free["drop"]], "left")
     gone = F.col(free["drop"])
     # Not deterministic, so that the filter doesn't run it a second time. Only texts that change go to Python.
     kept = F.pandas_udf(_kept, T.StringType()).asNondeterministic()

@@ -753,3 +753,55 @@ def test_pipeline(spark):
     packed = c.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+CLASH = ["__id", "__of", "__drop", "__new", "__score", "__kept", "__words", "__bits", "__items", "__ID", "__r_id", "__some"]
+
+
+def _corpus(spark, path, rows):
+    """documents with columns that clash with names inside the stages, labels and benchmark, as tables of a folder."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH if c != "__ID")
+    own = [(i, t, "en", "s", None if t is None else len(t), *("x" * (len(CLASH) - 1))) for i, t in rows]
+    spark.createDataFrame(own, kind).repartition(3).write.parquet(f"{path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i, _ in rows if i is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "some benchmark words that nobody else would ever write in this order")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows, clashing columns: each stage keeps columns, and
+    rows that it has no reason to drop."""
+    import corpus_pipeline as c
+
+    rng = random.Random(31)
+    new = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    one, two, shared = new(40), new(50), new(25)
+    rows = [(1, one), (1, one), (1, two), (None, new(30)), (None, None), (2, ""), (3, None), (4, shared + "\n" + new(30)), (5, shared + "\n" + new(30)), (6, new(4000))]
+    rows.append((7, new(20) + " some benchmark words that nobody else would ever write in this order " + new(20)))
+    sf = _corpus(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(c.STAGES)
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    ids = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    lined = stages["line dedup"](spark, docs, sf)
+    got = {r["doc_id"]: r for r in lined.where("doc_id in (4, 5, 6)").collect()}
+    assert got[4]["text"].startswith(shared) and shared not in got[5]["text"] and got[5]["n_chars"] == len(got[5]["text"])
+    # Repeated rows under one id are one document: both stay.
+    assert lined.count() == len(rows) and lined.where("doc_id = 1").count() == 3
+    single = stages["simhash near-dedup"](spark, docs, sf)
+    assert single.where("doc_id = 1").count() == 2 and single.where("text is null or text = ''").count() == 1
+    assert single.where("doc_id is null and text is not null").count() == 1
+    clean = stages["benchmark decontamination"](spark, docs, sf)
+    assert clean.count() == len(rows) and "nobody" not in clean.where("doc_id = 7").first()["text"]
+    assert ids(clean.where("doc_id is null or doc_id <> 7")) == ids(docs.where("doc_id is null or doc_id <> 7"))
+    packed = c.run(spark, sf)
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    assert c.run(spark, _corpus(spark, tmp_path, [])).count() == 0
