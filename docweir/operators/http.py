@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import ssl
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,20 +24,35 @@ from docweir.plans.context import Context
 Answer = tuple[int, dict[str, str], bytes]
 Transport = Callable[[str, str, list[tuple[str, str]], bytes | None], Answer]
 
-_TEXT = ("application/xml", "application/javascript", "application/x-www-form-urlencoded", "application/yaml")
+# Content types besides text/* that are text.
+_TEXT = ("application/rtf", "application/x-www-form-urlencoded", "application/xhtml+xml", "image/svg+xml")
 
 
-def over_network(method: str, url: str, headers: list[tuple[str, str]], body: bytes | None) -> Answer:
+def over_network(method: str, url: str, headers: list[tuple[str, str]], body: bytes | None, context: ssl.SSLContext | None = None) -> Answer:
     request = urllib.request.Request(url, data=body, method=method)
     for k, v in headers:
         request.add_header(k, v)
     try:
-        with urllib.request.urlopen(request, timeout=60) as r:
+        with urllib.request.urlopen(request, timeout=60, context=context) as r:
             return r.status, dict(r.headers.items()), r.read()
     except urllib.error.HTTPError as e:
         return e.code, dict(e.headers.items()), e.read()
 
 
+@lru_cache(16)
+def _certificate(store: str, password: str | None, changed: float) -> ssl.SSLContext:
+    context = ssl.create_default_context()
+    context.load_cert_chain(store, password=password)
+    return context
+
+
+def with_certificate(spec: dict) -> Transport:
+    """Requests with a client certificate: keyStore is a PEM file with its key, on every executor, read again when it
+    has changed; password is the key's."""
+    store, password = spec["keyStore"], spec.get("password")
+    return lambda *request: over_network(*request, _certificate(store, password, os.path.getmtime(store)))
+
+
 def _content_type(headers: dict[str, str]) -> str:
     return next((v for k, v in headers.items() if k.lower() == "content-type"), "").split(";")[0].strip().lower()
 
@@ -90,11 +109,16 @@ def http(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
 
     One JSON object is told as itself, others as an array; with unwind each is a row. A status of 300 or more, and a
     bad request, give httpError {statusCode, body}. ctx.transport replaces the network; failures of connections are
-    retried `retries` times (3), then fail the task, which Spark retries.
+    retried `retries` times (3), then fail the task, which Spark retries. A task has `concurrency` requests (8) under
+    way at a time, and answers in the order of its rows. sslContext {keyStore, password}: see with_certificate.
     """
     must(isinstance(spec, dict) and "method" in spec and "url" in spec, "$http takes an object with method and url")
     must("as" in spec or not spec.get("unwind"), "$http unwinds the field as")
-    scope, transport = scope_of(df, ctx), ctx.transport or over_network
+    context = spec.get("sslContext")
+    must(context is None or isinstance(context, dict) and "keyStore" in context, "sslContext takes an object with keyStore")
+    scope, transport = scope_of(df, ctx), ctx.transport or (with_certificate(context) if context else over_network)
+    concurrency = int(spec.get("concurrency", 8))
+    must(concurrency > 0, "concurrency is positive")
     retries, wait = int(spec.get("retries", 3)), float(spec.get("retryWait", 5.0))
     part = lambda k: compile_expression(spec[k], scope) if k in spec else None
     body, body_kind = _text(df, part("body"))
@@ -106,11 +130,12 @@ def http(df: DataFrame, spec: Json, ctx: Context) -> DataFrame:
     added = T.StructType([T.StructField("__status", T.IntegerType()), T.StructField("__kind", T.StringType()), T.StructField("__values", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            asked = zip(*(b.column(n).to_pylist() for n in ("__method", "__url", "__headers", "__body")), strict=True)
-            got = [call(transport, *a, body_kind, retries, wait) for a in asked]
-            columns = [*b.columns, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "__status", "__kind", "__values"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                asked = zip(*(b.column(n).to_pylist() for n in ("__method", "__url", "__headers", "__body")), strict=True)
+                got = list(pool.map(lambda a: call(transport, *a, body_kind, retries, wait), asked))
+                columns = [*b.columns, pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "__status", "__kind", "__values"])
 
     told = rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
     value = (lambda c: F.from_json(c, spec["schema"])) if "schema" in spec else F.try_parse_json

@@ -278,3 +278,15 @@ def test_stream_delay(spark, tmp_path):
         time.sleep(0.1)
     q.stop()
     assert {k: d["i"] for k, (_, d) in seen.items()} == {"a": 1, "b": 3} and seen["a"][0] - began >= 1.5
+
+
+@pytest.mark.parametrize("kind", ["text/html", "application/rtf", "application/x-www-form-urlencoded", "application/xhtml+xml; charset=utf-8", "image/svg+xml"])
+def test_http_text_types(kind):
+    assert read_answer((200, {"Content-Type": kind}, b"a\nb")) == (200, "text", ['"ab"'])
+    assert read_answer((200, {"Content-Type": "application/xml"}, b"a")) == (200, "other", [])
+
+
+def test_http_needs_a_key_store(spark):
+    df = spark.createDataFrame([("a",)], "name string")
+    with pytest.raises(ValueError):
+        run(df, [{"$http": {"method": "GET", "url": "http://h/", "as": "r", "sslContext": {"password": "x"}}}], Context())
