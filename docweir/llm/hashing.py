@@ -121,13 +121,8 @@ def smallest(h: np.ndarray, reach: int) -> np.ndarray:
     return low
 
 
-def packed(*columns: tuple[np.ndarray, int]) -> bytes:
-    """Columns of numbers, one after the other, of each the given number of lowest bytes."""
-    return b"".join(np.ascontiguousarray(c).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].tobytes() for c, n in columns)
-
-
 def unpacked(body: bytes, *sizes: int) -> list[np.ndarray]:
-    """The columns of packed, as unsigned 64-bit numbers."""
+    """The columns of a block, of rows of these sizes, as unsigned 64-bit numbers."""
     n, raw, at, out = len(body) // sum(sizes), np.frombuffer(body, np.uint8), 0, []
     for size in sizes:
         c = np.zeros((n, 8), np.uint8)
@@ -138,12 +133,14 @@ def unpacked(body: bytes, *sizes: int) -> list[np.ndarray]:
 
 
 def dealt(key: np.ndarray, buckets: int, *columns: tuple[np.ndarray, int]):
-    """(bucket, packed columns) of the rows of each bucket, which is the key modulo their number."""
+    """(bucket, block) for each bucket, which is the key modulo their number. A block has the columns of its rows, one
+    after the other, of each the given number of lowest bytes."""
     if not len(key):
         return
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [(c[order], n) for c, n in columns]
+    bucket = bucket[order]
+    raw = [c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].copy() for c, n in columns]
     cut = [0, *(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1).tolist(), len(bucket)]
     for i, j in zip(cut, cut[1:], strict=False):
-        yield int(bucket[i]), packed(*((c[i:j], n) for c, n in columns))
+        yield int(bucket[i]), b"".join([c[i:j].tobytes() for c in raw])

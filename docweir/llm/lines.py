@@ -52,8 +52,8 @@ def digest(line: str) -> bytes:
 
 
 def short(d: bytes) -> int:
-    """The signed 64-bit form of a digest, by which lines meet before their texts are compared."""
-    return int.from_bytes(d[:8], "little", signed=True)
+    """48 bits of a digest, by which lines meet before their texts are compared."""
+    return int.from_bytes(d[:6], "little")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
 
 
-#: The bytes of a row of a block: key, id, length with kind and role, counts.
-ROW = (6, 8, 2, 2)
+#: The bytes of a row of a block: key, id, length with kind and role, counts, place mod 256.
+ROW = (6, 6, 2, 2, 1)
 _MOST = (1 << 14) - 1
 
 
@@ -90,7 +90,7 @@ def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed rows) of distinct lines. A row's length is in the symbols of its key, 16,383 at most: two
     lengths are then nearer to each other than they are, never farther."""
     own = Lines(lines)
-    key, line, probe, words = keys(own)
+    key, line, probe, words, place = keys(own)
     if not len(key):
         return
     by_chars, by_words = own.counts()
@@ -98,7 +98,7 @@ def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
     n = np.minimum(np.where(words, own.words[line], own.chars[line]), _MOST)
     meta = n << 2 | words.astype(np.int64) << 1 | probe
     counts = _half(np.where(words, by_words[line], by_chars[line]))
-    yield from dealt(key, buckets, *zip((key, ident[line], meta, counts), ROW, strict=True))
+    yield from dealt(key, buckets, *zip((key, ident[line], meta, counts, place), ROW, strict=True))
 
 
 _MET = pa.schema([("key", pa.int64()), ("id", pa.int64())])
@@ -133,38 +133,40 @@ def meetings(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for body in buckets_of(batches):
-            key, ident, meta, counts = unpacked_all(body, ROW)
-            yield batch(_MET, *_met(key, ident.view(np.int64), meta.astype(np.uint16), counts.astype(np.uint16)))
+            key, ident, meta, counts, place = unpacked_all(body, ROW)
+            yield batch(_MET, *_met(key, ident.view(np.int64), meta.astype(np.uint16), counts.astype(np.uint16), place.astype(np.uint8)))
         tidy()
 
     own = docs.select("text").mapInArrow(signatures, "bucket bigint, body binary")
     return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint")
 
 
-def _fits(meta: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The edits that a row and another one may have by their kinds and lengths, the row being indexed and the other
-    probing; -1 if they can't be a pair."""
+def _fits(meta: np.ndarray, other: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The edits that a row and another one may have by their kinds, lengths and places, the row being indexed and the
+    other probing; -1 if they can't be a pair."""
     n, m = (x.astype(np.int64) >> 2 for x in (meta, other))
     words = meta & 2
     # Of the shorter line's words only the kind is known here; characters decide if it isn't by words.
     tau = threshold(n, np.where(words > 0, np.maximum(n, LONG), 0))
-    return np.where((words == other & 2) & (meta & 1 == 0) & (other & 1 == 1) & allowed(n, m, tau), tau, -1)
+    apart = place - there
+    apart = np.minimum(apart, 0 - apart)  # unsigned, of eight bits: the way round is the other way
+    return np.where((words == other & 2) & (meta & 1 == 0) & (other & 1 == 1) & allowed(n, m, tau) & (apart <= tau), tau, -1)
 
 
 def _quarters(counts: np.ndarray) -> np.ndarray:
     return (counts[..., None] >> np.arange(0, 16, 4, dtype=np.uint16) & 15).astype(np.int8)
 
 
-def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, id) of rows that have a partner under their key."""
     order = np.argsort(key)
-    key, ident, meta, counts = (c[order] for c in (key, ident, meta, counts))
+    key, ident, meta, counts, place = (c[order] for c in (key, ident, meta, counts, place))
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     size = np.diff(np.append(first, len(key)))
     # Of most keys there is one line only, in both roles.
     role = np.bitwise_or.reduceat(1 << (meta & 1), first)
     some = np.repeat((np.minimum.reduceat(ident, first) != np.maximum.reduceat(ident, first)) & (role == 3), size)
-    key, ident, meta, counts = (c[some] for c in (key, ident, meta, counts))
+    key, ident, meta, counts, place = (c[some] for c in (key, ident, meta, counts, place))
     if not len(key):
         return key.astype(np.int64), ident
     ok = np.zeros(len(key), bool)
@@ -173,7 +175,7 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
 
     def pairs(i: np.ndarray, j: np.ndarray) -> None:
         for a, b in ((i, j), (j, i)):
-            tau = _fits(meta[a], meta[b])
+            tau = _fits(meta[a], meta[b], place[a], place[b])
             k = np.nonzero((tau >= 0) & (ident[a] != ident[b]))[0]
             k = k[near(_quarters(counts[a[k]]), _quarters(counts[b[k]]), tau[k])]
             ok[a[k]] = ok[b[k]] = True
@@ -188,12 +190,12 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
     for g in np.nonzero(size > 64)[0].tolist():
         own = np.arange(first[g], first[g] + size[g])
         # Copies of a line, one from each batch of documents, count once.
-        own = own[np.unique(np.stack([ident[own], meta[own]]), axis=1, return_index=True)[1]]
+        own = own[np.unique(np.stack([ident[own], meta[own], place[own]]), axis=1, return_index=True)[1]]
         for words in (0, 2):
             mine = own[meta[own] & 2 == words]
             mine = mine[np.argsort(meta[mine] >> 2, kind="stable")]
             for i, j in _length_blocks(mine[meta[mine] & 1 == 0], mine[meta[mine] & 1 == 1], meta >> 2, words > 0):
-                tau = _fits(meta[i][:, None], meta[j][None])
+                tau = _fits(meta[i][:, None], meta[j][None], place[i][:, None], place[j][None])
                 m = (tau >= 0) & (ident[i][:, None] != ident[j][None])
                 m &= near(_quarters(counts[i])[:, None], _quarters(counts[j])[None], tau)
                 ok[i[m.any(1)]] = True
@@ -304,24 +306,26 @@ def _links(lines: list[str], a: np.ndarray, b: np.ndarray, degree: np.ndarray) -
 
 
 def _code(key: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mixed(key + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    """48 bits that stand for a key and a line, above 16 for a place."""
+    return mixed(key + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFFFF)
 
 
 def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Of rows (key, line), sorted by key: (distinct lines, links that join what all links join, each line's links).
 
-    A pair is a link here if its smallest common key is the one under which it stands.
+    A pair is judged under the smallest key that both have at places that its edits allow.
     """
     lines = sorted(set(text))
     place = {s: i for i, s in enumerate(lines)}
     row = np.array([place[s] for s in text], np.int64)
     own = Lines(lines)
-    k, who, probe, words = keys(own)
+    k, who, probe, words, place_in = keys(own)
     kinds = []
     for by_words, counts in zip((False, True), own.many_counts(), strict=True):
         index, other = (np.nonzero((words == by_words) & (probe == p))[0] for p in (False, True))
         index = index[np.lexsort((k[index], who[index]))]
-        kinds.append((by_words, own.words if by_words else own.chars, counts, who[index], k[index], np.sort(_code(k[index], who[index])), np.sort(_code(k[other], who[other]))))
+        known = [np.sort(_code(k[i], who[i]) | place_in[i].astype(np.uint64)) for i in (index, other)]
+        kinds.append((by_words, own.words if by_words else own.chars, counts, who[index], k[index], place_in[index], *known))
     parent, degree = np.arange(len(lines)), np.zeros(len(lines), np.int64)
     joined: list[tuple[np.ndarray, np.ndarray]] = []
     pending: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -332,7 +336,7 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
             judge_few(x[i : i + FEW], y[i : i + FEW], at[i : i + FEW], kind)
 
     def judge_few(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
-        by_words, length, many, idx_line, idx_key, _, prb = kind
+        by_words, length, many, idx_line, idx_key, idx_place, _, prb = kind
         tau = threshold(own.chars[x], own.words[x] if by_words else np.zeros_like(x))
         ok = allowed(length[x], length[y], tau) & ((length[x] < length[y]) | (x < y)) & (x != y)
         ok &= (np.minimum(own.words[x], own.words[y]) >= LONG) == by_words
@@ -341,15 +345,19 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
         x, y, at, tau = x[ok], y[ok], at[ok], tau[ok]
         if not len(x):
             return
-        # The indexed line's smaller keys, of each pair: none may be one of the other's.
+        # The indexed line's keys up to this one: the other one has this key, at a like place, and none before.
         lo, hi = np.searchsorted(idx_line, x), np.searchsorted(idx_line, x, side="right")
         pair = np.repeat(np.arange(len(x)), hi - lo)
-        each = idx_key[np.arange(len(pair)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)]
-        less = each < at[pair]
-        pair, each = pair[less], each[less]
-        before = np.zeros(len(x), bool)
-        before[pair[_in(_code(each, y[pair]), prb)]] = True
-        pending.append((by_words, x[~before], y[~before], tau[~before]))
+        entry = np.arange(len(pair)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
+        some = idx_key[entry] <= at[pair]
+        pair, entry = pair[some], entry[some]
+        near_by = _near_in(_code(idx_key[entry], y[pair]), idx_place[entry], tau[pair], prb)
+        pair, entry = pair[near_by], entry[near_by]
+        here, before = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        same = idx_key[entry] == at[pair]
+        here[pair[same]], before[pair[~same]] = True, True
+        ok = here & ~before
+        pending.append((by_words, x[ok], y[ok], tau[ok]))
         if sum(len(p[1]) for p in pending) >= PAIRS:
             settle()
 
@@ -366,11 +374,11 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
     def candidates(i: np.ndarray, j: np.ndarray, at: np.ndarray) -> None:
         """Rows i and j share the key at."""
         for kind in kinds:
-            length, index, prb = kind[1], kind[5], kind[6]
+            length, index, prb = kind[1], kind[6], kind[7]
             swap = (length[j] < length[i]) | (length[j] == length[i]) & (j < i)
             x, y = np.where(swap, j, i), np.where(swap, i, j)
-            on = np.nonzero(_in(_code(at, x), index))[0]
-            on = on[_in(_code(at[on], y[on]), prb)]
+            on = np.nonzero(_has(_code(at, x), index))[0]
+            on = on[_has(_code(at[on], y[on]), prb)]
             judge(x[on], y[on], at[on], kind)
 
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
@@ -385,10 +393,10 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
     for g in np.nonzero(size > 64)[0].tolist():
         mine, here = row[first[g] : first[g] + size[g]], key[first[g]]
         for kind in kinds:
-            length, index, prb = kind[1], kind[5], kind[6]
+            length, index, prb = kind[1], kind[6], kind[7]
             mine = mine[np.lexsort((mine, length[mine]))]
             this = np.full(len(mine), here, np.uint64)
-            x, y = mine[_in(_code(this, mine), index)], mine[_in(_code(this, mine), prb)]
+            x, y = mine[_has(_code(this, mine), index)], mine[_has(_code(this, mine), prb)]
             for p, q in _length_blocks(x, y, length, kind[0]):
                 judge(np.repeat(p, len(q)), np.tile(q, len(p)), np.full(len(p) * len(q), here, np.uint64), kind)
     settle()
@@ -415,6 +423,20 @@ def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: np.ndarray, by_words:
     return out
 
 
+def _has(code: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among known ones, at whatever place."""
+    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
+    return known[at] & ~np.uint64(0xFFFF) == code if len(known) else np.zeros(len(code), bool)
+
+
+def _near_in(code: np.ndarray, place: np.ndarray, reach: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among known ones at a place not farther than reach."""
+    low = code | np.maximum(place - reach, 0).astype(np.uint64)
+    high = code | np.minimum(place + reach, 0xFFFF).astype(np.uint64)
+    at = np.searchsorted(known, low)
+    return np.append(known, ~np.uint64(0))[at] <= high
+
+
 def _in(code: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which codes are among sorted known ones."""
     if not len(known):

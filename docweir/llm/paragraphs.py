@@ -40,7 +40,7 @@ RECALL = 0.998
 #: Words of a passage that the query looks for.
 PASSAGE = 30
 #: The bytes of a row of a block: key and id; an anchor's key and whether it repeats.
-ROW, ANCHOR = (6, 8), (6,)
+ROW, ANCHOR = (6, 6), (6,)
 
 
 def tune(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:

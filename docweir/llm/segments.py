@@ -11,7 +11,8 @@ A line of threshold tau is cut into tau + 1 segments, of which one is whole in e
 - Words: there are many segments, and the places that are left grow with tau's square. So a segment is indexed under
   the smallest hash of its runs of GRAM words, and a line probes with the smallest hash of each stretch of its own that
   is as long as the shortest segment it may meet. Wherever a segment lies whole in the line, its smallest hash is also
-  that of some stretch inside: the pair meets, always.
+  that of some stretch inside: the pair meets, always, at places that differ by tau at most, as edits before the
+  segment move it no farther.
 
 Everything is computed for all lines of a batch at once, with hashes of substrings taken as differences of prefix sums.
 """
@@ -115,16 +116,16 @@ def near(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
     return np.minimum(d, 16 - d).sum(-1) <= 2 * tau
 
 
-#: Columns of keys: the key, of KEY_BITS bits, the line, whether it probes, whether edits are of words.
-Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-KEY_BITS = 48
+#: Columns of keys: the key, of 48 bits, the line, whether it probes, whether edits are of words, the place in the line:
+#: 0 where the key has it already, 65,535 at most.
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_PLACE = np.uint64((1 << 16) - 1)
 
 
 def keys(own: Lines) -> Keys:
     """All keys of the lines."""
     parts = [*_by_chars(own), *_by_words(own)]
-    h, *rest = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate((np.uint64, np.int64, bool, bool)))
-    return h >> np.uint64(64 - KEY_BITS), *rest
+    return tuple(np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate((np.uint64, np.int64, bool, bool, np.int64)))
 
 
 def _by_chars(own: Lines) -> list[Keys]:
@@ -141,7 +142,7 @@ def _by_chars(own: Lines) -> list[Keys]:
     def add(line: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, number: np.ndarray | int, probe: bool) -> None:
         h = sums.hash(first[line] + start, first[line] + start + size)
         h = mixed(h + (length * (EDITS + 1) + number + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        out.append((h, pick[line], np.full(len(line), probe), np.zeros(len(line), bool)))
+        out.append((h >> np.uint64(16), pick[line], np.full(len(line), probe), np.zeros(len(line), bool), np.zeros(len(line), np.int64)))
 
     line, number, start, size = cuts(n, np.minimum(EDITS, n // SHARE))
     add(line, start, size, n[line], number, False)
@@ -168,6 +169,8 @@ def _by_words(own: Lines) -> list[Keys]:
     first = np.cumsum(n) - n
     line = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(gram)) - first[line]
+    # Of equal hashes the first one is the smallest, on both sides.
+    gram = gram & ~_PLACE | np.minimum(at.astype(np.uint64), _PLACE)
     # Segments.
     who, _, start, size = cuts(n, n // SHARE)
     bounds = np.stack([first[who] + start, first[who] + start + size - GRAM + 1], 1).ravel()
@@ -184,10 +187,8 @@ def _by_words(own: Lines) -> list[Keys]:
     new = np.ones(len(gram), bool)
     new[1:] = (best[1:] != best[:-1]) | (at[1:] == 0)
     found = np.nonzero(ok & new)[0]
-    return [
-        (least, pick[who], np.zeros(len(who), bool), np.ones(len(who), bool)),
-        (best[found], pick[line[found]], np.ones(len(found), bool), np.ones(len(found), bool)),
-    ]
+    rows = [(least, pick[who], False), (best[found], pick[line[found]], True)]
+    return [(h >> np.uint64(16), k, np.full(len(h), probe), np.ones(len(h), bool), (h & _PLACE).astype(np.int64)) for h, k, probe in rows]
 
 
 def allowed(shorter: np.ndarray, longer: np.ndarray, tau: np.ndarray) -> np.ndarray:

@@ -461,10 +461,10 @@ def test_keys_miss_no_pair():
             v = altered(rng, w, n // 9 + 1, some) if n >= 18 and rng.random() < 0.8 else list("".join(altered(rng, " ".join(w), 3, "ab ")).split())
             pairs.append((" ".join(w), " ".join(v) or "x"))
     own = segments.Lines([s for p in pairs for s in p])
-    key, line, probe, words_ = segments.keys(own)
+    key, line, probe, words_, place = segments.keys(own)
     roles = [set(), set()]
-    for k, i, p, w in zip(key.tolist(), line.tolist(), probe.tolist(), words_.tolist(), strict=True):
-        roles[p].add((i, k, w))
+    for k, i, p, w, at in zip(key.tolist(), line.tolist(), probe.tolist(), words_.tolist(), place.tolist(), strict=True):
+        roles[p].add((i, k, w, at))
     linked = 0
     for i, (a, b) in enumerate(pairs):
         if a != b and linked_lines(a, b):
@@ -473,7 +473,9 @@ def test_keys_miss_no_pair():
             n = own.words if by_words else own.chars
             x, y = (x, y) if n[x] <= n[y] else (y, x)
             linked += 1
-            assert {k for j, k, w in roles[0] if j == x and w == by_words} & {k for j, k, w in roles[1] if j == y and w == by_words}
+            tau = n[x] // 10
+            mine, other = ([(k, at) for j, k, w, at in roles[r] if j == i and w == by_words] for r, i in ((0, x), (1, y)))
+            assert any(k == m and abs(at - p) <= tau for k, at in mine for m, p in other)
     assert linked > 150
 
 
