@@ -215,6 +215,15 @@ def read_token_orc(spark, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
+def documents_of(spark, path: str, ids: list[int]) -> DataFrame:
+    """(doc_id, part, part_start, n_tokens, ids) of the documents with these ids, a list that fits a plan.
+
+    The ids reach the files' readers: stripes and groups of rows are passed over by their least and greatest ids, and
+    those that might hold one by their Bloom filters.
+    """
+    return spark.read.schema(ORC_SCHEMA).orc(path).where(F.col("doc_id").isin([int(i) for i in ids]))
+
+
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in batches:

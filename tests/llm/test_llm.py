@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docweir.llm import components, decontam, edits, lines, media, packing, paragraphs, pii, quality, segments, simhash, suffix, tokens
 
@@ -129,6 +130,25 @@ def test_token_orc(docs, ids, empty, repeated, spark, tmp_path):
     assert len(starts) == 5 and 0 in starts
 
 
+def test_token_orc_by_id_reads_few_rows(spark, tmp_path):
+    """Rows that readers decode for an id: a group's, or none if the Bloom filter tells that it isn't there."""
+    path = f"file://{tmp_path}/t.orc"
+    docs = spark.range(6000).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("words of "), F.col("id")).alias("text"))
+    tokens.write_token_orc(docs.repartition(4), path)
+
+    def read(*own):
+        df = tokens.documents_of(spark, path, list(own))
+        found = sorted(r["doc_id"] for r in df.collect())
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numOutputRows").value()
+
+    found, rows_ = read(700)
+    assert found == [700] and 0 < rows_ <= 1000
+    assert read(701)[0] == [] and read(702)[1] == 0
+    found, rows_ = read(0, 7 * 5999)
+    assert found == [0, 7 * 5999] and rows_ <= 2000
+
+
 def test_encoder_slices_and_odd_characters():
     """Slices of an Arrow array, characters whose lower case grows, marks around words, spaces of every kind."""
     from tokenizers import Tokenizer
