@@ -8,6 +8,7 @@ bounded whatever the benchmark's size; several blocks mean several scans, whose
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,6 +94,17 @@ class Windows:
             yield j - i, hit[i:j], items.get(d, set())
 
 
+_built: dict[str, Windows] = {}
+
+
+def _windows(name: str, items: list[tuple[object, str | None]], window: int) -> Windows:
+    """The windows of a block, built once in a worker, which keeps those of the last block that it had to do with."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Windows(items, window)
+    return _built[name]
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[Callable[[], list[tuple[object, str | None]]]]:
     """Functions that fetch a block each: block_words words, about, and one item's at least."""
     rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -113,10 +125,10 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, b
     schema = out.schema
     blocks = list(_blocks(benchmark, item_col, item_text, block_words))
     for nth, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block())
+        sent, name = spark.sparkContext.broadcast(block()), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found = Windows(sent.value, window)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            found = _windows(name, sent.value, window)
             for b in slices(batches, text_col):
                 at = {n: b.schema.get_field_index(n) for n in (text_col, count, bits, items)}
                 n, packed, which = [], [], []
@@ -127,8 +139,8 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int, b
                     packed.append(np.packbits(hit).tobytes() if hit.any() else b"")
                     which.append(sorted({*before, *(str(i) for i in ids if i is not None)}))
                 columns = list(b.columns)
-                for name, v in ((count, n), (bits, packed), (items, which)):
-                    columns[at[name]] = pa.array(v, b.schema.field(at[name]).type)
+                for c, v in ((count, n), (bits, packed), (items, which)):
+                    columns[at[c]] = pa.array(v, b.schema.field(at[c]).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
         out = out.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from docweir.llm.common import _join, batch, forget, free_names, id_text, lookup
 from docweir.llm.components import components
 from docweir.llm.edits import within, within_pairs
 from docweir.llm.hashing import dealt, mixed, unpacked
-from docweir.llm.segments import LONG, Lines, allowed, keys, near, threshold
+from docweir.llm.segments import LONG, Lines, allowed, keys, threshold
 
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
@@ -101,7 +101,9 @@ def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
     yield from dealt(key, buckets, *zip((key, ident[line], meta, counts, place), ROW, strict=True))
 
 
-_MET = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+_MET = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8())])
+#: A role: indexed, probing, under a key of words.
+INDEXED, PROBES, WORDS = 1, 2, 4
 
 
 def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -123,7 +125,7 @@ def unpacked_all(blocks: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray
 
 
 def meetings(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, id): lines that may be within the threshold of another one under that key."""
+    """(key, id, role): lines that may be within the threshold of another one under that key."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
@@ -138,7 +140,7 @@ def meetings(docs: DataFrame, buckets: int) -> DataFrame:
         tidy()
 
     own = docs.select("text").mapInArrow(signatures, "bucket bigint, body binary")
-    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint")
+    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint, role tinyint")
 
 
 def _fits(meta: np.ndarray, other: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -153,12 +155,19 @@ def _fits(meta: np.ndarray, other: np.ndarray, place: np.ndarray, there: np.ndar
     return np.where((words == other & 2) & (meta & 1 == 0) & (other & 1 == 1) & allowed(n, m, tau) & (apart <= tau), tau, -1)
 
 
-def _quarters(counts: np.ndarray) -> np.ndarray:
-    return (counts[..., None] >> np.arange(0, 16, 4, dtype=np.uint16) & 15).astype(np.int8)
+_HALF = np.array([[min((x - y) % 16, (y - x) % 16) for y in range(16)] for x in range(16)], np.uint8)
+#: How far apart two counts and two more are, mod 16, by two bytes.
+_APART = (_HALF[:, None, :, None] + _HALF[None, :, None, :]).ravel()
 
 
-def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, id) of rows that have a partner under their key."""
+def _alike(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Whether the counts of two rows allow tau edits."""
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    return _APART[(a & 255) << 8 | b & 255].astype(np.int64) + _APART[a & 0xFF00 | b >> 8] <= 2 * tau
+
+
+def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, id, role) of rows that have a partner under their key."""
     order = np.argsort(key)
     key, ident, meta, counts, place = (c[order] for c in (key, ident, meta, counts, place))
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
@@ -168,7 +177,7 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
     some = np.repeat((np.minimum.reduceat(ident, first) != np.maximum.reduceat(ident, first)) & (role == 3), size)
     key, ident, meta, counts, place = (c[some] for c in (key, ident, meta, counts, place))
     if not len(key):
-        return key.astype(np.int64), ident
+        return key.astype(np.int64), ident, meta.astype(np.int8)
     ok = np.zeros(len(key), bool)
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     size = np.diff(np.append(first, len(key)))
@@ -177,7 +186,7 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
         for a, b in ((i, j), (j, i)):
             tau = _fits(meta[a], meta[b], place[a], place[b])
             k = np.nonzero((tau >= 0) & (ident[a] != ident[b]))[0]
-            k = k[near(_quarters(counts[a[k]]), _quarters(counts[b[k]]), tau[k])]
+            k = k[_alike(counts[a[k]], counts[b[k]], tau[k])]
             ok[a[k]] = ok[b[k]] = True
 
     at = np.nonzero(np.repeat(size <= 64, size))[0]
@@ -197,14 +206,16 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
             for i, j in _length_blocks(mine[meta[mine] & 1 == 0], mine[meta[mine] & 1 == 1], meta >> 2, words > 0):
                 tau = _fits(meta[i][:, None], meta[j][None], place[i][:, None], place[j][None])
                 m = (tau >= 0) & (ident[i][:, None] != ident[j][None])
-                m &= near(_quarters(counts[i])[:, None], _quarters(counts[j])[None], tau)
+                m &= _alike(counts[i][:, None], counts[j][None], tau)
                 ok[i[m.any(1)]] = True
                 ok[j[m.any(0)]] = True
-    key, ident = key[ok], ident[ok]
-    one = np.lexsort((ident, key))
-    key, ident = key[one], ident[one]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])])[: len(key)]
-    return key[new].astype(np.int64), ident[new]
+    key, ident, meta = key[ok], ident[ok], meta[ok]
+    words = meta & 2
+    one = np.lexsort((words, ident, key))
+    key, ident, words, meta = (c[one] for c in (key, ident, words, meta))
+    new = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]) | (words[1:] != words[:-1])])[: len(key)])[0]
+    role = np.bitwise_or.reduceat(np.where(meta & 1 == 1, PROBES, INDEXED) | np.where(words > 0, WORDS, 0), new) if len(new) else meta
+    return key[new].astype(np.int64), ident[new], role.astype(np.int8)
 
 
 def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,8 +264,8 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def team_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Rows (key, line), sorted, of whole teams, some CHUNK characters of lines together, of batches (team, line, keys)
-    sorted by team."""
+    """Rows (key << 3 | role, line), sorted, of whole teams, some CHUNK characters of lines together, of batches (team,
+    line, keys) sorted by team."""
     team, own, size = [], [], 0
     for b in with_end(batches):
         if b is not None:
@@ -282,19 +293,19 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, line in team_chunks(batches):
-            yield _links(*_verified(key.astype(np.uint64), line))
+            yield _links(*_verified(key, line))
 
     rows = _teams(met).join(texts, "id").select("team", "line", "keys")
     return rows.repartition(buckets, "team").sortWithinPartitions("team").mapInArrow(verify, "a binary, b binary, n bigint")
 
 
 def _teams(met: DataFrame) -> DataFrame:
-    """(team, id, keys): each key goes to one team, keys of the same lines mostly to the same one, so that a line's text
+    """(team, id, keys): keys with their roles, below; each key goes to one team, keys of the same lines mostly to the same one, so that a line's text
     travels once for most of its keys. A team is named by the smallest key that a key's lines have."""
     least = Window.partitionBy("id")
     by_id = met.repartition("id").withColumn("least", F.min("key").over(least))
     by_key = by_id.repartition("key").withColumn("team", F.min("least").over(Window.partitionBy("key")))
-    return by_key.repartition("id").groupBy("id", "team").agg(F.collect_list("key").alias("keys"))
+    return by_key.repartition("id").groupBy("id", "team").agg(F.collect_list(F.shiftleft("key", 3).bitwiseOR(F.col("role").cast("long"))).alias("keys"))
 
 
 def _links(lines: list[str], a: np.ndarray, b: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
@@ -311,23 +322,23 @@ def _code(key: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (key, line), sorted by key: (distinct lines, links that join what all links join, each line's links).
+    """Of rows (key << 3 | role, line), sorted: (distinct lines, stars of what links join, each line's links).
 
     A pair is judged under the smallest key that both have at places that its edits allow.
     """
     lines = sorted(set(text))
     place = {s: i for i, s in enumerate(lines)}
     row = np.array([place[s] for s in text], np.int64)
+    role, key = key & 7, (key >> 3).astype(np.uint64)
     own = Lines(lines)
     k, who, probe, words, place_in = keys(own)
     kinds = []
     for by_words, counts in zip((False, True), own.many_counts(), strict=True):
         index, other = (np.nonzero((words == by_words) & (probe == p))[0] for p in (False, True))
         index = index[np.lexsort((k[index], who[index]))]
-        known = [np.sort(_code(k[i], who[i]) | place_in[i].astype(np.uint64)) for i in (index, other)]
-        kinds.append((by_words, own.words if by_words else own.chars, counts, who[index], k[index], place_in[index], *known))
+        known = np.sort(_code(k[other], who[other]) | place_in[other].astype(np.uint64))
+        kinds.append((by_words, own.words if by_words else own.chars, counts, who[index], k[index], place_in[index], known))
     parent, degree = np.arange(len(lines)), np.zeros(len(lines), np.int64)
-    joined: list[tuple[np.ndarray, np.ndarray]] = []
     pending: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def judge(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
@@ -336,7 +347,7 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
             judge_few(x[i : i + FEW], y[i : i + FEW], at[i : i + FEW], kind)
 
     def judge_few(x: np.ndarray, y: np.ndarray, at: np.ndarray, kind: tuple) -> None:
-        by_words, length, many, idx_line, idx_key, idx_place, _, prb = kind
+        by_words, length, many, idx_line, idx_key, idx_place, known = kind
         tau = threshold(own.chars[x], own.words[x] if by_words else np.zeros_like(x))
         ok = allowed(length[x], length[y], tau) & ((length[x] < length[y]) | (x < y)) & (x != y)
         ok &= (np.minimum(own.words[x], own.words[y]) >= LONG) == by_words
@@ -351,7 +362,7 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
         entry = np.arange(len(pair)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
         some = idx_key[entry] <= at[pair]
         pair, entry = pair[some], entry[some]
-        near_by = _near_in(_code(idx_key[entry], y[pair]), idx_place[entry], tau[pair], prb)
+        near_by = _near_in(_code(idx_key[entry], y[pair]), idx_place[entry], tau[pair], known)
         pair, entry = pair[near_by], entry[near_by]
         here, before = np.zeros(len(x), bool), np.zeros(len(x), bool)
         same = idx_key[entry] == at[pair]
@@ -368,18 +379,21 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
             good = _close(own, x, y, tau, kind)
             x, y = x[good], y[good]
             degree[:] += np.bincount(np.concatenate([x, y]), minlength=len(lines))
-            _join_all(parent, x, y, joined)
+            _join_all(parent, x, y)
         pending.clear()
 
-    def candidates(i: np.ndarray, j: np.ndarray, at: np.ndarray) -> None:
-        """Rows i and j share the key at."""
+    def candidates(i: np.ndarray, j: np.ndarray) -> None:
+        """Rows i and j share a key."""
+        ok = (role[i] & WORDS) == (role[j] & WORDS)
+        i, j = i[ok], j[ok]
         for kind in kinds:
-            length, index, prb = kind[1], kind[6], kind[7]
-            swap = (length[j] < length[i]) | (length[j] == length[i]) & (j < i)
-            x, y = np.where(swap, j, i), np.where(swap, i, j)
-            on = np.nonzero(_has(_code(at, x), index))[0]
-            on = on[_has(_code(at[on], y[on]), prb)]
-            judge(x[on], y[on], at[on], kind)
+            mine = ((role[i] & WORDS) > 0) == kind[0]
+            a, b = i[mine], j[mine]
+            n, m = kind[1][row[a]], kind[1][row[b]]
+            swap = (m < n) | (m == n) & (row[b] < row[a])
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            on = (role[a] & INDEXED > 0) & (role[b] & PROBES > 0)
+            judge(row[a[on]], row[b[on]], key[a[on]], kind)
 
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     size = np.diff(np.append(first, len(key)))
@@ -389,19 +403,17 @@ def _verified(key: np.ndarray, text: list[str]) -> tuple[list[str], np.ndarray,
         at = at[key[at + d] == key[at]]
         if not len(at):
             break
-        candidates(row[at], row[at + d], key[at])
+        candidates(at, at + d)
     for g in np.nonzero(size > 64)[0].tolist():
-        mine, here = row[first[g] : first[g] + size[g]], key[first[g]]
+        mine, here = np.arange(first[g], first[g] + size[g]), key[first[g]]
         for kind in kinds:
-            length, index, prb = kind[1], kind[6], kind[7]
-            mine = mine[np.lexsort((mine, length[mine]))]
-            this = np.full(len(mine), here, np.uint64)
-            x, y = mine[_has(_code(this, mine), index)], mine[_has(_code(this, mine), prb)]
-            for p, q in _length_blocks(x, y, length, kind[0]):
-                judge(np.repeat(p, len(q)), np.tile(q, len(p)), np.full(len(p) * len(q), here, np.uint64), kind)
+            length = kind[1][row]
+            some = mine[((role[mine] & WORDS) > 0) == kind[0]]
+            some = some[np.lexsort((row[some], length[some]))]
+            for p, q in _length_blocks(some[role[some] & INDEXED > 0], some[role[some] & PROBES > 0], length, kind[0]):
+                judge(np.repeat(row[p], len(q)), np.tile(row[q], len(p)), np.full(len(p) * len(q), here, np.uint64), kind)
     settle()
-    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in joined)]) for i in (0, 1))
-    return lines, a, b, degree
+    return lines, *stars(lines, parent), degree
 
 
 def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: np.ndarray, by_words: bool) -> np.ndarray:
@@ -423,12 +435,6 @@ def _close(own: Lines, x: np.ndarray, y: np.ndarray, tau: np.ndarray, by_words:
     return out
 
 
-def _has(code: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which codes are among known ones, at whatever place."""
-    at = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-    return known[at] & ~np.uint64(0xFFFF) == code if len(known) else np.zeros(len(code), bool)
-
-
 def _near_in(code: np.ndarray, place: np.ndarray, reach: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which codes are among known ones at a place not farther than reach."""
     low = code | np.maximum(place - reach, 0).astype(np.uint64)
@@ -444,25 +450,34 @@ def _in(code: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
 
 
-def _join_all(parent: np.ndarray, x: np.ndarray, y: np.ndarray, joined: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Joins x[k] and y[k]; appends the links that joined something. parent names each line's root."""
-    used = np.nonzero(parent[x] != parent[y])[0].tolist()
-    kept = []
+def _join_all(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins x[k] and y[k]. parent names each line's root."""
+    some = parent[x] != parent[y]
+    if not some.any():
+        return
 
     def root(i: int) -> int:
         while (p := int(parent[i])) != i:
             parent[i] = i = int(parent[p])
         return i
 
-    for k in used:
-        a, b = root(int(x[k])), root(int(y[k]))
+    for i, j in zip(x[some].tolist(), y[some].tolist(), strict=True):
+        a, b = root(i), root(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            kept.append(k)
-    if kept:
-        while not np.array_equal(up := parent[parent], parent):
-            parent[:] = up
-        joined.append((x[kept], y[kept]))
+    while not np.array_equal(up := parent[parent], parent):
+        parent[:] = up
+
+
+def stars(lines: list[str], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, line) for the lines of each group of several but its centre: that of the smallest digest, which is the
+    root of its component if that is the group alone."""
+    size = np.bincount(parent, minlength=len(parent))
+    some = np.nonzero(size[parent] > 1)[0]
+    order = sorted(some.tolist(), key=lambda i: digest(lines[i]))
+    centre: dict[int, int] = {}
+    out = [(c, i) for i in order if (c := centre.setdefault(int(parent[i]), i)) != i]
+    return np.array([c for c, _ in out], np.int64), np.array([i for _, i in out], np.int64)
 
 
 def first_places(found: DataFrame, classes: DataFrame, rows: int) -> DataFrame:

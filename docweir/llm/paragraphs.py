@@ -32,7 +32,7 @@ from docweir.llm.common import _join, batch, forget, id_text, ready, slices, sta
 from docweir.llm.components import components
 from docweir.llm.edits import within
 from docweir.llm.hashing import Words, dealt, mixed, smallest
-from docweir.llm.lines import BUCKET, _in, _join_all, _keyed, _MET, _teams, buckets_of, digest, filter_of, first_places, held_in, lines_of, occurrences, short, team_chunks, unpacked_all, wanted_texts
+from docweir.llm.lines import BUCKET, _in, _join_all, _keyed, _MET, _teams, buckets_of, digest, filter_of, first_places, held_in, lines_of, occurrences, short, stars, team_chunks, unpacked_all, wanted_texts
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -69,7 +69,7 @@ def _band_keys(lines: list[str], width: int, bands: int, rows: int) -> np.ndarra
 
 
 def collisions(docs: DataFrame, width: int, bands: int, rows: int, buckets: int) -> DataFrame:
-    """(key, id): paragraphs that share a band with a different one."""
+    """(key, id, role): paragraphs that share a band with a different one; the role says nothing."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("body", pa.binary())])
@@ -91,16 +91,16 @@ def collisions(docs: DataFrame, width: int, bands: int, rows: int, buckets: int)
             key, ident = key[one], ident[one]
             same = key[1:] == key[:-1]
             ok = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield batch(_MET, key[ok], ident[ok])
+            yield batch(_MET, key[ok], ident[ok], np.zeros(int(ok.sum()), np.int8))
         tidy()
 
     own = docs.select("text").mapInArrow(sign, "bucket bigint, body binary")
-    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint")
+    return own.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key bigint, id bigint, role tinyint")
 
 
 def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int, tau: int | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Of rows (key, paragraph), sorted by key: (distinct paragraphs, links that join what all near pairs under a key
-    join). Pairs that are joined already aren't compared."""
+    """Of rows (key, paragraph), sorted by key: (distinct paragraphs, stars of what near pairs under a key join). Pairs
+    that are joined already aren't compared."""
     lines = sorted(set(text))
     place = {s: i for i, s in enumerate(lines)}
     row = np.array([place[s] for s in text], np.int64)
@@ -114,7 +114,6 @@ def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int
     line_code = np.uint64(0x9E3779B97F4A7C15)
     known = np.sort(mixed(h + who.astype(np.uint64) * line_code))
     parent = np.arange(len(lines))
-    joined: list[tuple[np.ndarray, np.ndarray]] = []
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = size[x]
@@ -136,7 +135,7 @@ def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int
         for i in range(0, len(x), step):
             p, q = x[i : i + step], y[i : i + step]
             good = near(p, q)
-            _join_all(parent, p[good], q[good], joined)
+            _join_all(parent, p[good], q[good])
 
     start = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     length = np.diff(np.append(start, len(key)))
@@ -145,8 +144,7 @@ def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int
         at = at[at + d < len(key)]
         at = at[key[at + d] == key[at]]
         compare(row[at], row[at + d])
-    a, b = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in joined)]) for i in (0, 1))
-    return lines, a, b
+    return lines, *stars(lines, parent)
 
 
 def near_links(docs: DataFrame, buckets: int = 1, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, tau: int | None = None) -> DataFrame:

@@ -111,11 +111,6 @@ def _packed(line: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
     return (c << (np.arange(8, dtype=np.uint32) * np.uint32(4))).sum(1, dtype=np.uint32)
 
 
-def near(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
-    d = np.abs(a - b)
-    return np.minimum(d, 16 - d).sum(-1) <= 2 * tau
-
-
 #: Columns of keys: the key, of 48 bits, the line, whether it probes, whether edits are of words, the place in the line:
 #: 0 where the key has it already, 65,535 at most.
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
