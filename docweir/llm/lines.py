@@ -540,9 +540,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("class_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_links", pa.int64()), ("kept_sha256", pa.string())])
         for b in slices(batches):
-            drop = [d or [] for d in b.column("drop").to_pylist()]
-            kept = [hashlib.sha256(_without(t, d).encode()).hexdigest() for t, d in zip(b.column("text").to_pylist(), drop, strict=True)]
-            n = [len(lines_of(t)) for t in b.column("text").to_pylist()]
+            drop, text = [d or [] for d in b.column("drop").to_pylist()], b.column("text").to_pylist()
+            kept = [hashlib.sha256((_without(t, d) if d else t).encode()).hexdigest() for t, d in zip(text, drop, strict=True)]
+            n = [sum(map(bool, map(str.strip, t.split("\n")))) for t in text]
             yield batch(schema, b.column("doc_id"), b.column("class_id"), n, [len(d) for d in drop], b.column("n_links"), kept)
 
     joined = _join(own, info, ["doc_id", "of"], ["drop", "n_links", "keep_doc"], "left")

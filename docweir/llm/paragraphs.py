@@ -383,7 +383,7 @@ def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             text, drop = b.column("text").to_pylist(), [d or [] for d in b.column("drop").to_pylist()]
-            n = [len(lines_of(t)) for t in text]
+            n = [sum(map(bool, map(str.strip, t.split("\n")))) for t in text]
             yield batch(schema, b.column("doc_id"), b.column("of"), b.column("class_id"), n, [len(d) for d in drop], [0] * len(n), [without(t, d) for t, d in zip(text, drop, strict=True)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
