@@ -361,8 +361,11 @@ def test_discriminant_is_the_gaussian_one():
     x = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(2, 0.5, (800, 3))])
     y = np.repeat([0, 1], [500, 800])
     n = np.array([500.0, 800.0])
-    m = quality.Discriminant.fit(n, np.stack([x[y == c].sum(0) for c in (0, 1)]), np.stack([x[y == c].T @ x[y == c] for c in (0, 1)]), shrink=0, diagonal=0)
+    m = quality.Discriminant.fit(n, np.stack([x[y == c].sum(0) for c in (0, 1)]), np.stack([x[y == c].T @ x[y == c] for c in (0, 1)]), shrink=0)
     assert ((m.score(x) >= 0.5) == y).mean() > 0.98
+    s = np.cov(rng.normal(0, 1, (50, 12)).T)
+    low = quality.cholesky(s)
+    assert np.allclose(low @ low.T, s) and np.allclose(quality.inverse_of(low) @ low, np.eye(12)) and not np.triu(low, 1).any()
 
 
 # ------------------------------------------------------------------------------------------ SimHash
