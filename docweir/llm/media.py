@@ -158,20 +158,21 @@ def _ranges(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa
 
 
 def metadata(at: DataFrame, folder: str) -> DataFrame:
-    """(digest, width, height, bits): filled by range reads of headers; no payload is read."""
+    """places with width, height and bits, filled by range reads of headers; no payload is read."""
     ready(at.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, rows = pa.schema([("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())]), []
+        schema = pa.schema([("digest", pa.string()), ("shard", pa.string()), *((n, pa.int64()) for n in ("offset", "length", "width", "height", "bits"))])
+        rows = []
         for row, (head, _) in _ranges(batches, folder):
-            rows.append((row.column("digest")[0].as_py(), *read_header(head)[:3]))
+            rows.append((*(c[0].as_py() for c in row.columns), *read_header(head)[:3]))
             if len(rows) >= 1000:
                 yield batch(schema, *map(list, zip(*rows, strict=True)))
                 rows = []
         if rows:
             yield batch(schema, *map(list, zip(*rows, strict=True)))
 
-    return _in_order(at).mapInArrow(run, "digest string, width bigint, height bigint, bits bigint")
+    return _in_order(at).mapInArrow(run, "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, bits bigint")
 
 
 def _in_order(at: DataFrame) -> DataFrame:
@@ -183,9 +184,10 @@ def _in_order(at: DataFrame) -> DataFrame:
 
 
 def features(at: DataFrame, folder: str) -> DataFrame:
-    """Per digest, from the stored bytes: sizes, digests, and a feature text of the samples' figures."""
+    """Per digest, from the stored bytes: sizes, digests, and a feature text of the samples' figures. The payload's
+    own sha256 is the digest: bytes of which it isn't are an error."""
     ready(at.sparkSession)
-    kinds = [("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    kinds = [("digest", pa.string()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, rows = pa.schema(kinds), []
@@ -198,14 +200,14 @@ def features(at: DataFrame, folder: str) -> DataFrame:
             s = np.frombuffer(payload, np.uint8)
             histogram = ".".join(map(str, np.bincount(s >> 5, minlength=8).tolist()))
             feature = f"{int(s.sum(dtype=np.int64))}:{s.min()}:{s.max()}:{histogram}"
-            rows.append((sha, len(payload), sha, zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+            rows.append((sha, len(payload), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             if len(rows) >= 1000:
                 yield batch(schema, *map(list, zip(*rows, strict=True)))
                 rows = []
         if rows:
             yield batch(schema, *map(list, zip(*rows, strict=True)))
 
-    return _in_order(at).mapInArrow(run, "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return _in_order(at).mapInArrow(run, "digest string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, **columns) -> DataFrame:
@@ -214,9 +216,9 @@ def media_columns(docs: DataFrame, **columns) -> DataFrame:
     index = staged(write_shards(docs, folder, **columns), "index")
     at = staged(places(index), "places")
     # Columns of the metadata come from headers alone, those of the features from whole payloads.
-    got = at.join(features(at, folder), "digest").join(metadata(at, folder), "digest")
+    got = features(at, folder).join(metadata(at, folder), "digest")
     got = staged(got.withColumn("feature", F.concat_ws(":", F.concat_ws("x", "width", "height", "bits"), "feature")), "features")
-    return lookup(index.select("doc_id", "digest", "n_bytes"), got, ["digest"], index.count())
+    return lookup(index.select("doc_id", "digest", "n_bytes"), got, ["digest"], index.count()).withColumn("payload_sha256", F.col("digest"))
 
 
 def read_member(folder: str, shard: str, offset: int, length: int) -> bytes:
