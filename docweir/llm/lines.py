@@ -7,8 +7,9 @@ its first line (by doc_id, then line) go. No pair within the threshold is missed
 1. Each line gives keys: of its segments, under which it is indexed, and of its substrings, by which it probes.
 2. Keys travel in packed blocks, dealt to buckets of bounded size; in a bucket, rows stay that share a key with
    another line, in the other role, whose length and counts of symbols allow the threshold.
-3. The texts of these lines are fetched; a pair is verified by banded bit-parallel edit distance under the smallest key
-   at which it meets.
+3. The texts of these lines are fetched. Under keys of many lines, such as those of a passage that other lines have
+   too, rows go again whose 64 counts of symbols allow no partner: of each line 64 bytes meet there, not its text.
+4. A pair is verified by banded bit-parallel edit distance under the smallest key at which it meets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from docweir.llm.common import _join, batch, forget, free_names, id_text, lookup
 from docweir.llm.components import components
 from docweir.llm.edits import within, within_pairs
 from docweir.llm.hashing import dealt, mixed, unpacked
-from docweir.llm.segments import LONG, Lines, allowed, keys, threshold
+from docweir.llm.segments import EDITS, LONG, Lines, allowed, keys, threshold
 
 #: Bits of the filter of wanted lines that scans get: 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
@@ -102,8 +103,9 @@ def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
 
 
 _MET = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8())])
-#: A role: indexed, probing, under a key of words.
-INDEXED, PROBES, WORDS = 1, 2, 4
+#: A role: indexed, probing, under a key of words, under a key of more than MANY lines.
+INDEXED, PROBES, WORDS, COMMON = 1, 2, 4, 8
+MANY = 64
 
 
 def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -215,7 +217,9 @@ def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarra
     key, ident, words, meta = (c[one] for c in (key, ident, words, meta))
     new = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]) | (words[1:] != words[:-1])])[: len(key)])[0]
     role = np.bitwise_or.reduceat(np.where(meta & 1 == 1, PROBES, INDEXED) | np.where(words > 0, WORDS, 0), new) if len(new) else meta
-    return key[new].astype(np.int64), ident[new], role.astype(np.int8)
+    key = key[new].astype(np.int64)
+    _, at, size = np.unique(key, return_inverse=True, return_counts=True)
+    return key, ident[new], (role | np.where(size[at] > MANY, COMMON, 0)).astype(np.int8)
 
 
 def _length_blocks(own: np.ndarray, other: np.ndarray, length: np.ndarray, by_words: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,6 +267,82 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.collect_set("line").alias("lines")).select("id", F.explode("lines").alias("line"))
 
 
+def likely(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, id, role) of met without rows of common keys that have no partner there by 64 counts of symbols; no pair
+    within the threshold goes."""
+    common = met.where(F.col("role") >= COMMON)
+    bits = filter_of(common.select("id").distinct())
+    if not bits.any():
+        return met
+    sent = met.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("words", pa.int8()), ("length", pa.int64()), ("counts", pa.binary())])
+        for b in slices(batches, "line", 1 << 20):
+            ident = b.column(0).to_numpy()
+            hit = np.nonzero(held_in(sent.value, ident))[0]
+            if not len(hit):
+                continue
+            own = Lines(b.column(1).take(pa.array(hit)).to_pylist())
+            some = (own.words < LONG + EDITS, own.by_words)
+            for kind, length, on, counts in zip((0, WORDS), (own.chars, own.words), some, own.many_counts(), strict=True):
+                on = np.nonzero(on)[0]
+                yield batch(schema, ident[hit[on]], np.full(len(on), kind), length[on], [c.tobytes() for c in np.minimum(counts[on], 255).astype(np.uint8)])
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_keys(batches):
+            key, ident, role, length = (b.column(i).to_numpy() for i in range(4))
+            ok = _partnered(key, ident, role, length, np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, 64))
+            yield batch(_MET, key[ok], ident[ok], role[ok])
+        tidy()
+
+    counted = texts.mapInArrow(count, "id bigint, words tinyint, length bigint, counts binary").distinct()
+    rows = common.withColumn("words", F.col("role").bitwiseAND(WORDS)).join(counted, ["id", "words"]).select("key", "id", "role", "length", "counts")
+    left = rows.repartition("key").sortWithinPartitions("key").mapInArrow(partners, "key bigint, id bigint, role tinyint").distinct()
+    return met.where(F.col("role") < COMMON).unionByName(left)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Rows of whole keys, some `rows` together, of batches sorted by key, their first column."""
+    held, n = [], 0
+    for b in with_end(batches):
+        if b is not None and b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if held and (b is None or n >= rows):
+            own = pa.Table.from_batches(held)
+            key = own.column(0).to_numpy()
+            # The last key may go on in the next batch.
+            upto = n if b is None else int(np.searchsorted(key, key[-1]))
+            if upto:
+                yield own.slice(0, upto)
+                held, n = own.slice(upto).to_batches(), n - upto
+
+
+def _partnered(key: np.ndarray, ident: np.ndarray, role: np.ndarray, length: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which rows have a partner under their key, of their kind, in the other role, whose length and counts allow the
+    threshold."""
+    ok, kind = np.zeros(len(key), bool), role & WORDS
+    order = np.lexsort((length, kind, key))
+    cut = np.nonzero((key[order][1:] != key[order][:-1]) | (kind[order][1:] != kind[order][:-1]))[0] + 1
+    for mine in np.split(order, cut):
+        by_words = bool(kind[mine[0]])
+        for i, j in _length_blocks(mine[role[mine] & INDEXED > 0], mine[role[mine] & PROBES > 0], length, by_words):
+            n = length[i]
+            tau = threshold(n, np.maximum(n, LONG) if by_words else np.zeros_like(n))[:, None]
+            may = allowed(n[:, None], length[j][None], tau) & (ident[i][:, None] != ident[j][None])
+            apart, x, y = np.zeros(may.shape, np.int16), counts[i].astype(np.int16).T, counts[j].astype(np.int16).T
+            for c in range(64):
+                apart += np.abs(x[c][:, None] - y[c])
+                if c % 8 == 7:
+                    may &= apart <= 2 * tau
+                    if not may.any():
+                        break
+            ok[i[may.any(1)]] = True
+            ok[j[may.any(0)]] = True
+    return ok
+
+
 def team_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Rows (key << 3 | role, line), sorted, of whole teams, some CHUNK characters of lines together, of batches (team,
     line, keys) sorted by team."""
@@ -289,7 +369,8 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
     tell that a has n links that are counted under one key. Every link is counted once for each end."""
     met = staged(meetings(docs, buckets), "meetings")
     forget(docs.sparkSession)
-    texts = wanted_texts(docs, met.select("id").distinct())
+    texts = staged(wanted_texts(docs, met.select("id").distinct()), "texts")
+    met = staged(likely(met, texts), "likely")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, line in team_chunks(batches):
@@ -305,7 +386,8 @@ def _teams(met: DataFrame) -> DataFrame:
     least = Window.partitionBy("id")
     by_id = met.repartition("id").withColumn("least", F.min("key").over(least))
     by_key = by_id.repartition("key").withColumn("team", F.min("least").over(Window.partitionBy("key")))
-    return by_key.repartition("id").groupBy("id", "team").agg(F.collect_list(F.shiftleft("key", 3).bitwiseOR(F.col("role").cast("long"))).alias("keys"))
+    role = F.col("role").bitwiseAND(COMMON - 1).cast("long")
+    return by_key.repartition("id").groupBy("id", "team").agg(F.collect_list(F.shiftleft("key", 3).bitwiseOR(role)).alias("keys"))
 
 
 def _links(lines: list[str], a: np.ndarray, b: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:

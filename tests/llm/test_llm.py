@@ -590,6 +590,30 @@ def test_many_lines_under_one_key(spark):
     assert met.where("b is null").agg({"n": "sum"}).first()[0] == 2 * len(pairs)
 
 
+def test_lines_that_share_only_a_passage_are_not_fetched(spark):
+    """Of hundreds of lines under the keys of one passage, only those with a partner go on to the comparison of texts."""
+    rng = random.Random(18)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(9000)]
+    passage = [rng.choice(some) for _ in range(14)]
+    own, near = [], set()
+    for i in range(300):
+        w = [rng.choice(some) for _ in range(80 + i % 9)]
+        w[30:30] = passage
+        own.append(" ".join(w))
+        if i % 30 == 0:
+            w[rng.randrange(20)] = "changed"
+            near |= {own[-1], " ".join(w)}
+            own.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(5)
+    met = lines.staged(lines.meetings(df, 3), "meetings")
+    left = lines.likely(met, lines.wanted_texts(df, met.select("id").distinct()))
+    ids = lambda df: {r[0] for r in df.select("id").collect()}
+    want, common = {lines.short(lines.digest(s)) for s in near}, f"role >= {lines.COMMON}"
+    assert want <= ids(left) and ids(left.where(common)) <= want and len(ids(met.where(common)) - want) > 150
+    assert dict(rows(lines.line_report(df), "doc_id", "n_links")) == {i: int(s in near) for i, s in enumerate(own)}
+    assert lines.remove_lines(df).count() == 300
+
+
 # ------------------------------------------------------------------------------------------ paragraphs
 
 
