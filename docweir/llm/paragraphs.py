@@ -9,6 +9,7 @@ doc_id and line, are removed.
 
 1. Band keys travel in packed blocks, dealt to buckets of bounded size; keys of different paragraphs stay.
 2. Their texts are fetched, once for each team of keys, and compared; pairs that others have joined already are not.
+   Under a key of many paragraphs, those are compared that share one of their rarest shingles, as all similar ones do.
 3. Components, first places, removal.
 
 A passage inside a longer paragraph is no paragraph of its own, and no similarity of wholes tells it. So, with
@@ -39,6 +40,10 @@ WIDTH = 5
 RECALL = 0.998
 #: Words of a passage that the query looks for.
 PASSAGE = 30
+#: Under a key of more paragraphs than this, pairs are found by rare shingles. Pairs that are compared together there.
+MANY, PAIRS = 64, 1 << 14
+#: Words of 64 bits that tell a paragraph's shingles apart before they are looked up.
+BITS = 8
 #: The bytes of a row of a block: key and id; an anchor's key and whether it repeats.
 ROW, ANCHOR = (6, 6), (6,)
 
@@ -114,6 +119,17 @@ def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int
     line_code = np.uint64(0x9E3779B97F4A7C15)
     known = np.sort(mixed(h + who.astype(np.uint64) * line_code))
     parent = np.arange(len(lines))
+    flat = np.zeros(len(lines) * BITS, np.uint64)
+    np.bitwise_or.at(flat, who * BITS + (h >> np.uint64(6)).astype(np.int64) % BITS, np.uint64(1) << (h & np.uint64(63)))
+    flags = flat.reshape(-1, BITS)
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the shingles that x has for sure and y hasn't leave enough for the similarity."""
+        apart = np.zeros(len(x), np.int64)
+        for i in range(BITS):
+            apart += np.bitwise_count(flags[x, i] & ~flags[y, i])
+        both = size[x] - apart
+        return both / np.maximum(1, size[x] + size[y] - both) >= similarity
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n = size[x]
@@ -134,19 +150,55 @@ def joined_texts(key: np.ndarray, text: list[str], similarity: float, width: int
         step = max(1, (1 << 20) // max(1, int(size[x].max(initial=1))))
         for i in range(0, len(x), step):
             p, q = x[i : i + step], y[i : i + step]
+            if tau is None:
+                some = (parent[p] != parent[q]) & may(p, q)
+                p, q = p[some], q[some]
             good = near(p, q)
             _join_all(parent, p[good], q[good])
 
     start = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     length = np.diff(np.append(start, len(key)))
-    at = np.arange(len(key))
-    for d in range(1, int(length.max(initial=0))):
+    # Rare shingles say nothing of edits.
+    many = (length > MANY) & (tau is None)
+    at = np.nonzero(np.repeat(~many, length))[0]
+    for d in range(1, int(length[~many].max(initial=0))):
         at = at[at + d < len(key)]
         at = at[key[at + d] == key[at]]
         compare(row[at], row[at + d])
+    for g in np.nonzero(many)[0].tolist():
+        mine = np.unique(row[start[g] : start[g] + length[g]])
+        n = size[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        for x, y in _sharing(np.repeat(mine, n), h[at], n, similarity):
+            compare(x, y)
     return lines, *stars(lines, parent)
 
 
+def _sharing(who: np.ndarray, h: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of paragraphs, some PAIRS together, that hold all whose similarity is enough, of their sorted (paragraph,
+    shingle) and the paragraphs' numbers of shingles. A paragraph's shingles that aren't its rarest ones here are too few
+    for what must be common to both, so similar ones share one of the others."""
+    _, token, often = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, often[token], who))
+    rank = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
+    reach = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    some = order[rank < np.repeat(reach, size)]
+    some = some[np.argsort(token[some], kind="stable")]
+    who, token = who[some], token[some]
+    held: list[np.ndarray] = []
+    at, d = np.arange(len(who)), 0
+    while len(at) or held:
+        d += 1
+        at = at[at + d < len(who)]
+        at = at[token[at + d] == token[at]]
+        held.append(who[at] << 32 | who[at + d])
+        if not len(at) or sum(map(len, held)) >= PAIRS:
+            pair = np.unique(np.concatenate(held))
+            held = []
+            for i in range(0, len(pair), PAIRS):
+                yield pair[i : i + PAIRS] >> 32, pair[i : i + PAIRS] & 0xFFFFFFFF
+
+
 def near_links(docs: DataFrame, buckets: int = 1, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, tau: int | None = None) -> DataFrame:
     """(a, b): digests of paragraphs that are near-duplicates, enough of them to join what all join."""
     met = staged(collisions(docs, width, *tune(similarity, recall), buckets), "collisions")

@@ -679,6 +679,29 @@ def test_joined_texts_under_one_key():
     assert groups(own, by_edits) == groups(own, [(got[i], got[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
 
 
+def test_joined_texts_under_common_keys():
+    """Hundreds of paragraphs under two keys, near copies of some and others that only share a passage: all near pairs
+    are joined, and few others are compared."""
+    rng = random.Random(19)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    passage = [rng.choice(some) for _ in range(40)]
+    own = [" ".join([*passage, *(rng.choice(some) for _ in range(rng.randrange(5, 60)))]) for _ in range(300)]
+    for k in (9, 200):
+        w = [rng.choice(some) for _ in range(k)]
+        own += [" ".join(altered(rng, w, 2, some)) for _ in range(100)]
+    own = sorted(set(own))
+    sets = {s: shingle_set(s) for s in own}
+    near = {(a, b) for a, b in combinations(own, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) > 300
+    got, a, b = paragraphs.joined_texts(np.repeat([3, 5], len(own)), own * 2, 0.8, 5, None)
+    assert groups(own, near) == groups(own, [(got[i], got[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    who = np.repeat(np.arange(len(own)), [len(sets[s]) for s in own])
+    code = {}
+    h = np.array([code.setdefault(x, len(code)) for s in own for x in sorted(sets[s])], np.uint64)
+    pairs = {(own[i], own[j]) for x, y in paragraphs._sharing(who, h, np.bincount(who), 0.8) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert near <= {tuple(sorted(p)) for p in pairs} and len(pairs) < len(own) ** 2 / 10
+
+
 def test_short_paragraphs(spark):
     texts = ["a b c d e f g\nYes, sir.\nonly here", "A b c d e f g\nyes, sir.\nno, sir.", "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
