@@ -59,18 +59,44 @@ class Sums:
         return (self.sum[end] - self.sum[start]) * self.inverse[start]
 
 
+#: By a number of bytes, what is left of eight.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Eights of a word that are read one after the other; of longer words, sums.
+_EIGHTS = 8
+
+
+def _by_eights(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings, each by its eights: of a text's words, some six times less work than by its bytes."""
+    size = end - start
+    room = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw), "<u8", room, strides=(1,))
+    out = mixed(size.astype(np.uint64) * np.uint64(_BASE) ^ eight[start] & _FIRST[np.minimum(size, 8)])
+    for i in range(1, _EIGHTS):
+        some = np.nonzero(size > 8 * i)[0]
+        if not len(some):
+            return out
+        out[some] = mixed(out[some] ^ eight[start[some] + 8 * i] & _FIRST[np.minimum(size[some] - 8 * i, 8)])
+    some = np.nonzero(size > 8 * _EIGHTS)[0]
+    n = size[some]
+    first = np.cumsum(n) - n
+    at = np.repeat(start[some] - first, n) + np.arange(int(n.sum()))
+    out[some] = mixed(out[some] + Sums(VALUE[raw[at]]).hash(first, first + n))
+    return out
+
+
 class Words:
     """The words, runs without ASCII white space, of some texts: text is each one's text, hash what stands for it,
     count how many a text has, first its first one. With `lower`, ASCII letters count as lower ones; with `trim`,
-    marks at a word's ends don't count, unless it is nothing else."""
+    marks at a word's ends don't count, unless it is nothing else. With `eights`, hashes are others, sooner there."""
 
-    def __init__(self, texts: list[str], lower: bool = False, trim: bool = False) -> None:
-        raw = np.frombuffer("\n".join([*texts, ""]).encode(), np.uint8)
+    def __init__(self, texts: list[str], lower: bool = False, trim: bool = False, eights: bool = False) -> None:
+        body = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\n".join([*body, b""]), np.uint8)
         if lower:
             raw = _LOWER[raw]
         at = np.nonzero(np.diff(_SPACE[raw], prepend=True))[0]
         start, end = at[::2], at[1::2]
-        ends = np.cumsum([len(t.encode()) + 1 for t in texts]) - 1 if texts else np.empty(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, body), np.int64, len(body)) + 1) - 1
         upto = np.searchsorted(start, ends)
         self.count = np.diff(upto, prepend=0)
         self.first = upto - self.count
@@ -82,6 +108,9 @@ class Words:
             before = np.maximum.accumulate(np.where(plain, place, -1))[end - 1] + 1
             some = after < end
             start, end = np.where(some, after, start), np.where(some, before, end)
+        if eights:
+            self.hash = _by_eights(raw, start, end)
+            return
         self.hash = mixed(Sums(VALUE[raw]).hash(start, end) + (end - start).astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
 
     def runs(self, width: int) -> np.ndarray:

@@ -38,6 +38,8 @@ FILTER_BITS = 1 << 25
 BUCKET = 8 << 20
 #: Characters of lines that are verified together, pairs that wait together, pairs that are looked at together.
 CHUNK, PAIRS, FEW = 1 << 21, 1 << 17, 1 << 14
+#: Characters of lines whose keys are computed together: what that takes stays in a core's cache.
+PART = 1 << 19
 
 
 # ---------------------------------------------------------------------------------------------- lines of documents
@@ -57,15 +59,23 @@ def short(d: bytes) -> int:
     return int.from_bytes(d[:6], "little")
 
 
+def shorts(digests: list[bytes]) -> np.ndarray:
+    """`short` of each digest."""
+    raw = np.zeros((len(digests), 8), np.uint8)
+    raw[:, :6] = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)[:, :6]
+    return raw.view("<i8").ravel()
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, of, line, size, digest): each line, its bytes; of tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("line", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
         for b in slices(batches):
-            rows = [(k, n, s.encode()) for k, t in enumerate(b.column(1).to_pylist()) for n, s in lines_of(t)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield batch(schema, b.column(0).take(at), b.column(2).take(at), [r[1] for r in rows], [len(r[2]) for r in rows], [xxhash.xxh3_128_digest(r[2]) for r in rows])
+            found = [lines_of(t) for t in b.column(1).to_pylist()]
+            raw = [s.encode() for own in found for _, s in own]
+            at = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+            yield batch(schema, b.column(0).take(at), b.column(2).take(at), [n for own in found for n, _ in own], list(map(len, raw)), list(map(xxhash.xxh3_128_digest, raw)))
 
     return _keyed(docs).mapInArrow(run, "doc_id bigint, of bigint, line int, size int, digest binary")
 
@@ -90,16 +100,32 @@ def _half(counts: np.ndarray) -> np.ndarray:
 def _blocks(lines: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed rows) of distinct lines. A row's length is in the symbols of its key, 16,383 at most: two
     lengths are then nearer to each other than they are, never farther."""
+    rows = [_rows(part) for part in _parts(lines)]
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    if rows and len(columns[0]):
+        yield from dealt(columns[0], buckets, *zip(columns, ROW, strict=True))
+
+
+def _parts(lines: list[str]) -> Iterator[list[str]]:
+    """The lines, some PART characters together."""
+    first = size = 0
+    for i, s in enumerate(lines):
+        size += len(s)
+        if size >= PART:
+            yield lines[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(lines):
+        yield lines[first:]
+
+
+def _rows(lines: list[str]) -> tuple[np.ndarray, ...]:
     own = Lines(lines)
     key, line, probe, words, place = keys(own)
-    if not len(key):
-        return
     by_chars, by_words = own.counts()
-    ident = np.array([short(digest(s)) for s in lines], np.int64)
     n = np.minimum(np.where(words, own.words[line], own.chars[line]), _MOST)
     meta = n << 2 | words.astype(np.int64) << 1 | probe
     counts = _half(np.where(words, by_words[line], by_chars[line]))
-    yield from dealt(key, buckets, *zip((key, ident[line], meta, counts, place), ROW, strict=True))
+    return key, shorts([digest(s) for s in lines])[line], meta, counts, place
 
 
 _MET = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("role", pa.int8())])
@@ -148,7 +174,8 @@ def meetings(docs: DataFrame, buckets: int) -> DataFrame:
 def _fits(meta: np.ndarray, other: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
     """The edits that a row and another one may have by their kinds, lengths and places, the row being indexed and the
     other probing; -1 if they can't be a pair."""
-    n, m = (x.astype(np.int64) >> 2 for x in (meta, other))
+    # Of 14 bits, so that their differences and thresholds fit 16.
+    n, m = ((x >> 2).astype(np.int16) for x in (meta, other))
     words = meta & 2
     # Of the shorter line's words only the kind is known here; characters decide if it isn't by words.
     tau = threshold(n, np.where(words > 0, np.maximum(n, LONG), 0))
@@ -165,13 +192,33 @@ _APART = (_HALF[:, None, :, None] + _HALF[None, :, None, :]).ravel()
 def _alike(a: np.ndarray, b: np.ndarray, tau: np.ndarray) -> np.ndarray:
     """Whether the counts of two rows allow tau edits."""
     a, b = a.astype(np.int32), b.astype(np.int32)
-    return _APART[(a & 255) << 8 | b & 255].astype(np.int64) + _APART[a & 0xFF00 | b >> 8] <= 2 * tau
+    return _APART[(a & 255) << 8 | b & 255] + _APART[a & 0xFF00 | b >> 8] <= 2 * tau
+
+
+def _contested(key: np.ndarray, ident: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Rows among which are all those whose key has several lines and both roles: keys share slots, by their upper
+    bits, so that a few others stay too. (Their lower ones tell the bucket.)"""
+    bits = max(10, int(2 * len(key)).bit_length())
+    slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    some = np.empty(1 << bits, ident.dtype)
+    some[slot] = ident
+    several, found = np.zeros(1 << bits, bool), np.zeros((2, 1 << bits), bool)
+    # One of a slot's lines stands there; any other one differs from it.
+    several[slot[some[slot] != ident]] = True
+    probes = meta & 1 == 1
+    found[0][slot[~probes]] = True
+    found[1][slot[probes]] = True
+    return (several & found[0] & found[1])[slot]
 
 
 def _met(key: np.ndarray, ident: np.ndarray, meta: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, id, role) of rows that have a partner under their key."""
-    order = np.argsort(key)
+    # Most rows go before the sort.
+    order = np.nonzero(_contested(key, ident, meta))[0]
+    order = order[np.argsort(key[order])]
     key, ident, meta, counts, place = (c[order] for c in (key, ident, meta, counts, place))
+    if not len(key):
+        return key.astype(np.int64), ident, meta.astype(np.int8)
     first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
     size = np.diff(np.append(first, len(key)))
     # Of most keys there is one line only, in both roles.
@@ -258,7 +305,7 @@ def wanted_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         schema = pa.schema([("id", pa.int64()), ("line", pa.string())])
         for b in slices(batches):
             seen = list({s: None for t in b.column(0).to_pylist() for _, s in lines_of(t)})
-            ident = np.array([short(digest(s)) for s in seen], np.int64)
+            ident = shorts([digest(s) for s in seen])
             hit = np.nonzero(held_in(sent.value, ident))[0]
             yield batch(schema, ident[hit], [seen[i] for i in hit.tolist()])
 
@@ -370,7 +417,7 @@ def links(docs: DataFrame, buckets: int) -> DataFrame:
     met = staged(meetings(docs, buckets), "meetings")
     forget(docs.sparkSession)
     texts = staged(wanted_texts(docs, met.select("id").distinct()), "texts")
-    met = staged(likely(met, texts), "likely")
+    met = likely(met, texts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, line in team_chunks(batches):
@@ -562,9 +609,10 @@ def stars(lines: list[str], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([c for c, _ in out], np.int64), np.array([i for _, i in out], np.int64)
 
 
-def first_places(found: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+def first_places(found: DataFrame, classes: DataFrame, rows: int, degree: DataFrame | None = None) -> DataFrame:
     """(doc_id, of, line, digest, keep_doc, keep_line) of the found lines whose class has more than one place: keep is
-    the first one. classes has (node, root) for digests that are linked; equal digests are one class anyway."""
+    the first one. classes has (node, root) for digests that are linked; equal digests are one class anyway. Columns
+    that degree has for linked digests follow."""
     counts = staged(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
     some = counts.select("digest").union(classes.select("node")).distinct().withColumn("__some", F.lit(True))
     hits = lookup(found.select("doc_id", "of", "line", "digest"), staged(some, "some"), ["digest"], rows, "inner", counts)
@@ -574,6 +622,8 @@ def first_places(found: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
     roots = staged(roots, "roots")
     keeper = roots.groupBy("root").agg(F.min("first").alias("keep"))
     named = roots.join(keeper, "root").select("digest", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.line").alias("keep_line"))
+    if degree is not None:
+        named = named.join(degree, "digest", "left")
     return lookup(hits, staged(named, "classes"), ["digest"], rows, "inner", counts)
 
 
@@ -591,7 +641,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = staged(links(own, 1 + size // BUCKET), "links")
     classes = components(linked.where("b is not null").select("a", "b"))
     degree = linked.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n_links"))
-    return lookup(staged(first_places(found, classes, n), "places"), staged(degree, "degree"), ["digest"], n)
+    return first_places(found, classes, n, degree)
 
 
 def _per_document(found: DataFrame) -> DataFrame:

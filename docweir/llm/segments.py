@@ -68,7 +68,7 @@ class Lines:
 
     def __init__(self, lines: list[str]) -> None:
         self.lines = lines
-        own = Words(lines)
+        own = Words(lines, eights=True)
         self.chars = np.fromiter(map(len, lines), np.int64, len(lines))
         self.word_line, self.words, self.word, self.first = own.text, own.count, own.hash, own.first
         self.grams = own.runs(GRAM)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.llm import components, decontam, edits, lines, media, packing, paragraphs, pii, quality, segments, simhash, suffix, tokens
+from docweir.llm import components, decontam, edits, hashing, lines, media, packing, paragraphs, pii, quality, segments, simhash, suffix, tokens
 
 paragraphs_marks = ".,;:!?\"'()[]"
 KIND = "doc_id long, text string, extra string, n_chars long, fp string"
@@ -519,6 +519,49 @@ def lined(spark):
     return spark.createDataFrame(out, "doc_id long, text string, n_chars long").repartition(3), [r[:2] for r in out]
 
 
+def test_rows_that_go_before_the_sort():
+    rng = np.random.default_rng(5)
+    n = 40_000
+    key, ident = rng.integers(0, 1 << 48, n, dtype=np.uint64), rng.integers(0, 1 << 48, n)
+    meta = rng.integers(0, 2, n).astype(np.uint16)
+    # Every tenth row has an earlier one's key: of its line, or of another one; and keys of one bucket are alike below.
+    key[::10] = key[5::10]
+    key *= np.uint64(64)
+    ident[:20_000:10] = ident[5:20_000:10]
+    left = lines._contested(key, ident, meta)
+    of: dict[int, list] = {}
+    for k, i, m in zip(key.tolist(), ident.tolist(), meta.tolist(), strict=True):
+        of.setdefault(k, []).append((i, m))
+    want = np.array([len({i for i, _ in of[k]}) > 1 and len({m for _, m in of[k]}) > 1 for k in key.tolist()])
+    assert want.any() and left[want].all() and left.sum() < n / 2
+    none = np.empty(0, np.uint64)
+    assert not len(lines._contested(none, none.view(np.int64), meta[:0]))
+
+
+def test_words_by_eights():
+    rng = random.Random(8)
+    own = ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 200, 5000) for _ in range(60)]
+    texts, flat = ["", *(" ".join(own[i : i + 7]) for i in range(0, len(own), 7)), " \t", " ".join(reversed(own))], [*own, *reversed(own)]
+    w = hashing.Words(texts, eights=True)
+    assert w.count.tolist() == [len(t.split()) for t in texts]
+    known = dict(zip(flat, w.hash.tolist(), strict=True))
+    assert [known[x] for x in flat] == w.hash.tolist() and len(set(known.values())) == len(known)
+    assert not len(hashing.Words([], eights=True).hash) and not len(hashing.Words([""], eights=True).hash)
+
+
+def test_parts_make_the_same_rows(monkeypatch):
+    rng = random.Random(9)
+    own = sorted({words(rng, rng.randrange(1, 60)) for _ in range(300)} | {"a" * 3000, "é" * 500})
+
+    def rows():
+        found = [np.stack(lines.unpacked_all([body], lines.ROW)) for _, body in lines._blocks(own, 3)]
+        return sorted(map(tuple, np.concatenate(found, axis=1).T.tolist()))
+
+    whole = rows()
+    monkeypatch.setattr(lines, "PART", 1000)
+    assert whole and rows() == whole
+
+
 def test_line_join(lined, empty, repeated):
     df, docs = lined
     occ = [(i, n, s) for i, t in docs for n, s in lines.lines_of(t or "")]
